@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import packing, simhash
+from chronopanel.llm import decontamination, packing, secrets, simhash, toxicity
 from chronopanel.llm.common import read
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.where(toxicity.remainder() != 2))
+    return toxicity.score(docs, lexicon).withColumn("held_out", toxicity.remainder() == 2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.linked(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_best_fit_packing, op6_secret_scan, op8_toxicity, op10_simhash)}
 ORACLES: dict[str, str] = {}
