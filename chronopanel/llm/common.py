@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from chronopanel.shipping import ship
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+BATCH_ROWS = 512
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package out, and where the session has Spark's default of 10,000 rows for an Arrow batch sets 512: texts are long."""
     ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -53,8 +63,11 @@ def texts(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*[F.col(k) for k in keys], F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def rows_of(batch: pa.RecordBatch, *names: str):
-    return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
+def rows_of(batch: pa.RecordBatch, *names: str, size: int = 64):
+    """Tuples of the named columns; texts become Python objects a few rows at a time."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        yield from zip(*[part.column(part.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
 
 
 def schema_of(ddl: str) -> pa.Schema:

@@ -1,11 +1,15 @@
-"""The registered runs: each applies one operator with production parameters to its whole table."""
+"""The registered runs: each applies one operator with production parameters to its whole table.
+
+No oracle SQL: tokenizers, parsers, archives, learnt models, XXH64 bit majorities and peeling can't be expressed in it.
+tests/llm holds each query against brute force, exact round trips or held-out labels instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import decontamination, packing, secrets, simhash, toxicity
+from chronopanel.llm import decontamination, extraction, fingerprints, packing, quality, secrets, simhash, tokencounts, toxicity, warc
 from chronopanel.llm.common import read
 
 
@@ -17,20 +21,43 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(read(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     lexicon = toxicity.fit(docs, labels.where(toxicity.remainder() != 2))
     return toxicity.score(docs, lexicon).withColumn("held_out", toxicity.remainder() == 2)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencounts.edited(docs.withColumn("edits", tokencounts.sample_edits()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.linked(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_best_fit_packing, op6_secret_scan, op8_toxicity, op10_simhash)}
+RUNS = (op1_template_decontamination, op2_best_fit_packing, op3_html_extraction, op4_fingerprints, op5_warc_revisits, op6_secret_scan, op7_quality, op8_toxicity, op9_token_counts, op10_simhash)
+QUERIES = {f.__name__: f for f in RUNS}
 ORACLES: dict[str, str] = {}

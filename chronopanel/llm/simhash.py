@@ -129,6 +129,16 @@ def distance(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WIDTH)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """uid and the sorted distinct shingle hashes of the texts in ``wanted`` (uid, text_key)."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((uid, np.unique(shingle_hashes(text, words)).view(np.int64)) for b in it for uid, text in rows_of(b, "uid", "text")), "uid bigint, shingles array<bigint>", 500)
+
+    texts_of = keyed.join(wanted, "text_key").groupBy("uid").agg(F.first("text").alias("text"))
+    return texts_of.mapInArrow(each, "uid bigint, shingles array<bigint>")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b), those that pass the Hamming distance and then the exact comparison of their shingles."""
     angle = acos(2 * similarity / (1 + similarity)) / pi  # at equal set sizes; unequal sizes only bring texts nearer
@@ -137,21 +147,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, s
     both = pairs.distinct().join(fp.select(F.col("uid").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("uid").alias("b"), F.col("fp").alias("fb")), "b")
     near = cut(both.where(distance("fa", "fb") <= most).select("a", "b"))
     wanted = nodes.join(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "uid", "left_semi").select("uid", "text_key")
-    found = written(keyed.join(wanted, "text_key").groupBy("uid").agg(F.first("text").alias("text")), "texts")
-    text_a, text_b = (found.select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in it:
-                for a, b, x, y in rows_of(batch, "a", "b", "text_a", "text_b"):
-                    x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    if same >= similarity * (len(x) + len(y) - same):
-                        yield a, b
-
-        yield from batches(rows(), "a bigint, b bigint")
-
-    return cut(near.join(text_a, "a").join(text_b, "b").mapInArrow(compare, "a bigint, b bigint"))
+    sets = written(shingle_sets(keyed, wanted, words), "shingles")
+    set_a, set_b = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return cut(near.join(set_a, "a").join(set_b, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -162,17 +161,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     keyed = texts(docs, "doc_id").withColumn("text_key", F.sha2("text", 256))
     prints = fingerprints(keyed, words, WIDTH, True, ("text_key",))
     nodes = cut(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()))
-    spread = [F.struct(F.lit(BLOCKS_A_WORD * w + k).alias("t"), F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("key")) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
-    keys = nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("k")).select("uid", "f0", "k.t", "k.key")
+    spread = [F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").bitwiseOR(F.lit(BLOCKS_A_WORD * w + k << BLOCK_BITS)) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
+    keys = nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("key"))
     angle = acos(2 * similarity / (1 + similarity)) / pi
     rough = ceil(64 * angle + 4.5 * sqrt(64 * angle * (1 - angle)))
-    lead = keys.groupBy("t", "key").agg(F.min(F.struct("uid", "f0")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    first = keys.join(lead.select("t", "key", F.col("lead.uid").alias("a"), F.col("lead.f0").alias("fa")), ["t", "key"]).where((F.col("uid") > F.col("a")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("fa"))) <= rough)).select("a", F.col("uid").alias("b"))
-    links = verified(first, nodes, keyed, words, similarity)
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= rough
+    firsts = keys.groupBy("key").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = written(keys.join(firsts, "key").where("uid <> first"), "blocks")
+    lead = met.join(nodes.select(F.col("uid").alias("first"), F.col("fp")[0].alias("f1")), "first").where(near("f0", "f1")).select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    links = verified(lead, nodes, keyed, words, similarity)
     roots = cut(components(links))
-    several = keys.join(lead.where("n > 2").select("t", "key", F.col("lead.uid").alias("lead_uid")), ["t", "key"]).where("uid <> lead_uid").join(roots, F.col("uid") == F.col("node"), "left").select("t", "key", "uid", "f0", F.coalesce("root", "uid").alias("root"))
-    x, y = (several.select("t", "key", F.col("uid").alias(n), F.col("f0").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
-    apart = x.join(y, ["t", "key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= rough)).select("a", "b")
+    several = met.where("n > 2").join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", "f0", F.coalesce("root", "uid").alias("root"))
+    x, y = (several.select("key", F.col("uid").alias(n), F.col("f0").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
+    apart = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("fa", "fb")).select("a", "b")
     more = verified(apart, nodes, keyed, words, similarity)
     final = components(links.union(more))
     ids = keyed.groupBy("text_key", "doc_id").count().drop("count")

@@ -111,7 +111,7 @@ def grams(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in range(SHORTEST_START, min(LONGEST_START, len(w) - 1) + 1)}
 
 
-MOST_HELD = 200_000
+MOST_HELD = 50_000
 
 
 def tally(rows: DataFrame, keys_of) -> DataFrame:
