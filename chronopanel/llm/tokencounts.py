@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronopanel.llm.common import batches, rows_of, type_of
 from chronopanel.llm.packing import RANKS, encoder
 
-SEGMENT = 256
+SEGMENT = 96
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronopanel.llm import decontamination, packing, secrets, simhash, toxicity
-from chronopanel.llm.common import read, written
+from chronopanel.llm.common import prepare, read, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id."""
+    prepare(spark)
     return simhash.deduplicated(docs)
 
 
@@ -30,11 +31,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced by a mark, and n_chars follows."""
+    prepare(spark)
     return secrets.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of each document with its training sequence and offset."""
+    prepare(spark)
     return packing.pack(docs)
 
 
