@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.functions.stats import expit, logit
+
 
 def learner(name: str, features: list[str], label: str, seed: int = 42, trees: int = 20) -> Pipeline:
     """Median imputation, standardisation and a classifier: logistic, forest or boosted."""
@@ -128,3 +130,36 @@ def ridge_by_fold(rows: DataFrame, group: str, fold: str, features: list[str], y
         beta = np.linalg.solve(z, cov / scale * n * live) / scale * live
         out.append((g, f, [float(t["y"] / n - beta @ mean), *map(float, beta)]))
     return rows.sparkSession.createDataFrame(out, f"{group} string, {fold} bigint, beta array<double>")
+
+
+def importances(rows: DataFrame, features: list[str], label: str, fold: str = "fold") -> DataFrame:
+    """feature, mean_abs: the mean over folds of the absolute standardised coefficients of the logistic learner."""
+    folds, out = [r[0] for r in rows.select(fold).distinct().collect()], []
+    for k in sorted(folds):
+        model = learner("logistic", features, label).fit(rows.where(F.col(fold) != k)).stages[-1]
+        out += [(f, abs(float(c))) for f, c in zip(features, model.coefficients, strict=True)]
+    return rows.sparkSession.createDataFrame(out, "feature string, x double").groupBy("feature").agg(F.avg("x").alias("mean_abs"))
+
+
+def calibration_line(scored: DataFrame, y: str = "y", p: str = "p", steps: int = 25) -> tuple[float, float] | None:
+    """Intercept and slope of an unpenalised logistic regression of y on logit(p), by Newton steps of one aggregate each.
+
+    None where there is one class or the logits don't vary.
+    """
+    z = logit(F.col(p))
+    r = scored.agg(F.min(y), F.max(y), F.min(z), F.max(z)).first()
+    if r[0] is None or r[0] == r[1] or r[3] - r[2] < 1e-9:
+        return None
+    a, b = 0.0, 1.0
+    for _ in range(steps):
+        q = expit(F.lit(a) + F.lit(b) * z)
+        e, w = F.col(y) - q, q * (1 - q)
+        g = scored.agg(F.sum(e), F.sum(e * z), F.sum(w), F.sum(w * z), F.sum(w * z * z)).first()
+        det = g[2] * g[4] - g[3] * g[3]
+        if abs(det) < 1e-12:
+            return None
+        da, db = (g[4] * g[0] - g[3] * g[1]) / det, (g[2] * g[1] - g[3] * g[0]) / det
+        a, b = a + da, b + db
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return a, b

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.stats import rounded, smoothed
 from chronopanel.functions.time import DAY
 from chronopanel.checkpoints import cut
-from chronopanel.operators import bootstrap, features, folds, intervals, learners, metrics, panel, policy, simulate
+from chronopanel.operators import attach, bootstrap, features, folds, intervals, learners, metrics, panel, policy, simulate
 from chronopanel.plans import oracle
 from chronopanel.sources import tables
 
@@ -459,3 +459,69 @@ def dml_policy_values(spark, folder):
     return rounded(scores.where("decision_period = 1").groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")), 6)
 
 
+
+
+CLIPS = (0.01, 0.05, 0.1, 0.2)
+
+
+@query(
+    f"WITH {oracle.SCORES}, cl AS (SELECT sc.*, eps, policy_probability / (CASE WHEN action_removed = 1 THEN least(greatest(g, eps), 1 - eps) ELSE 1 - least(greatest(g, eps), 1 - eps) END) AS w FROM sc, (SELECT unnest([0.01, 0.05, 0.1, 0.2]) AS eps)), "
+    "tm AS (SELECT *, (qbar + w * (reward - q_observed)) * coalesce(product(w) OVER (PARTITION BY policy, eps, entity, inserted ORDER BY decision_period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS term FROM cl), "
+    "ep AS (SELECT policy, eps, entity, inserted, sum(term) AS v FROM tm GROUP BY ALL) SELECT policy, eps::DOUBLE AS epsilon, round(avg(v), 6) AS value, count(*) AS n FROM ep GROUP BY policy, eps"
+)
+def clipping_sensitivity(spark, folder):
+    """Values under several clipping bounds, from the closed form of the recursion: each term times the product of the ratios before it."""
+    rows = policy_scores(spark, folder).withColumn("epsilon", F.explode(F.array(*map(F.lit, CLIPS))))
+    clipped = F.greatest(F.least("g", 1 - F.col("epsilon")), F.col("epsilon"))
+    w = F.col("policy_probability") / F.when(F.col("action_removed") == 1, clipped).otherwise(1 - clipped)
+    observed = F.when(F.col("action_removed") == 1, F.col("q_remove")).otherwise(F.col("q_keep"))
+    b = (1 - F.col("pi")) * F.col("q_keep") + F.col("pi") * F.col("q_remove") + F.col("w") * (F.col("reward") - observed)
+    before = F.coalesce(F.product("w").over(Window.partitionBy("policy", "epsilon", *EPISODE).orderBy("decision_period").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    terms = rows.withColumn("w", w).withColumn("term", b * before)
+    return rounded(terms.groupBy("policy", "epsilon", *EPISODE).agg(F.sum("term").alias("v")).groupBy("policy", "epsilon").agg(F.avg("v").alias("value"), F.count("*").alias("n")))
+
+
+@query(f"WITH {oracle.PANEL}, {oracle.HAZARDS}, saved AS (SELECT entity, inserted, episode_index, 0.25 AS p FROM panel WHERE episode_index % 2 = 0) SELECT p.entity, p.inserted, p.episode_index, round(coalesce(saved.p, h_outcome), 6) AS p, saved.p IS NOT NULL AS was_saved FROM panel p JOIN haz ON h_state = state AND h_period = least(periods_in_state, 5) LEFT JOIN saved USING (entity, inserted, episode_index)")
+def filled_scores(spark, folder):
+    """Saved scores where there are some, rescored ones elsewhere."""
+    rows = base(spark, folder)
+    scored = rows.join(hazards(rows), (F.col("h_state") == F.col("state")) & (F.col("h_period") == F.least("periods_in_state", F.lit(5)))).select(*EPISODE, "episode_index", "h_outcome")
+    saved = rows.where("episode_index % 2 = 0").select(*EPISODE, "episode_index", F.lit(0.25).alias("p"))
+    return rounded(attach.filled(scored, saved, [*EPISODE, "episode_index"], "p", "h_outcome").drop("h_outcome"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS repeated_left, CAST(0 AS BIGINT) AS repeated_right, CAST(0 AS BIGINT) AS unmatched")
+def attach_checks(spark, folder):
+    rows = base(spark, folder).select(*EPISODE, "episode_index")
+    return attach.attach_problems(rows, rows, [*EPISODE, "episode_index"])
+
+
+@query(f"WITH {oracle.POLICY} SELECT policy, entity, inserted, episode_index, coalesce(policy_periods_in, 0) AS o_periods_in, coalesce(policy_periods_out, 0) AS o_periods_out, CAST(policy_action = 'remove' AS INT) AS o_removed_in, policy_reinsertion_periods AS o_reinsertion_periods FROM pol")
+def policy_overrides(spark, folder):
+    """The features that a model of the outcome takes under each policy in place of the observed ones."""
+    rows = policy.with_policies(base(spark, folder), DAYS)
+    zero = F.lit(0).cast("bigint")
+    return rows.select("policy", *EPISODE, "episode_index", F.coalesce("policy_periods_in", zero).alias("o_periods_in"), F.coalesce("policy_periods_out", zero).alias("o_periods_out"), (F.col("policy_action") == "remove").cast("int").alias("o_removed_in"), F.col("policy_reinsertion_periods").alias("o_reinsertion_periods"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_shared")
+def fold_leakage(spark, folder):
+    """Entities on both sides of any fold's split: none."""
+    rows = base(spark, folder)
+    fold = folds.grouped_folds(rows)
+    return attach.overlap(fold.where("fold = 0"), fold.where("fold <> 0"), "entity").agg(F.count("*").alias("n_shared"))
+
+
+@query()
+def feature_importance(spark, folder):
+    """Mean absolute standardised coefficients of the cross-fitted propensity."""
+    return rounded(learners.importances(model_rows(spark, folder), MODEL_FEATURES, "removed_in"))
+
+
+@query()
+def calibration_line(spark, folder):
+    """Intercept and slope of the calibration of a rate model's hazards."""
+    rows = base(spark, folder)
+    scored = cut(rows.where("at_risk_outcome = 1").join(hazards(rows), (F.col("h_state") == F.col("state")) & (F.col("h_period") == F.least("periods_in_state", F.lit(5)))).select(F.col("outcome_in").alias("y"), F.col("h_outcome").alias("p")))
+    found = learners.calibration_line(scored)
+    return rounded(spark.createDataFrame([found] if found else [], "intercept double, slope double"))
