@@ -113,8 +113,8 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 READ = "page_id bigint, url string, record_id string, record_type string, warc_date string, payload_digest string, payload_bytes bigint, refers_to_record string, refers_to bigint"
 
 
-def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """One row per record; with ``payload``, a response's payload too. A payload that doesn't fit its digest raises."""
+def read(spark: SparkSession, path: str, payload: bool = False, packed: bool = False) -> DataFrame:
+    """One row per record; with ``payload``, a response's payload too (``packed``: compressed). A payload that doesn't fit its digest raises."""
     ddl = READ + ", payload binary" * payload
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
                             raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't fit its digest")
                         number = lambda k: int(fields[k]) if k in fields else None
                         url = fields.get("WARC-Target-URI")
-                        yield (number("Page-ID"), None if url is None else unquote(url), fields["WARC-Record-ID"], fields["WARC-Type"], fields["WARC-Date"], name, number("Payload-Length"), fields.get("WARC-Refers-To"), number("Refers-To-Page-ID"), *([body] if payload else []))
+                        yield (number("Page-ID"), None if url is None else unquote(url), fields["WARC-Record-ID"], fields["WARC-Type"], fields["WARC-Date"], name, number("Payload-Length"), fields.get("WARC-Refers-To"), number("Refers-To-Page-ID"), *([zlib.compress(body) if packed else body] if payload else []))
 
         yield from batches(rows(), ddl, 500 if payload else 5000)
 
@@ -144,7 +144,7 @@ def resolved(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
     """Reads the archives at ``source`` and writes them to ``target`` with revisit records for repeated payloads."""
-    whole = read(spark, source, True).join(resolved(read(spark, source), least_bytes), "record_id")
+    whole = read(spark, source, True, packed=True).join(resolved(read(spark, source), least_bytes), "record_id")
     slim = whole.withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")))
     flat = slim.select("page_id", "url", "record_id", "warc_date", "payload_digest", "payload_bytes", "payload", *[F.col(f"original.{k}").alias(f"first_{k}") for k in ("page_id", "url", "record_id", "warc_date")])
 
@@ -157,6 +157,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
                 for page_id, url, name, date, sha1, size, payload, first_page, first_url, first_name, first_date in rows_of(batch, *batch.schema.names):
                     head = {"WARC-Record-ID": fresh(name), "WARC-Date": date, "WARC-Target-URI": address(url), "WARC-Payload-Digest": f"sha1:{sha1}", "Payload-Length": size, "Page-ID": page_id}
                     if first_name is None:
+                        payload = zlib.decompress(payload)
                         one = record("response", head, http(payload) + payload)
                     else:
                         head |= {"WARC-Refers-To": fresh(first_name), "WARC-Refers-To-Target-URI": address(first_url), "WARC-Refers-To-Date": first_date, "WARC-Profile": PROFILE, "Refers-To-Page-ID": first_page}
