@@ -37,7 +37,7 @@ UNITS = frozenset(
     "weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp hz khz mhz ghz w kw mw v kv "
     "degree degrees celsius fahrenheit mph kmh kb mb gb tb byte bytes".split()
 )
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n]")
+TOKEN = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n]")
 WORD, CAPITAL, NUMBER, END, UNIT = range(5)
 SLOTS = {NUMBER: "\0number", CAPITAL: "\0name", UNIT: "\0unit"}
 MOST_CACHED = 300_000
