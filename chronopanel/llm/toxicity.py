@@ -9,7 +9,7 @@ stands and per word of the text, goes through a logistic curve to a score betwee
 ``fit`` learns lexicon, exceptions and curve from labelled rows: a sample of at most ``most_rows``, by hash of the id,
 without repeated texts. An entry needs ``support`` of the toxic texts and ``precision`` among the texts that have it; the
 shortest beginning that reaches both stands for all longer ones. An exception is an entry with the word before
-or after it that clean texts use and toxic ones hardly do. What is fitted has at most ``most_entries`` entries.
+or after it that clean texts use and toxic ones hardly do; a word that reaches the precision only outside exceptions joins. What is fitted has at most ``most_entries`` entries.
 
 Null and empty texts score as texts without hits. Without labels of both kinds the lexicon is empty and every score is
 the same. Rows are scored one by one, whole; repeated rows get equal scores.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import batches, rows_of, texts, type_of, written
+from chronopanel.llm.common import batches, cut, rows_of, texts, type_of, written
 
 # Letters that look like Latin ones, and digits and signs used for letters.
 LOOKALIKES = {
@@ -149,23 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000, support: fl
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon()
-    weights: dict[str, float] = {}
-    for least_share in (support, 5 * support):  # then for what explains the toxic texts that are left
-        left = unhit(rows, Lexicon(weights)) if weights else rows
+    need = max(least, support * n[1])
+    counts = cut(tally(rows, grams).where(F.col("toxic") >= need))
+    weights = entries(counts, n, precision, most_entries)
+    if weights:  # then what explains the toxic texts that are left
+        left = unhit(rows, Lexicon(weights))
         toxic_left = left.where("toxic = 1").count()
-        weights |= entries(left, n, max(least, least_share * toxic_left), precision, most_entries)
-    top = max(weights.values(), default=1.0)
-    lexicon = Lexicon({g: w / top for g, w in weights.items()})
-    lexicon.exceptions = exceptions(rows, lexicon, n, least, most_entries)
+        weights |= entries(tally(left, grams).where(F.col("toxic") >= max(least, 5 * support * toxic_left)), n, precision, most_entries)
+    doubtful = {g: w for g, w in entries(counts, n, 0.7, most_entries, " ").items() if not any(g[:k] in weights for k in range(SHORTEST_START + 1, len(g) + 1))}
+    spared = exceptions(rows, Lexicon(weights | doubtful), n, least, most_entries)
+    if doubtful and spared:
+        weights |= outside(rows, Lexicon(doubtful, spared), n, need, precision)
+    if not weights:
+        return Lexicon()
+    top = max(weights.values())
+    lexicon = Lexicon({g: w / top for g, w in weights.items()}, spared)
     lexicon.curve = curve(rows, lexicon, most_curve_rows)
     return lexicon
 
 
-def entries(rows: DataFrame, n: dict[int, int], need: float, precision: float, most: int) -> dict[str, float]:
-    """The shortest grams that ``need`` toxic texts have and ``precision`` of those that have them: log odds of each."""
-    kept = tally(rows, grams).where((F.col("toxic") >= need) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
+def entries(counts: DataFrame, n: dict[int, int], precision: float, most: int, end: str = "") -> dict[str, float]:
+    """The shortest of the counted grams (with ``end``) that ``precision`` of the texts that have them speaks for: log odds of each."""
+    kept = counts.where(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))
     weights: dict[str, float] = {}
-    found = kept.orderBy(F.desc("toxic"), "gram").limit(most).collect()
+    found = kept.where(F.col("gram").endswith(end)).orderBy(F.desc("toxic"), "gram").limit(most).collect()
     for r in sorted(found, key=lambda r: (len(r["gram"].strip()), r["gram"])):
         gram = r["gram"]
         if not any(gram[:k] in weights for k in range(SHORTEST_START + 1, len(gram.rstrip()) + 1)):
@@ -173,6 +180,19 @@ def entries(rows: DataFrame, n: dict[int, int], need: float, precision: float, m
     return weights
 
 
+def outside(rows: DataFrame, lexicon: Lexicon, n: dict[int, int], need: float, precision: float) -> dict[str, float]:
+    """Of a lexicon's entries those that reach the precision once hits inside its exceptions don't count."""
+    held = []
+
+    def found(text: str) -> set[str]:
+        if not held:  # once in a task
+            held.append(lexicon.automaton())
+        return {entry for _, entry, _ in hits(held[0], folded(text))}
+
+    kept = tally(rows, found).where((F.col("toxic") >= need) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
+    return {r["gram"]: max(0.1, log((r["toxic"] + 0.5) / (n[1] + 1)) - log((r["clean"] + 0.5) / (n[0] + 1))) for r in kept.collect()}  # no more than the lexicon has
+
+
 def unhit(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The toxic rows without a hit, and all clean ones."""
 
