@@ -6,7 +6,7 @@ digests it has, their exclusive or, and that of a checksum of each. The fingerpr
 
 To compare two versions their sketches are subtracted cell by cell, which cancels what they share, and peeled: a
 cell with a count of one and a fitting checksum gives up a digest, which then leaves its other cells. If cells remain,
-the comparison is retried larger: digests are dealt into groups of about eight by their upper bits, with a sketch of
+the comparison is retried larger: digests are dealt into groups of 7 to 14 on average by their upper bits, with a sketch of
 24 cells for each, and a group that still doesn't peel gets 48, 192 and 1,536 cells. The digests recovered on
 either side give the Jaccard coefficient of the two paragraph sets: the likeness. Two texts without paragraphs are alike.
 
@@ -25,7 +25,7 @@ from chronopanel.llm.common import texts
 BREAK = r"\\n|(?<=[.!?;|])\\s+"
 RANGE_ROWS = 500
 MOST_RANGES = 65_536
-SMALL, GROUP, LARGER = 4, 8, (8, 16, 64, 512)
+SMALL, GROUP, LARGER = 4, 14, (8, 16, 64, 512)
 SHIFTS = (8, 20, 32)
 GROUP_SHIFT = 44
 
@@ -61,9 +61,10 @@ def peeled(cells: str, w: int, rounds: int) -> str:
     """SQL for (plus, minus): how many digests only the first or only the second version has; null if cells remain."""
     left = ", ".join(f"transform(st.t{j}, (x, i) -> aggregate(filter(pure, p -> (shiftright(p.k, {SHIFTS[j]}) & {w - 1}) = i), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h))) AS t{j}" for j in range(3))
     pure = "array_distinct(filter(concat(st.t0, st.t1, st.t2), x -> abs(x.c) = 1 AND hash(x.k) = x.h))"
-    after = f"struct({left}, st.plus + size(filter(pure, p -> p.c = 1)) AS plus, st.minus + size(filter(pure, p -> p.c = -1)) AS minus)"
-    step = f"element_at(transform(array({pure}), pure -> if(size(pure) = 0, st, {after})), 1)"
-    start = f"element_at(transform(array({cells}), s -> struct(s.t0 AS t0, s.t1 AS t1, s.t2 AS t2, 0 AS plus, 0 AS minus)), 1)"
+    after = f"struct({left}, st.plus + size(filter(pure, p -> p.c = 1)) AS plus, st.minus + size(filter(pure, p -> p.c = -1)) AS minus, true AS more)"
+    over = "struct(st.t0 AS t0, st.t1 AS t1, st.t2 AS t2, st.plus AS plus, st.minus AS minus, false AS more)"
+    step = f"if(st.more, element_at(transform(array({pure}), pure -> if(size(pure) = 0, {over}, {after})), 1), st)"
+    start = f"element_at(transform(array({cells}), s -> struct(s.t0 AS t0, s.t1 AS t1, s.t2 AS t2, 0 AS plus, 0 AS minus, true AS more)), 1)"
     done = "forall(concat(e.t0, e.t1, e.t2), x -> x.c = 0 AND x.k = 0 AND x.h = 0)"
     return f"aggregate(sequence(1, {rounds}), {start}, (st, r) -> {step}, e -> if({done}, struct(e.plus AS plus, e.minus AS minus), null))"
 

@@ -8,12 +8,13 @@ distance. Equal fingerprints are collapsed first, so a group of copies is one ro
 remaining bits, under which at most four fingerprints meet (a few hundred rows for each member, no pairs).
 
 ``near_duplicates`` links documents by the similarity of their word shingles (a Jaccard coefficient of 0.8 on five
-words by default), for which 64 bits are too coarse: it uses a 1,024-bit fingerprint of distinct shingles, 48 blocks of
-18 bits, Hamming distance with three standard deviations of slack, and an exact check of what passes. Pairs within 47
-bits always share a block; beyond, two texts at similarity 0.8, 0.85 and 0.9 do with probability 0.92, 0.98 and 0.999,
-and any member of a group that they meet links them too. In a block all members meet the first; once the
-components of these links are known, members of different components meet each other. So no group of copies is
-expanded into pairs, and no pair that shares a block and isn't linked already goes untested.
+words by default), for which 64 bits are too coarse: it uses a 1,536-bit fingerprint of distinct shingles, 72 blocks of
+20 bits, Hamming distance with three standard deviations of slack, and an exact check of what passes. Pairs within 71
+bits always share a block; beyond, two texts at similarity 0.8, 0.85 and 0.9 do with probability 0.94, 0.99 and 0.9996,
+and any member of a group that they meet links them too. Texts with the same first 64 bits are compared with one of
+them, which stands for all in the join on blocks; pairs far apart in these bits go in the join itself. In a block that more
+than ``crowd`` share, all meet one member; once the components of these links are known, members of different
+components meet by their whole fingerprints. So no group of copies is expanded into pairs.
 
 Null texts are empty; texts without words have fingerprint zero. Null and repeated ids are kept: rows are told apart
 by their fingerprints, and a component whose ids are all null has a null id. Empty tables give empty results.
@@ -122,7 +123,7 @@ def linked(docs: DataFrame, words: int = 3, max_distance: int = 2, blocks: int =
     return prints.join(of.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-WIDTH, BLOCKS_A_WORD, BLOCK_BITS = 16, 3, 18
+WIDTH, BLOCKS_A_WORD, BLOCK_BITS = 24, 3, 20
 
 
 def distance(a: str, b: str):
@@ -139,13 +140,21 @@ def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts_of.mapInArrow(each, "uid bigint, shingles array<bigint>")
 
 
+def angle_of(similarity: float) -> float:
+    """The share of differing bits at a Jaccard coefficient, for sets of equal size; unequal sizes only bring texts nearer."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def bound(bits: int, similarity: float, slack: float) -> int:
+    angle = angle_of(similarity)
+    return ceil(bits * angle + slack * sqrt(bits * angle * (1 - angle)))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b), those that pass the Hamming distance and then the exact comparison of their shingles."""
-    angle = acos(2 * similarity / (1 + similarity)) / pi  # at equal set sizes; unequal sizes only bring texts nearer
-    most = ceil(64 * WIDTH * angle + 3 * sqrt(64 * WIDTH * angle * (1 - angle)))
     fp = nodes.select("uid", "fp")
     both = pairs.distinct().join(fp.select(F.col("uid").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("uid").alias("b"), F.col("fp").alias("fb")), "b")
-    near = cut(both.where(distance("fa", "fb") <= most).select("a", "b"))
+    near = cut(both.where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b"))
     wanted = nodes.join(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "uid", "left_semi").select("uid", "text_key")
     sets = written(shingle_sets(keyed, wanted, words), "shingles")
     set_a, set_b = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -153,28 +162,33 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, s
     return cut(near.join(set_a, "a").join(set_b, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_key (SHA-256 of the text), component (any number), keep.
 
     ``keep`` marks one row of each component: that with the smallest doc_id, null ids last.
     """
     keyed = texts(docs, "doc_id").withColumn("text_key", F.sha2("text", 256))
     prints = fingerprints(keyed, words, WIDTH, True, ("text_key",))
-    nodes = cut(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()))
+    nodes = cut(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()).withColumn("f0", F.col("fp")[0]))
+    heads = cut(nodes.groupBy("f0").agg(F.min("uid").alias("head"), F.min_by("fp", "uid").alias("fp")))
+    alike = nodes.join(heads.select("f0", "head"), "f0").where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b"))
     spread = [F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").bitwiseOR(F.lit(BLOCKS_A_WORD * w + k << BLOCK_BITS)) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
-    keys = nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("key"))
-    angle = acos(2 * similarity / (1 + similarity)) / pi
-    rough = ceil(64 * angle + 4.5 * sqrt(64 * angle * (1 - angle)))
+    keys = heads.select("head", "f0", F.explode(F.array(*spread)).alias("key"))
+    rough = bound(64, similarity, 4.5)
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= rough
-    firsts = keys.groupBy("key").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = written(keys.join(firsts, "key").where("uid <> first"), "blocks")
-    lead = met.join(nodes.select(F.col("uid").alias("first"), F.col("fp")[0].alias("f1")), "first").where(near("f0", "f1")).select(F.col("first").alias("a"), F.col("uid").alias("b"))
-    links = verified(lead, nodes, keyed, words, similarity)
+    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("f0").alias("lead")).where(F.col("n") > crowd))
+    x, y = (keys.join(crowded.select("key"), "key", "left_anti").select("key", F.col("head").alias(n), F.col("f0").alias(f"f{n}")) for n in "ab")
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & near("fa", "fb")).select("a", "b")
+    dense = cut(keys.join(crowded.select("key", "lead"), "key"))
+    lead = dense.where((F.col("f0") != F.col("lead")) & near("f0", "lead")).select("lead", F.col("head").alias("b")).distinct().join(heads.select(F.col("f0").alias("lead"), F.col("head").alias("a")), "lead").select("a", "b")
+    links = verified(alike.union(pairs).union(lead), nodes, keyed, words, similarity)
     roots = cut(components(links))
-    several = met.where("n > 2").join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", "f0", F.coalesce("root", "uid").alias("root"))
-    x, y = (several.select("key", F.col("uid").alias(n), F.col("f0").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
-    apart = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("fa", "fb")).select("a", "b")
-    more = verified(apart, nodes, keyed, words, similarity)
+    labelled = dense.join(roots, F.col("head") == F.col("node"), "left").select("key", "head", F.coalesce("root", "head").alias("root"))
+    mixed_keys = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    apart = labelled.join(mixed_keys, "key").join(heads.select("head", "fp"), "head")
+    x, y = (apart.select("key", F.col("head").alias(n), F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
+    crossing = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3))).select("a", "b")
+    more = verified(crossing, nodes, keyed, words, similarity)
     final = components(links.union(more))
     ids = keyed.groupBy("text_key", "doc_id").count().drop("count")
     of = nodes.select("text_key", "uid").join(final, F.col("uid") == F.col("node"), "left").select("text_key", F.coalesce("root", "uid").alias("component"))
