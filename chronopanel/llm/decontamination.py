@@ -58,57 +58,63 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
+class Known(dict):
+    """Numbers tokens as they are met; keeps the kind and hash of each."""
+
+    def __init__(self):
+        self.kinds, self.hashes = np.empty(1 << 16, np.int8), np.empty(1 << 16, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        k = self[token] = len(self)
+        if k == len(self.kinds):
+            self.kinds, self.hashes = np.resize(self.kinds, 2 * k), np.resize(self.hashes, 2 * k)
+        self.kinds[k], self.hashes[k] = kind_of(token), digest(token.lower())
+        return k
+
+
 class Templates:
-    """Template windows of texts; keeps the kind and hash of tokens it has met."""
+    """Template windows of texts."""
 
     def __init__(self, window: int, literals: int):
         self.window, self.literals = window, literals
         self.power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(window)], np.uint64)
         self.slot_hash = np.array([digest(SLOTS.get(k, "")) for k in range(5)], np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.kinds, self.hashes = {}, [], []
-
-    def number(self, token: str) -> int:
-        k = self.known[token] = len(self.kinds)
-        self.kinds.append(kind_of(token))
-        self.hashes.append(digest(token.lower()))
-        return k
+        self.known = Known()
 
-    def of(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(hash of the window at each position, 0 where it has too few words; tokens; which are slots)"""
+    def of(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(hash of the window at each position, 0 where it has too few words; tokens; which of them have a position; which positions are slots)"""
         tokens = TOKEN.findall(text)
-        if len(self.kinds) > MOST_CACHED:
-            self.forget()
-        known, number = self.known, self.number
-        at = np.array([known[t] if t in known else number(t) for t in tokens], np.int64)
+        if len(self.known) > MOST_CACHED:
+            self.known = Known()
+        known = self.known
+        at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         if not len(at):
-            return np.empty(0, np.uint64), [], np.empty(0, bool)
-        kinds, hashes = np.array(self.kinds, np.int8)[at] if len(at) > len(self.kinds) else np.array([self.kinds[k] for k in at.tolist()], np.int8), np.array([self.hashes[k] for k in at.tolist()], np.uint64)
-        before = np.concatenate([[END], kinds[:-1]])
+            return np.empty(0, np.uint64), [], at, np.empty(0, bool)
+        kinds, hashes = known.kinds[at], known.hashes[at]
+        before = np.concatenate([np.array([END], np.int8), kinds[:-1]])
         kinds = np.where((kinds == CAPITAL) & (before == END) | (kinds == UNIT) & (before != NUMBER), WORD, kinds)
-        real = kinds != END
-        kinds, hashes = kinds[real], hashes[real]
+        places = np.flatnonzero(kinds != END)
+        kinds, hashes = kinds[places], hashes[places]
         slot = kinds != WORD
         hashes = np.where(slot, self.slot_hash[kinds], hashes)
         n = len(hashes)
         size = self.window
         if n < size:
-            return np.empty(0, np.uint64), [], slot
+            return np.empty(0, np.uint64), tokens, places, slot
+        hashes ^= hashes >> np.uint64(29)
         total = np.zeros(n - size + 1, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(size):
-                total += (hashes[k : n - size + 1 + k] ^ (hashes[k : n - size + 1 + k] >> np.uint64(29))) * self.power[k]
+                total += hashes[k : n - size + 1 + k] * self.power[k]
             total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size)
         words = np.concatenate([[0], np.cumsum(~slot)])
         total[(words[size:] - words[: n - size + 1]) < self.literals] = 0
-        return total, [t for t, keep in zip(tokens, real.tolist(), strict=True) if keep], slot
+        return total, tokens, places, slot
 
 
-def values(tokens: list[str], slot: np.ndarray, at: int, window: int) -> str:
+def values(tokens: list[str], places: np.ndarray, slot: np.ndarray, at: int, window: int) -> str:
     """The slot values of a window, in order."""
-    return SPLIT.join(tokens[k].lower() for k in range(at, min(at + window, len(tokens))) if slot[k])
+    return SPLIT.join(tokens[p].lower() for p in places[at : at + window][slot[at : at + window]].tolist())
 
 
 def windows(rows: DataFrame, id_column: str, window: int, literals: int, only: np.ndarray | None = None) -> DataFrame:
@@ -117,18 +123,24 @@ def windows(rows: DataFrame, id_column: str, window: int, literals: int, only: n
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(window, literals)
+        low = np.uint64((1 << 20) - 1)
+        maybe = np.zeros(1 << 20, bool)  # by a hash's low bits: most windows need no search
+        if only is not None:
+            maybe[only & low] = True
 
         def found():
             for batch in it:
                 for row_id, text in rows_of(batch, id_column, "text"):
-                    hashes, tokens, slot = templates.of(text)
-                    useful = hashes != 0
-                    if only is not None and len(hashes):
-                        useful &= only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes if len(only) else False
-                    key = None
-                    for at in np.flatnonzero(useful).tolist():
-                        key = np.uint64(digest(text)).astype(np.int64).item() if key is None else key
-                        yield row_id, key, at, hashes[at].astype(np.int64).item(), values(tokens, slot, at, window), int((hashes != 0).sum())
+                    hashes, tokens, places, slot = templates.of(text)
+                    if only is None:
+                        useful = np.flatnonzero(hashes)
+                    else:
+                        useful = np.flatnonzero(maybe[hashes & low] & (hashes != 0))
+                        useful = useful[only[np.minimum(np.searchsorted(only, hashes[useful]), len(only) - 1)] == hashes[useful]] if len(useful) else useful
+                    if len(useful):
+                        key, n = np.uint64(digest(text)).astype(np.int64).item(), np.count_nonzero(hashes)
+                        for at in useful.tolist():
+                            yield row_id, key, at, hashes[at].astype(np.int64).item(), values(tokens, places, slot, at, window), n
 
         yield from batches(found(), ddl, 20_000)
 
