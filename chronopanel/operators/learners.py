@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.checkpoints import cut
 from chronopanel.functions.stats import expit, logit
 
 
@@ -132,6 +133,30 @@ def ridge_by_fold(rows: DataFrame, group: str, fold: str, features: list[str], y
     return rows.sparkSession.createDataFrame(out, f"{group} string, {fold} bigint, beta array<double>")
 
 
+def continuation_scores(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """policy, keys, decision_period, score: recursive doubly robust scores with a cross-fitted ridge continuation for each stage.
+
+    The stages are the data's: from the last decision of the longest episode back to the first, one aggregate of power sums each. An episode
+    joins in at its own last decision. Where the other folds have no row of a stage, there is no continuation and q is 0.
+    """
+    rows = cut(rows.withColumn("a", F.col("action_removed").cast("double")))
+    names, keys = [*features, "a"], ["policy", *keys]
+    last = rows.agg(F.max("decision_period")).first()[0] or 0
+    line = lambda a: F.coalesce(sum((F.element_at("beta", i + 2) * x for i, x in enumerate([*map(F.col, features), F.lit(a)])), F.element_at("beta", 1)), F.lit(0.0))
+    later, parts = None, []
+    for stage in range(last, 0, -1):
+        now = rows.where(F.col("decision_period") == stage)
+        now = now.withColumn("next", F.lit(0.0)) if later is None else now.join(later, keys, "left").withColumn("next", F.coalesce("next", F.lit(0.0)))
+        now = now.withColumn("target", F.col("reward") + F.col("next"))
+        scored = now.join(F.broadcast(ridge_by_fold(now, "policy", "fold", names, "target")), ["policy", "fold"], "left").withColumn("q_keep", line(0.0)).withColumn("q_remove", line(1.0))  # a row for each policy and fold
+        qbar = (1 - F.col("pi")) * F.col("q_keep") + F.col("pi") * F.col("q_remove")
+        seen = F.when(F.col("action_removed") == 1, F.col("q_remove")).otherwise(F.col("q_keep"))
+        done = cut(scored.withColumn("score", qbar + F.col("ratio") * (F.col("target") - seen)).select(*keys, "decision_period", "score"))
+        parts.append(done)
+        later = done.select(*keys, F.col("score").alias("next"))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.select(*keys, "decision_period", F.lit(0.0).alias("score"))
+
+
 def importances(rows: DataFrame, features: list[str], label: str, fold: str = "fold") -> DataFrame:
     """feature, mean_abs: the mean over folds of the absolute standardised coefficients of the logistic learner."""
     folds, out = [r[0] for r in rows.select(fold).distinct().collect()], []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -437,25 +435,8 @@ def super_learner_weights(spark, folder):
 @query()
 def dml_policy_values(spark, folder):
     """Policy values from stage-wise ridge continuation fits, cross-fitted over folds of entities, last stage first."""
-    stages = 4
-    rows = policy_scores(spark, folder).where(F.col("decision_period") <= stages).select("policy", *EPISODE, "fold", "decision_period", "action_removed", "pi", "ratio", "reward", *[F.col(c).cast("double").alias(c) for c in ("episode_day", "interval_hours")], (F.col("unit_out") - F.col("unit_in")).cast("double").alias("stay"))
-    names = ["interval_hours", "stay", "a"]
-    rows = rows.withColumn("a", F.col("action_removed").cast("double"))
-    later, parts = None, []
-    rows = cut(rows)
-    for stage in range(stages, 0, -1):
-        now = rows.where(F.col("decision_period") == stage)
-        now = now.withColumn("next", F.lit(0.0)) if later is None else now.join(later, ["policy", *EPISODE], "left").withColumn("next", F.coalesce("next", F.lit(0.0)))
-        now = now.withColumn("target", F.col("reward") + F.col("next"))
-        betas = learners.ridge_by_fold(now, "policy", "fold", names, "target")
-        q = lambda a: F.coalesce(F.element_at("beta", 1) + F.element_at("beta", 2) * F.col("interval_hours") + F.element_at("beta", 3) * F.col("stay") + F.element_at("beta", 4) * F.lit(a), F.lit(0.0))
-        scored = now.join(betas, ["policy", "fold"], "left").withColumn("q_keep", q(0.0)).withColumn("q_remove", q(1.0))
-        qbar = (1 - F.col("pi")) * F.col("q_keep") + F.col("pi") * F.col("q_remove")
-        seen = F.when(F.col("action_removed") == 1, F.col("q_remove")).otherwise(F.col("q_keep"))
-        done = cut(scored.withColumn("score", qbar + F.col("ratio") * (F.col("target") - seen)).select("policy", *EPISODE, "decision_period", "score"))
-        parts.append(done)
-        later = done.select("policy", *EPISODE, F.col("score").alias("next"))
-    scores = reduce(DataFrame.unionByName, parts)
+    rows = policy_scores(spark, folder).select("policy", *EPISODE, "fold", "decision_period", "action_removed", "pi", "ratio", "reward", F.col("interval_hours").cast("double").alias("interval_hours"), (F.col("unit_out") - F.col("unit_in")).cast("double").alias("stay"))
+    scores = learners.continuation_scores(rows, EPISODE, ["interval_hours", "stay"])
     return rounded(scores.where("decision_period = 1").groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")), 6)
 
 
