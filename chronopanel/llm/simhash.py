@@ -16,6 +16,10 @@ them, which stands for all in the join on blocks; pairs far apart in these bits
 than ``crowd`` share, all meet one member; once the components of these links are known, members of different
 components meet by their whole fingerprints. So no group of copies is expanded into pairs.
 
+Beside the blocks, an exact path finds what they miss: two texts of the similarity share a shingle among the first of each
+in any one order, here that of corpus frequency (counted by hash bucket), and no filter but size and position, which lose
+nothing, comes before the exact check. Shingles that more than ``crowd`` texts have there are treated as crowded blocks are.
+
 Null texts are empty; texts without words have fingerprint zero. Null and repeated ids are kept: rows are told apart
 by their fingerprints, and a component whose ids are all null has a null id. Empty tables give empty results.
 """
@@ -124,6 +128,8 @@ def linked(docs: DataFrame, words: int = 3, max_distance: int = 2, blocks: int =
 
 
 WIDTH, BLOCKS_A_WORD, BLOCK_BITS = 24, 3, 20
+SKETCH_BITS, SKETCH_PART, SALTS = 20, 4096, 8
+SKETCH = 1 << SKETCH_BITS
 
 
 def distance(a: str, b: str):
@@ -141,7 +147,7 @@ def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def angle_of(similarity: float) -> float:
-    """The share of differing bits at a Jaccard coefficient, for sets of equal size; unequal sizes only bring texts nearer."""
+    """The share of differing bits at a Jaccard coefficient, for sets of equal size; small sets of unequal size can differ in more."""
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
@@ -150,11 +156,11 @@ def bound(bits: int, similarity: float, slack: float) -> int:
     return ceil(bits * angle + slack * sqrt(bits * angle * (1 - angle)))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b), those that pass the Hamming distance and then the exact comparison of their shingles."""
+def verified(pairs: DataFrame, sure: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) that pass the Hamming distance, and of all in ``sure``, those that pass the exact comparison of their shingles."""
     fp = nodes.select("uid", "fp")
     both = pairs.distinct().join(fp.select(F.col("uid").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("uid").alias("b"), F.col("fp").alias("fb")), "b")
-    near = cut(both.where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b"))
+    near = cut(both.where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b").union(sure).distinct())
     wanted = nodes.join(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "uid", "left_semi").select("uid", "text_key")
     sets = written(shingle_sets(keyed, wanted, words), "shingles")
     set_a, set_b = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -162,6 +168,57 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, s
     return cut(near.join(set_a, "a").join(set_b, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
 
 
+def shingle_counts(keyed: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of the corpus fall into each of SKETCH buckets by their hash: a fixed number of counts, whatever the corpus."""
+    ddl = "part int, counts array<bigint>"
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in it:
+            for (text,) in rows_of(batch, "text"):
+                np.add.at(total, bucket(shingle_hashes(text, words)), 1)
+        yield from batches(((k, c) for k, c in enumerate(total.reshape(-1, SKETCH_PART)) if c.any()), ddl, 64)
+
+    found = keyed.select("text").mapInArrow(each, ddl).select("part", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("part", "at").agg(F.sum("n").alias("n"))
+    total = np.zeros(SKETCH, np.int64)
+    for r in found.groupBy("part").agg(F.collect_list(F.struct("at", "n")).alias("c")).toLocalIterator():  # SKETCH numbers
+        for at, n in r["c"]:
+            total[r["part"] * SKETCH_PART + at] = n
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def prefixes(texts_of: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """uid, n, pos, key: of each text's n distinct shingles, the rarest first, so many that two texts of the similarity share one."""
+    ddl = "uid bigint, n int, keys array<bigint>"
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in it:
+                for uid, text in rows_of(batch, "uid", "text"):
+                    h = np.unique(shingle_hashes(text, words))
+                    if len(h):
+                        first = h[np.lexsort((h, counts[bucket(h)]))][: len(h) - ceil(similarity * len(h) - 1e-9) + 1]
+                        yield uid, len(h), first.view(np.int64)
+
+        yield from batches(rows(), ddl, 2000)
+
+    return texts_of.mapInArrow(each, ddl).select("uid", "n", F.posexplode("keys").alias("pos", "key"))
+
+
+def may_reach(similarity: float):
+    """Whether the texts a and b can have the similarity if theirs is the first shingle shared: it and what follows must suffice."""
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return rest >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+
+
+def side(keys: DataFrame, x: str, *more: str) -> DataFrame:
+    return keys.select("key", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_key (SHA-256 of the text), component (any number), keep.
 
@@ -181,14 +238,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, cr
     pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & near("fa", "fb")).select("a", "b")
     dense = cut(keys.join(crowded.select("key", "lead"), "key"))
     lead = dense.where((F.col("f0") != F.col("lead")) & near("f0", "lead")).select("lead", F.col("head").alias("b")).distinct().join(heads.select(F.col("f0").alias("lead"), F.col("head").alias("a")), "lead").select("a", "b")
-    links = verified(alike.union(pairs).union(lead), nodes, keyed, words, similarity)
+    texts_of = keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(nodes.select("text_key", "uid"), "text_key").select("uid", "text")
+    rare = cut(prefixes(texts_of, words, similarity, shingle_counts(texts_of, words)))
+    sizes = cut(rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "n", "pos")).alias("first")).where("m > 1"))
+    few = rare.join(sizes.where(F.col("m") <= crowd).select("key"), "key")
+    sure = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & may_reach(similarity)).select("a", "b")
+    many = cut(rare.join(sizes.where(F.col("m") > crowd), "key"))
+    leads = side(many, "b", F.col("first.uid").alias("a"), F.col("first.n").alias("na"), F.col("first.pos").alias("pa")).where((F.col("a") < F.col("b")) & may_reach(similarity)).select("a", "b")
+    links = verified(alike.union(pairs).union(lead), sure.union(leads), nodes, keyed, words, similarity)
     roots = cut(components(links))
+    split = many.join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
+    split = split.join(split.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key"), "key")
+    salted = side(split, "a", F.col("root").alias("ra"), F.pmod("uid", F.lit(SALTS)).alias("salt"))
+    others = side(split, "b", F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    met = salted.join(others, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_reach(similarity)).select("a", "b")
     labelled = dense.join(roots, F.col("head") == F.col("node"), "left").select("key", "head", F.coalesce("root", "head").alias("root"))
     mixed_keys = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
     apart = labelled.join(mixed_keys, "key").join(heads.select("head", "fp"), "head")
     x, y = (apart.select("key", F.col("head").alias(n), F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
     crossing = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3))).select("a", "b")
-    more = verified(crossing, nodes, keyed, words, similarity)
+    more = verified(crossing, met, nodes, keyed, words, similarity)
     final = components(links.union(more))
     ids = keyed.groupBy("text_key", "doc_id").count().drop("count")
     of = nodes.select("text_key", "uid").join(final, F.col("uid") == F.col("node"), "left").select("text_key", F.coalesce("root", "uid").alias("component"))

@@ -185,6 +185,28 @@ def r_sample(n, k):
     return rng.sample(range(n), k)
 
 
+def test_near_duplicates_of_few_words(spark):
+    draw, texts_ = random.Random(9), []
+    for n, cuts in [(9, 1), (10, 1), (14, 2), (19, 3), (20, 3), (8, 0), (24, 4)] * 20:
+        t = [f"v{draw.randrange(10**6)}" for _ in range(n)]
+        texts_ += [" ".join(t), " ".join(t[: n - cuts])] if cuts else [" ".join(t)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts_]
+    parent = list(range(len(texts_)))
+    by_shingle = defaultdict(list)
+    for i, s in enumerate(sets):
+        for j in {j for h in s for j in by_shingle[h]}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                parent[find(parent, i)] = find(parent, j)
+        for h in s:
+            by_shingle[h].append(i)
+    wanted = {frozenset(j for j in range(len(parent)) if find(parent, j) == r) for r in {find(parent, i) for i in range(len(parent))}}
+    for crowd in (16, 1):
+        groups = defaultdict(set)
+        for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), crowd=crowd).collect():
+            groups[r.component].add(r.doc_id)
+        assert set(map(frozenset, groups.values())) == wanted and sum(len(g) == 2 for g in wanted) == 120
+
+
 def test_simhash_awkward(spark, awkward):
     assert simhash.linked(awkward).count() == len(AWKWARD) and simhash.linked(awkward.limit(0)).count() == 0
     kept = simhash.deduplicated(awkward)
