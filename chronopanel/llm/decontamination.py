@@ -42,6 +42,7 @@ WORD, CAPITAL, NUMBER, END, UNIT = range(5)
 SLOTS = {NUMBER: "\0number", CAPITAL: "\0name", UNIT: "\0unit"}
 MOST_CACHED = 300_000
 SPLIT = "\x1f"
+TEXT_SEED = 42  # that of Spark's xxhash64
 
 
 def kind_of(token: str) -> int:
@@ -138,7 +139,7 @@ def windows(rows: DataFrame, id_column: str, window: int, literals: int, only: n
                         useful = np.flatnonzero(maybe[hashes & low] & (hashes != 0))
                         useful = useful[only[np.minimum(np.searchsorted(only, hashes[useful]), len(only) - 1)] == hashes[useful]] if len(useful) else useful
                     if len(useful):
-                        key, n = np.uint64(digest(text)).astype(np.int64).item(), np.count_nonzero(hashes)
+                        key, n = np.uint64(xxhash.xxh64_intdigest(text, TEXT_SEED)).astype(np.int64).item(), np.count_nonzero(hashes)
                         for at in useful.tolist():
                             yield row_id, key, at, hashes[at].astype(np.int64).item(), values(tokens, places, slot, at, window), n
 
@@ -147,10 +148,10 @@ def windows(rows: DataFrame, id_column: str, window: int, literals: int, only: n
     return texts(rows, id_column).mapInArrow(each, ddl)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: int = 3, coverage: float = 0.4, least: int = 3, filter_windows: int = 200_000) -> DataFrame:
-    """One row per document and item found there.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: int = 3, coverage: float = 0.4, least: int = 3, filter_windows: int = 200_000) -> DataFrame:
+    """One row per document (id and text) and item found there.
 
-    doc_id, item_id, n_windows (the item's), n_matched, n_verbatim (with unchanged slots), coverage, n_slots (distinct
+    doc_id, key (Spark's xxhash64 of the text), item_id, n_windows (the item's), n_matched, n_verbatim (with unchanged slots), coverage, n_slots (distinct
     values compared), n_changed, consistent, first_token (of the match, in the document), match: verbatim or reparameterised.
     """
     items = cut(windows(benchmark, "item_id", window, literals).select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n_windows"))
@@ -172,11 +173,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, literal
     judged = counted.select("*", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.size("mapped").cast("bigint").alias("n_slots"), changed.cast("bigint").alias("n_changed"), (F.size(F.array_distinct(F.transform("mapped", lambda p: p["was"]))) == F.size("mapped")).alias("consistent"))
     enough = lambda n: (F.col(n) >= coverage * F.col("n_windows")) & (F.col(n) >= F.least(F.lit(least), "n_windows"))
     hits = judged.where(enough("n_verbatim") | enough("n_matched") & F.col("consistent"))
-    best = hits.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_verbatim", "coverage", "n_slots", "n_changed", "consistent", "first_token"), F.struct("n_matched", "n_verbatim", -F.col("first_token"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.*", F.when(F.col("b.n_matched") == F.col("b.n_verbatim"), "verbatim").otherwise("reparameterised").alias("match"))
+    best = hits.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_verbatim", "coverage", "n_slots", "n_changed", "consistent", "first_token"), F.struct("n_matched", "n_verbatim", -F.col("first_token"))).alias("b"))
+    return best.select("doc_id", "key", "item_id", "b.*", F.when(F.col("b.n_matched") == F.col("b.n_verbatim"), "verbatim").otherwise("reparameterised").alias("match"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``matches`` without the key: documents that share an id have a row each."""
+    return matches(docs, benchmark, **options).drop("key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which an item was found; a row without an id goes only with its own text."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__found")), "left_anti")
+    """``docs`` without the documents in which an item was found; a row whose id is null or repeated goes only with its own text."""
+    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__found"), F.col("key").alias("__key")).distinct()
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(found, (text_key == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__found")), "left_anti")

@@ -243,6 +243,16 @@ def test_decontamination_awkward(spark, awkward):
 # Extraction
 
 
+def test_clean_keeps_other_texts_of_an_id(spark):
+    item = "Write down how many red apples the old farmer sold on the market after he gave 12 of them away"
+    other = "Nothing in this text has to do with what the farmer sold, it only tells of a quiet walk"
+    rows = [(None, item), (None, other), (None, None), (7, item + " é🙂"), (7, other), (8, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {(r.doc_id, r.text) for r in decontamination.clean(docs, bench).collect()}
+    assert kept == {(None, other), (None, None), (7, other), (8, other)}
+
+
 def test_extraction(spark):
     page = '<html><head><title>t</title><script>a("</p>")</script></head><body><nav>menu</nav><div class="cookie-notice">c</div><article><h1>A &amp; B</h1><p>One\n  two<p>Three <b>bold</b><div class="ad">buy</div><ul><li>x<li>y</ul></article><section id="comments">no</section><footer>f</footer></body></html>'
     boilerplate = "<div>You are reading the weekly paper of this small town now</div>"
