@@ -9,26 +9,29 @@ remaining bits, under which at most four fingerprints meet (a few hundred rows f
 
 ``near_duplicates`` links documents by the similarity of their word shingles (a Jaccard coefficient of 0.8 on five
 words by default), for which 64 bits are too coarse: it uses a 1,536-bit fingerprint of distinct shingles, 72 blocks of
-20 bits, Hamming distance with three standard deviations of slack, and an exact check of what passes. Pairs within 71
-bits always share a block; beyond, two texts at similarity 0.8, 0.85 and 0.9 do with probability 0.94, 0.99 and 0.9996,
-and any member of a group that they meet links them too. Texts with the same first 64 bits are compared with one of
-them, which stands for all in the join on blocks; pairs far apart in these bits go in the join itself. In a block that more
-than ``crowd`` share, all meet one member; once the components of these links are known, members of different
-components meet by their whole fingerprints. So no group of copies is expanded into pairs.
+20 bits, Hamming distance with three standard deviations of slack, and an exact check of what passes. Texts with the
+same set of shingles are one row of all that follows. In each block every text is held against one lead, the first there,
+so a group of copies makes a row for each member and block, never pairs.
 
 Beside the blocks, an exact path finds what they miss: two texts of the similarity share a shingle among the first of each
 in any one order, here that of corpus frequency (counted by hash bucket), and no filter but size and position, which lose
-nothing, comes before the exact check. Shingles that more than ``crowd`` texts have there are treated as crowded blocks are.
+nothing, comes before the exact check. Here too each shingle has one lead first. The links found so far are contracted into
+components; a shingle whose texts are in one component is settled, and under any other, those outside the largest component
+there meet the rest (``across``). So no link between different components is lost, and a group of near copies is never
+expanded into pairs.
 
-Null texts are empty; texts without words have fingerprint zero. Null and repeated ids are kept: rows are told apart
+Null texts are empty; texts without words have fingerprint zero, and all of them are near-duplicates of one another. Very long texts
+are read whole. Null and repeated ids are kept: rows are told apart
 by their fingerprints, and a component whose ids are all null has a null id. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, pi, sqrt
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -136,16 +139,6 @@ def distance(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WIDTH)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """uid and the sorted distinct shingle hashes of the texts in ``wanted`` (uid, text_key)."""
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(((uid, np.unique(shingle_hashes(text, words)).view(np.int64)) for b in it for uid, text in rows_of(b, "uid", "text")), "uid bigint, shingles array<bigint>", 500)
-
-    texts_of = keyed.join(wanted, "text_key").groupBy("uid").agg(F.first("text").alias("text"))
-    return texts_of.mapInArrow(each, "uid bigint, shingles array<bigint>")
-
-
 def angle_of(similarity: float) -> float:
     """The share of differing bits at a Jaccard coefficient, for sets of equal size; small sets of unequal size can differ in more."""
     return acos(2 * similarity / (1 + similarity)) / pi
@@ -156,39 +149,47 @@ def bound(bits: int, similarity: float, slack: float) -> int:
     return ceil(bits * angle + slack * sqrt(bits * angle * (1 - angle)))
 
 
-def verified(pairs: DataFrame, sure: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) that pass the Hamming distance, and of all in ``sure``, those that pass the exact comparison of their shingles."""
-    fp = nodes.select("uid", "fp")
-    both = pairs.distinct().join(fp.select(F.col("uid").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("uid").alias("b"), F.col("fp").alias("fb")), "b")
-    near = cut(both.where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b").union(sure).distinct())
-    wanted = nodes.join(near.select(F.col("a").alias("uid")).union(near.select("b")).distinct(), "uid", "left_semi").select("uid", "text_key")
-    sets = written(shingle_sets(keyed, wanted, words), "shingles")
-    set_a, set_b = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return cut(near.join(set_a, "a").join(set_b, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def shingle_counts(keyed: DataFrame, words: int) -> np.ndarray:
-    """How many shingles of the corpus fall into each of SKETCH buckets by their hash: a fixed number of counts, whatever the corpus."""
-    ddl = "part int, counts array<bigint>"
+def scanned(keyed: DataFrame, words: int) -> DataFrame:
+    """One pass over the texts: a row (doc_id, text_key, set_key, fp) for each, and rows (part, counts) that say how many shingles
+    of the task's texts fall into each of SKETCH buckets by their hash. ``set_key`` names the set of distinct shingles."""
+    kind = dict(keyed.dtypes)["doc_id"]
+    ddl = f"doc_id {kind}, text_key string, set_key string, fp array<bigint>, part int, counts binary"
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        for batch in it:
-            for (text,) in rows_of(batch, "text"):
-                np.add.at(total, bucket(shingle_hashes(text, words)), 1)
-        yield from batches(((k, c) for k, c in enumerate(total.reshape(-1, SKETCH_PART)) if c.any()), ddl, 64)
 
-    found = keyed.select("text").mapInArrow(each, ddl).select("part", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("part", "at").agg(F.sum("n").alias("n"))
-    total = np.zeros(SKETCH, np.int64)
-    for r in found.groupBy("part").agg(F.collect_list(F.struct("at", "n")).alias("c")).toLocalIterator():  # SKETCH numbers
-        for at, n in r["c"]:
-            total[r["part"] * SKETCH_PART + at] = n
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
+        def rows():
+            for batch in it:
+                for doc_id, text_key, text in rows_of(batch, "doc_id", "text_key", "text"):
+                    h = shingle_hashes(text, words)
+                    np.add.at(total, bucket(h), 1)
+                    h = np.unique(h)
+                    yield doc_id, text_key, xxhash.xxh3_128_hexdigest(h.tobytes()), majority(h, WIDTH).view(np.int64), None, None
+            yield from ((None, None, None, None, k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(total.reshape(-1, SKETCH_PART)) if c.any())
 
+        yield from batches(rows(), ddl, 500)
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return keyed.mapInArrow(each, ddl)
+
+
+def shingle_counts(found: DataFrame) -> np.ndarray:
+    """The counts of ``scanned`` summed: a fixed number of counts, whatever the corpus."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(SKETCH_PART, np.int64))
+        for batch in it:
+            for part, counts in rows_of(batch, "part", "counts"):
+                sums[part] += np.frombuffer(zlib.decompress(counts), np.int64)
+        yield from batches(((k, c.tobytes()) for k, c in sums.items()), "part int, counts binary", 64)
+
+    total = np.zeros((SKETCH // SKETCH_PART, SKETCH_PART), np.int64)
+    for r in found.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(each, "part int, counts binary").toLocalIterator():  # SKETCH numbers
+        total[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return np.minimum(total.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
 def prefixes(texts_of: DataFrame, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
@@ -219,49 +220,93 @@ def side(keys: DataFrame, x: str, *more: str) -> DataFrame:
     return keys.select("key", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), *more)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
+def shingle_sets(texts_of: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """uid and the sorted distinct shingle hashes of the texts in ``wanted`` (uid)."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((uid, np.unique(shingle_hashes(text, words)).view(np.int64)) for b in it for uid, text in rows_of(b, "uid", "text")), "uid bigint, shingles array<bigint>", 500)
+
+    return texts_of.join(wanted, "uid", "left_semi").select("uid", "text").mapInArrow(each, "uid bigint, shingles array<bigint>")
+
+
+def nodes_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have the similarity."""
+    set_a, set_b = (sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return cut(pairs.join(set_a, "a").join(set_b, "b").where(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
+
+
+def block_leads(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) for each block and text b in it whose fingerprint is close to that of the block's first text a."""
+    spread = [F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").bitwiseOR(F.lit(BLOCKS_A_WORD * w + k << BLOCK_BITS)) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
+    keys = nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("key"))
+    leads = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "f0")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.f0").alias("fa"))
+    rough = F.bit_count(F.col("f0").bitwiseXOR(F.col("fa"))) <= bound(64, similarity, 4.5)
+    return keys.join(leads, "key").where((F.col("uid") != F.col("a")) & rough).select("a", F.col("uid").alias("b"))
+
+
+def with_roots(rows: DataFrame, roots: DataFrame, uid: str, root: str) -> DataFrame:
+    """``rows`` with the component of ``uid``: its own number where it has no link."""
+    return rows.join(roots.select(F.col("node").alias(uid), F.col("root").alias(root)), uid, "left").withColumn(root, F.coalesce(root, uid))
+
+
+def across(many: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts in different components that share a key and may have the similarity.
+
+    One of each such pair is outside the key's largest component, so only those outside meet the others: rows follow a group's size,
+    not its square. Texts meet by bands of size, as sizes can't differ by more than the similarity.
+    """
+    ranked = with_roots(many.select("key", "uid", "n", "pos"), roots, "uid", "root")
+    sizes = ranked.groupBy("key", "root").count()
+    largest = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("roots > 1").select("key", "largest")
+    mixed = cut(ranked.join(largest, "key").withColumn("band", F.floor(F.log("n") / -log(similarity) + 1e-9)))
+    here = side(mixed, "a", F.col("root").alias("ra"), "largest", "band", F.pmod("uid", F.lit(SALTS)).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    few = mixed.where("root <> largest").select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"))
+    outside = side(few, "b", F.col("root").alias("rb"), F.col("near").alias("band"), salts)
+    once = (F.col("ra") == F.col("largest")) | (F.col("a") < F.col("b"))
+    return here.join(outside, ["key", "band", "salt"]).where((F.col("ra") != F.col("rb")) & once & may_reach(similarity)).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_key (SHA-256 of the text), component (any number), keep.
 
     ``keep`` marks one row of each component: that with the smallest doc_id, null ids last.
     """
     keyed = texts(docs, "doc_id").withColumn("text_key", F.sha2("text", 256))
-    prints = fingerprints(keyed, words, WIDTH, True, ("text_key",))
-    nodes = cut(prints.groupBy("text_key").agg(F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()).withColumn("f0", F.col("fp")[0]))
-    heads = cut(nodes.groupBy("f0").agg(F.min("uid").alias("head"), F.min_by("fp", "uid").alias("fp")))
-    alike = nodes.join(heads.select("f0", "head"), "f0").where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b"))
-    spread = [F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").bitwiseOR(F.lit(BLOCKS_A_WORD * w + k << BLOCK_BITS)) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
-    keys = heads.select("head", "f0", F.explode(F.array(*spread)).alias("key"))
-    rough = bound(64, similarity, 4.5)
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= rough
-    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("f0").alias("lead")).where(F.col("n") > crowd))
-    x, y = (keys.join(crowded.select("key"), "key", "left_anti").select("key", F.col("head").alias(n), F.col("f0").alias(f"f{n}")) for n in "ab")
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & near("fa", "fb")).select("a", "b")
-    dense = cut(keys.join(crowded.select("key", "lead"), "key"))
-    lead = dense.where((F.col("f0") != F.col("lead")) & near("f0", "lead")).select("lead", F.col("head").alias("b")).distinct().join(heads.select(F.col("f0").alias("lead"), F.col("head").alias("a")), "lead").select("a", "b")
-    texts_of = keyed.groupBy("text_key").agg(F.first("text").alias("text")).join(nodes.select("text_key", "uid"), "text_key").select("uid", "text")
-    rare = cut(prefixes(texts_of, words, similarity, shingle_counts(texts_of, words)))
-    sizes = cut(rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "n", "pos")).alias("first")).where("m > 1"))
-    few = rare.join(sizes.where(F.col("m") <= crowd).select("key"), "key")
-    sure = side(few, "a").join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & may_reach(similarity)).select("a", "b")
-    many = cut(rare.join(sizes.where(F.col("m") > crowd), "key"))
-    leads = side(many, "b", F.col("first.uid").alias("a"), F.col("first.n").alias("na"), F.col("first.pos").alias("pa")).where((F.col("a") < F.col("b")) & may_reach(similarity)).select("a", "b")
-    links = verified(alike.union(pairs).union(lead), sure.union(leads), nodes, keyed, words, similarity)
+    found = cut(scanned(keyed, words))
+    counts = shingle_counts(found)
+    nodes = cut(found.where("part IS NULL").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()))
+    once = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+    texts_of = written(once.join(nodes.select("text_key", "uid"), "text_key").select("uid", "text"), "near-duplicate-texts")
+
+    rare = cut(prefixes(texts_of, words, similarity, counts))
+    shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "n", "pos")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
+    many = cut(rare.join(shared, "key"))
+    led = side(many, "b", "a", "na", "pa").where((F.col("a") != F.col("b")) & may_reach(similarity)).select("a", "b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    blocks = block_leads(nodes, similarity).groupBy("a", "b").agg(F.count("*").alias("m"))
+    fp_a, fp_b = (nodes.select(F.col("uid").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
+    close = blocks.join(fp_a, "a").join(fp_b, "b").where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b", "m")
+    candidates = cut(led.union(close).groupBy("a", "b").agg(F.sum("m").alias("m")))
+    sets = written(shingle_sets(texts_of, nodes_in(candidates), words), "shingles")
+
+    # Each text is held against its likeliest lead first; leads in the component that it then has need no comparison.
+    likeliest = candidates.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
+    links = alike(likeliest, sets, similarity)
     roots = cut(components(links))
-    split = many.join(roots, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
-    split = split.join(split.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key"), "key")
-    salted = side(split, "a", F.col("root").alias("ra"), F.pmod("uid", F.lit(SALTS)).alias("salt"))
-    others = side(split, "b", F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    met = salted.join(others, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may_reach(similarity)).select("a", "b")
-    labelled = dense.join(roots, F.col("head") == F.col("node"), "left").select("key", "head", F.coalesce("root", "head").alias("root"))
-    mixed_keys = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    apart = labelled.join(mixed_keys, "key").join(heads.select("head", "fp"), "head")
-    x, y = (apart.select("key", F.col("head").alias(n), F.col("fp").alias(f"f{n}"), F.col("root").alias(f"r{n}")) for n in "ab")
-    crossing = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3))).select("a", "b")
-    more = verified(crossing, met, nodes, keyed, words, similarity)
-    final = components(links.union(more))
-    ids = keyed.groupBy("text_key", "doc_id").count().drop("count")
-    of = nodes.select("text_key", "uid").join(final, F.col("uid") == F.col("node"), "left").select("text_key", F.coalesce("root", "uid").alias("component"))
-    rows = ids.join(of, "text_key")
+    others = with_roots(with_roots(candidates.join(likeliest, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+    links = links.union(alike(others, sets, similarity))
+    roots = cut(components(links))
+    rest = cut(across(many, roots, similarity))
+    links = links.union(alike(rest, written(shingle_sets(texts_of, nodes_in(rest), words), "shingles"), similarity))
+    final = components(links)
+
+    ids = found.where("part IS NULL").groupBy("text_key", "doc_id", "set_key").count().drop("count")
+    rows = with_roots(ids.join(nodes.select("set_key", "uid"), "set_key"), final, "uid", "component")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = rows.groupBy("component").agg(F.min(rank).alias("best"))
     return rows.join(best, "component").select("doc_id", "text_key", "component", F.expr("doc_id <=> best.doc_id AND text_key = best.text_key").alias("keep"))

@@ -200,11 +200,10 @@ def test_near_duplicates_of_few_words(spark):
         for h in s:
             by_shingle[h].append(i)
     wanted = {frozenset(j for j in range(len(parent)) if find(parent, j) == r) for r in {find(parent, i) for i in range(len(parent))}}
-    for crowd in (16, 1):
-        groups = defaultdict(set)
-        for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), crowd=crowd).collect():
-            groups[r.component].add(r.doc_id)
-        assert set(map(frozenset, groups.values())) == wanted and sum(len(g) == 2 for g in wanted) == 120
+    groups = defaultdict(set)
+    for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect():
+        groups[r.component].add(r.doc_id)
+    assert set(map(frozenset, groups.values())) == wanted and sum(len(g) == 2 for g in wanted) == 120
 
 
 def test_simhash_awkward(spark, awkward):
