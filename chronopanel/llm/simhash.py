@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     texts_of = written(once.join(nodes.select("text_key", "uid"), "text_key").select("uid", "text"), "near-duplicate-texts")
 
     rare = cut(prefixes(texts_of, words, similarity, counts))
-    shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "n", "pos")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
+    # The lead is the text with the fewest rarer shingles: of a group of near copies, the one with the fewest edits of its own.
+    shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("pos", "uid", "n")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
     many = cut(rare.join(shared, "key"))
     led = side(many, "b", "a", "na", "pa").where((F.col("a") != F.col("b")) & may_reach(similarity)).select("a", "b").groupBy("a", "b").agg(F.count("*").alias("m"))
     blocks = block_leads(nodes, similarity).groupBy("a", "b").agg(F.count("*").alias("m"))
