@@ -1,20 +1,26 @@
 """Benchmark decontamination by templates.
 
-Texts become templates: a number turns into a number slot, a unit of measure after a number into a unit slot, a
-capitalised word inside a sentence into a name slot; other words stay, in lower case, and punctuation goes. Windows
-of consecutive template tokens are hashed and the corpus's windows are joined to the benchmark's. The windows of a
-document and an item that match at the same shift are counted, and the slot values there are compared: the item's
-values must map to the document's as a function (the same number must become the same number everywhere). So a
-question with other numbers and names is found, and a text that only shares a form isn't.
+Texts become templates: a number turns into a number slot, a unit of measure after a number into a unit slot, a run of
+capitalised words (wherever they stand, so a name at the start of a sentence is one too) into one name slot; other words
+stay, in lower case, and punctuation goes. Windows of consecutive template tokens are hashed and the corpus's windows
+are joined to the benchmark's. The windows of a document and an item that match at the same shift, or within a band of
+``slack`` neighbouring shifts (a word put in or left out moves all that follows), are counted, and the slot values there
+are compared: the item's values must map to the document's as a function (the same number must become the same number
+everywhere). So a question with other numbers and names is found, and a text that only shares a form isn't.
 
 A pair of document and item is reported where matching windows make up ``coverage`` of the item's windows at the best
-shift, and the slots map consistently, or the windows with unchanged slots alone make up that share. Windows of
-mostly slots (fewer than ``literals`` words) count for nothing; an item shorter than a window can't be told from chance
-and isn't searched for.
-
-Where the benchmark has at most ``filter_windows`` distinct windows, its sorted hashes go to the tasks (8 bytes each),
-which then send on only windows that will match; a larger benchmark meets all windows in a shuffled join. Both give
-the same rows. Null texts are empty and match nothing, null items likewise; rows with equal ids and texts count as one.
+shift or band, and the slots map consistently, or the windows with unchanged slots alone make up that share. A window of
+mostly slots (fewer than ``literals`` words) says little by its form, so it counts only with its values unchanged. An item
+shorter than a window is one window of its own length, which counts only with its values unchanged; one of fewer than
+``shortest`` tokens, a word or two that any text may have, is found only in a text that consists of it.
+
+The tasks drop windows that can't match by a bitmap of the benchmark's hashes, of a fixed size whatever the benchmark; it
+drops none that match. What passes meets the benchmark's windows in a join. A window that many items share is
+joined with the few items of each, so a document's row is repeated for each of these items, never for other documents.
+
+Null texts are empty and match nothing, null items likewise; rows with equal ids and texts count as one. Very long texts are
+read whole. Of equally good shifts the one with the earliest token is reported. Only the named columns are read, so others can't clash;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ TOKEN = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\
 WORD, CAPITAL, NUMBER, END, UNIT = range(5)
 SLOTS = {NUMBER: "\0number", CAPITAL: "\0name", UNIT: "\0unit"}
 MOST_CACHED = 300_000
+MAP_BITS, MOST_VALUE = 24, 200
 SPLIT = "\x1f"
 TEXT_SEED = 42  # that of Spark's xxhash64
 
@@ -73,8 +80,40 @@ class Known(dict):
         return k
 
 
-class Templates:
-    """Template windows of texts."""
+class Template:
+    """The slots and words of a text: hashes of the template and of the values, which positions are slots, and their tokens."""
+
+    __slots__ = ("hashes", "values", "slot", "first", "last", "tokens")
+
+    def __init__(self, text: str, known: Known, slot_hash: np.ndarray):
+        self.tokens = TOKEN.findall(text)
+        at = np.fromiter(map(known.__getitem__, self.tokens), np.int64, len(self.tokens))
+        kinds, values = known.kinds[at], known.hashes[at]
+        before = np.concatenate([np.array([END], np.int8), kinds[:-1]])
+        kinds = np.where((kinds == UNIT) & (before != NUMBER), WORD, kinds)
+        kept = np.flatnonzero(kinds != END)
+        inside = ((kinds == CAPITAL) & (before == CAPITAL))[kept]  # of a run of capitalised words all but the first
+        starts = np.flatnonzero(~inside)
+        within = np.arange(len(kept)) - np.repeat(starts, np.diff(np.append(starts, len(kept)))) if len(kept) else kept
+        self.first, self.last = (kept[starts], kept[np.append(starts[1:], len(kept)) - 1]) if len(kept) else (kept, kept)
+        kinds = kinds[self.first]
+        self.slot = kinds != WORD
+        with np.errstate(over="ignore"):
+            self.values = np.add.reduceat(values[kept] * np.power(np.uint64(31), within.astype(np.uint64)), starts) if len(kept) else np.empty(0, np.uint64)
+        self.hashes = np.where(self.slot, slot_hash[kinds], self.values)
+
+    def value(self, k: int) -> str:
+        found = " ".join(self.tokens[self.first[k] : self.last[k] + 1]).lower()
+        return found if len(found) <= MOST_VALUE else f"#{digest(found)}"
+
+    def slots(self, at: int, size: int, literals: int) -> str:
+        """The slot values of a window, in order; none where it counts by its values."""
+        slot = self.slot[at : at + size]
+        return SPLIT.join(self.value(at + k) for k in np.flatnonzero(slot).tolist()) if size - np.count_nonzero(slot) >= literals else ""
+
+
+class Windows:
+    """Hashes of the windows of a template."""
 
     def __init__(self, window: int, literals: int):
         self.window, self.literals = window, literals
@@ -82,90 +121,127 @@ class Templates:
         self.slot_hash = np.array([digest(SLOTS.get(k, "")) for k in range(5)], np.uint64)
         self.known = Known()
 
-    def of(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """(hash of the window at each position, 0 where it has too few words; tokens; which of them have a position; which positions are slots)"""
-        tokens = TOKEN.findall(text)
+    def template(self, text: str) -> Template:
         if len(self.known) > MOST_CACHED:
             self.known = Known()
-        known = self.known
-        at = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        if not len(at):
-            return np.empty(0, np.uint64), [], at, np.empty(0, bool)
-        kinds, hashes = known.kinds[at], known.hashes[at]
-        before = np.concatenate([np.array([END], np.int8), kinds[:-1]])
-        kinds = np.where((kinds == CAPITAL) & (before == END) | (kinds == UNIT) & (before != NUMBER), WORD, kinds)
-        places = np.flatnonzero(kinds != END)
-        kinds, hashes = kinds[places], hashes[places]
-        slot = kinds != WORD
-        hashes = np.where(slot, self.slot_hash[kinds], hashes)
+        return Template(text, self.known, self.slot_hash)
+
+    def rolled(self, hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
         n = len(hashes)
-        size = self.window
-        if n < size:
-            return np.empty(0, np.uint64), tokens, places, slot
-        hashes ^= hashes >> np.uint64(29)
-        total = np.zeros(n - size + 1, np.uint64)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+        total = np.zeros(max(0, n - size + 1), np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(size):
+            for k in range(size if n >= size else 0):
                 total += hashes[k : n - size + 1 + k] * self.power[k]
-            total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size)
-        words = np.concatenate([[0], np.cumsum(~slot)])
-        total[(words[size:] - words[: n - size + 1]) < self.literals] = 0
-        return total, tokens, places, slot
+            return (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size + (seed << 8))
+
+    def of(self, t: Template) -> np.ndarray:
+        """The hash at each position: of the form, or where there are too few words of the values."""
+        size = self.window
+        if len(t.hashes) < size:
+            return np.empty(0, np.uint64)
+        words = np.concatenate([[0], np.cumsum(~t.slot)])
+        few = (words[size:] - words[: len(words) - size]) < self.literals
+        out = self.rolled(t.hashes, size, 0)
+        return np.where(few, self.rolled(t.values, size, 1), out) if few.any() else out
+
+    def short(self, t: Template, size: int) -> np.ndarray:
+        """The hash of the values of every run of ``size`` tokens, fewer than a window."""
+        return self.rolled(t.values, size, 2)
+
+    def whole(self, t: Template) -> np.ndarray:
+        return self.rolled(t.values, len(t.values), 3)
+
+
+WINDOWS = "key bigint, pos bigint, size int, hash bigint, slots string, n_windows bigint"
+
+
+def windows_of(items: DataFrame, window: int, literals: int, shortest: int) -> DataFrame:
+    """item_id, key (a hash of the text), pos, size, hash, slots, n_windows: of every window of every item."""
+    ddl = f"item_id {type_of(items, 'item_id')}, {WINDOWS}"
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Windows(window, literals)
+
+        def found():
+            for batch in it:
+                for item_id, text in rows_of(batch, "item_id", "text"):
+                    t = made.template(text)
+                    n = len(t.first)
+                    size = min(n, window)
+                    hashes = made.of(t) if n >= window else made.short(t, n) if n >= shortest else made.whole(t) if n else []
+                    for at, h in enumerate(hashes):
+                        yield item_id, key_of(text), at, size, h.astype(np.int64).item(), t.slots(at, size, literals) if size == window else "", len(hashes)
+
+        yield from batches(found(), ddl, 20_000)
+
+    return texts(items, "item_id").mapInArrow(each, ddl)
+
+
+def key_of(text: str) -> int:
+    return np.uint64(xxhash.xxh64_intdigest(text, TEXT_SEED)).astype(np.int64).item()
+
+
+def bitmap(items: DataFrame) -> np.ndarray:
+    """One bit for each value of a hash's lower ``MAP_BITS`` bits: whether an item's window has it. At most 2 ** MAP_BITS / 64 rows reach the driver."""
+    low = F.col("hash").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    one = F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    rows = items.select(F.shiftright(low, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros((1 << MAP_BITS) // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return words.view(np.uint64)
 
 
-def values(tokens: list[str], places: np.ndarray, slot: np.ndarray, at: int, window: int) -> str:
-    """The slot values of a window, in order."""
-    return SPLIT.join(tokens[p].lower() for p in places[at : at + window][slot[at : at + window]].tolist())
+def in_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The positions whose hash the bitmap may hold."""
+    low = hashes & np.uint64((1 << MAP_BITS) - 1)
+    return np.flatnonzero((words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
 
 
-def windows(rows: DataFrame, id_column: str, window: int, literals: int, only: np.ndarray | None = None) -> DataFrame:
-    """id, key (a hash of the text), pos, hash, slots, n_windows: of every window, or of those with a hash in ``only``."""
-    ddl = f"{id_column} {type_of(rows, id_column)}, key bigint, pos bigint, hash bigint, slots string, n_windows bigint"
+def windows(docs: DataFrame, window: int, literals: int, shortest: int, short_sizes: list[int], words: np.ndarray) -> DataFrame:
+    """doc_id, key, pos, size, hash, slots of the documents' windows that the bitmap may hold; of fewer tokens than a window for sizes that items have."""
+    ddl = f"doc_id {type_of(docs, 'doc_id')}, key bigint, pos bigint, size int, hash bigint, slots string"
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(window, literals)
-        low = np.uint64((1 << 20) - 1)
-        maybe = np.zeros(1 << 20, bool)  # by a hash's low bits: most windows need no search
-        if only is not None:
-            maybe[only & low] = True
+        made = Windows(window, literals)
 
         def found():
             for batch in it:
-                for row_id, text in rows_of(batch, id_column, "text"):
-                    hashes, tokens, places, slot = templates.of(text)
-                    if only is None:
-                        useful = np.flatnonzero(hashes)
-                    else:
-                        useful = np.flatnonzero(maybe[hashes & low] & (hashes != 0))
-                        useful = useful[only[np.minimum(np.searchsorted(only, hashes[useful]), len(only) - 1)] == hashes[useful]] if len(useful) else useful
-                    if len(useful):
-                        key, n = np.uint64(xxhash.xxh64_intdigest(text, TEXT_SEED)).astype(np.int64).item(), np.count_nonzero(hashes)
-                        for at in useful.tolist():
-                            yield row_id, key, at, hashes[at].astype(np.int64).item(), values(tokens, places, slot, at, window), n
+                for doc_id, text in rows_of(batch, "doc_id", "text"):
+                    t = made.template(text)
+                    n, key = len(t.first), None
+                    parts = [(window, made.of(t)), *((k, made.short(t, k)) for k in short_sizes if shortest <= k <= n)]
+                    if 0 < n < shortest:
+                        parts.append((n, made.whole(t)))
+                    for size, hashes in parts:
+                        for at in in_map(words, hashes).tolist():
+                            key = key_of(text) if key is None else key
+                            yield doc_id, key, at, size, hashes[at].astype(np.int64).item(), t.slots(at, size, literals) if size == window else ""
 
         yield from batches(found(), ddl, 20_000)
 
-    return texts(rows, id_column).mapInArrow(each, ddl)
+    return texts(docs, "doc_id").mapInArrow(each, ddl)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: int = 3, coverage: float = 0.4, least: int = 3, filter_windows: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: int = 3, coverage: float = 0.4, least: int = 3, shortest: int = 3, slack: int = 8) -> DataFrame:
     """One row per document (id and text) and item found there.
 
     doc_id, key (Spark's xxhash64 of the text), item_id, n_windows (the item's), n_matched, n_verbatim (with unchanged slots), coverage, n_slots (distinct
     values compared), n_changed, consistent, first_token (of the match, in the document), match: verbatim or reparameterised.
     """
-    items = cut(windows(benchmark, "item_id", window, literals).select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n_windows"))
-    few = items.select("hash").distinct().limit(filter_windows + 1).collect()
-    only = np.sort(np.array([r["hash"] for r in few], np.int64).view(np.uint64)) if len(few) <= filter_windows else None
-    of_docs = windows(docs, "doc_id", window, literals, only).drop("n_windows")
-    met = of_docs.join(items, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    items = cut(windows_of(benchmark, window, literals, shortest).select("item_id", F.col("pos").alias("item_pos"), "size", "hash", F.col("slots").alias("item_slots"), "n_windows"))
+    short_sizes = sorted(r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect())  # fewer than ``window``
+    of_docs = windows(docs, window, literals, shortest, short_sizes, bitmap(items))
+    met = of_docs.join(items, ["hash", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    band = lambda name, x: F.struct(F.lit(name).alias("by"), F.floor(x).cast("bigint").alias("place"))
+    half = slack // 2
+    met = met.withColumn("at", F.explode(F.array(band("shift", F.col("shift")), band("low", F.col("shift") / slack), band("high", (F.col("shift") + half) / slack))))
     same = F.col("slots") == F.col("item_slots")
-    at = ["doc_id", "key", "item_id", "shift"]
     pair = F.arrays_zip(F.split("item_slots", SPLIT).alias("was"), F.split("slots", SPLIT).alias("now"))
-    counted = met.groupBy(*at).agg(
+    counted = met.groupBy("doc_id", "key", "item_id", "at").agg(
         F.max("n_windows").alias("n_windows"),
-        F.count_distinct("pos").alias("n_matched"),
-        F.count_distinct(F.when(same, F.col("pos"))).alias("n_verbatim"),
+        F.count_distinct("item_pos").alias("n_matched"),
+        F.count_distinct(F.when(same, F.col("item_pos"))).alias("n_verbatim"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") != "", pair)))).alias("mapped"),
         F.min("pos").alias("first_token"),
     )
@@ -173,7 +249,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: in
     judged = counted.select("*", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.size("mapped").cast("bigint").alias("n_slots"), changed.cast("bigint").alias("n_changed"), (F.size(F.array_distinct(F.transform("mapped", lambda p: p["was"]))) == F.size("mapped")).alias("consistent"))
     enough = lambda n: (F.col(n) >= coverage * F.col("n_windows")) & (F.col(n) >= F.least(F.lit(least), "n_windows"))
     hits = judged.where(enough("n_verbatim") | enough("n_matched") & F.col("consistent"))
-    best = hits.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_verbatim", "coverage", "n_slots", "n_changed", "consistent", "first_token"), F.struct("n_matched", "n_verbatim", -F.col("first_token"))).alias("b"))
+    best = hits.groupBy("doc_id", "key", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_verbatim", "coverage", "n_slots", "n_changed", "consistent", "first_token"), F.struct("n_matched", "n_verbatim", F.col("at.by") == "shift", -F.col("first_token"))).alias("b"))
     return best.select("doc_id", "key", "item_id", "b.*", F.when(F.col("b.n_matched") == F.col("b.n_verbatim"), "verbatim").otherwise("reparameterised").alias("match"))
 
 

@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import texts
+from chronopanel.llm.common import texts, type_of
 
 BREAK = r"\\n|(?<=[.!?;|])\\s+"
 RANGE_ROWS = 500
 MOST_RANGES = 65_536
+SAMPLED = 16
 SMALL, GROUP, LARGER = 4, 14, (8, 16, 64, 512)
 SHIFTS = (8, 20, 32)
 GROUP_SHIFT = 44
@@ -103,10 +104,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return parts.withColumn("cells", F.expr(sketch(signed("digests", 1), SMALL))).withColumn("fingerprint", F.expr(printed("cells")))
 
 
-def range_of(bounds: list[int], doc_id: str = "doc_id"):
+def range_of(bounds: list, doc_id: str, kind: str):
     """The number of bounds that an id exceeds, by binary search; -1 for null."""
     steps = max(1, len(bounds).bit_length())
-    table_ = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    table_ = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
 
     def step(low, k):
         to = low + F.pow(F.lit(2.0), F.lit(steps - 1) - k).cast("int")
@@ -115,18 +116,28 @@ def range_of(bounds: list[int], doc_id: str = "doc_id"):
     return F.when(F.col(doc_id).isNull(), -1).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0), step))
 
 
+def bounds_of(ids: DataFrame, kind: str) -> list:
+    """Ids that split the table into ranges of about ``RANGE_ROWS`` rows: approximate quantiles of integers; of other types, those of a sample by hash."""
+    n = ids.count()
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return []
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        return sorted({int(b) for b in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)})
+    every = max(1, n // (SAMPLED * ranges))
+    sample = sorted(r[0] for r in ids.where("doc_id IS NOT NULL").distinct().where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).collect())  # about SAMPLED * MOST_RANGES at most
+    return sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """The rows of ``fingerprint`` with those of the next document: next_text, next_digests, next_cells. Also range, n."""
-    ids = docs.select("doc_id")
-    ranges = min(MOST_RANGES, -(-ids.count() // RANGE_ROWS))
-    bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    dealt = texts(docs, "doc_id").withColumn("range", range_of(bounds))
+    kind = type_of(docs, "doc_id")
+    bounds = bounds_of(docs.select("doc_id"), kind)
+    dealt = texts(docs, "doc_id").withColumn("range", range_of(bounds, "doc_id", kind))
     tops = {r["range"]: r["top"] for r in dealt.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # at most MOST_RANGES rows
     order = sorted(tops, reverse=True)
-    if not order:
-        head = docs.sparkSession.createDataFrame([], "to int, top bigint")
-    else:
-        head = docs.sparkSession.createDataFrame([(at, tops[after]) for at, after in zip(order, [*order[1:], order[0]], strict=True)], "to int, top bigint")
+    after = zip(order, [*order[1:], *order[:1]], strict=True)
+    head = docs.sparkSession.createDataFrame([(at, tops[then]) for at, then in after], f"to int, top {kind}")
     firsts = dealt.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     rows = dealt.select("range", "doc_id", "text", F.lit(0).alias("ghost")).unionByName(firsts.select(F.col("to").alias("range"), "doc_id", "text", F.lit(1).alias("ghost")))
     w = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")

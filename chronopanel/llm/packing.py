@@ -10,8 +10,9 @@ table of at most ``max_tokens`` rows, whatever the corpus. The driver packs that
 sequences, and gets segments "ranks r.. of length n go to sequences s.. at offset o". Spark ranks the pieces of each
 length (in buckets, so a length that a third of the corpus has is no single task's work) and joins them to the segments.
 
-Null texts count as empty (one token, the separator). Rows with equal or null ids are separate documents. An empty
-table gives an empty result.
+Null texts count as empty (one token, the separator). Rows with equal or null ids, and repeated rows, are separate documents; ids
+may be of any type. Very long texts are tokenised whole and cut. Pieces of one length are ranked by row, so ties need no rule.
+Only doc_id and text are read, so other columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -29,19 +30,24 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import batches, cut, rows_of, texts
+from chronopanel.llm.common import batches, cut, rows_of, texts, type_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 SEPARATOR = 0
 BUCKET_ROWS = 50_000
 
 
+#: Fixed value of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of byte_bpe_50k.json from its rank file: the same ids, several times faster."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids by the byte-level BPE of byte_bpe_50k.json from its rank file: the same ids, a special token's string included, several times faster."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return partial(known.encode, allowed_special="all")
 
 
 def cuts(n: int, max_tokens: int) -> list[tuple[int, int]]:
@@ -50,15 +56,15 @@ def cuts(n: int, max_tokens: int) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, max_tokens) for s in range(first, n, max_tokens))]
 
 
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def pieces(docs: DataFrame, max_tokens: int, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """One row per piece of every document; with_ids adds the token ids."""
-    ddl = PIECE + ", ids array<int>" * with_ids
+    ddl = f"doc_id {type_of(docs, 'doc_id')}, {PIECE}" + ", ids array<int>" * with_ids
 
     def cut_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary)
 
         def rows():
             for batch in it:

@@ -132,7 +132,7 @@ def trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ddl = f"doc_id {type_of(docs, 'doc_id')}, text string, leaf_chars array<bigint>, leaf_tokens array<bigint>"
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary)
 
         def rows():
             for batch in it:
@@ -158,7 +158,7 @@ def edited(docs: DataFrame, vocabulary: str | None = None, keep_trees: bool = Fa
     ddl += ", text string, leaf_chars array<bigint>, leaf_tokens array<bigint>" * keep_trees
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary)
 
         def rows():
             for batch in it:

@@ -9,10 +9,12 @@ stands and per word of the text, goes through a logistic curve to a score betwee
 ``fit`` learns lexicon, exceptions and curve from labelled rows: a sample of at most ``most_rows``, by hash of the id,
 without repeated texts. An entry needs ``support`` of the toxic texts and ``precision`` among the texts that have it; the
 shortest beginning that reaches both stands for all longer ones. An exception is an entry with the word before
-or after it that clean texts use and toxic ones hardly do; a word that reaches the precision only outside exceptions joins. What is fitted has at most ``most_entries`` entries.
+or after it that clean texts use and toxic ones hardly do; a word that reaches the precision only outside exceptions joins. All that reach these bounds are
+in: as an entry needs its share of the toxic texts, their number follows the words of a text, not the corpus.
 
-Null and empty texts score as texts without hits. Without labels of both kinds the lexicon is empty and every score is
-the same. Rows are scored one by one, whole; repeated rows get equal scores.
+Null and empty texts score as texts without hits. Without labels of both kinds, or without documents, the lexicon is empty and every
+score is the same. A text with both labels counts as toxic; of entries that start at one place the weightiest counts. Rows are scored one by one,
+whole however long; repeated rows get equal scores. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log, log1p
+from math import ceil, exp, log, log1p
 
 import ahocorasick
 import numpy as np
@@ -144,35 +146,35 @@ def training(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     return joined.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000, support: float = 0.02, least: int = 4, precision: float = 0.97, most_entries: int = 2_000, most_curve_rows: int = 20_000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 40_000, support: float = 0.02, least: int = 4, precision: float = 0.97, most_curve_rows: int = 20_000) -> Lexicon:
     rows = written(training(docs, labels, most_rows), "toxicity-training")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon()
     need = max(least, support * n[1])
     counts = cut(tally(rows, grams).where(F.col("toxic") >= need))
-    weights = entries(counts, n, precision, most_entries)
+    weights = entries(counts, n, precision)
     if weights:  # then what explains the toxic texts that are left
         left = unhit(rows, Lexicon(weights))
         toxic_left = left.where("toxic = 1").count()
-        weights |= entries(tally(left, grams).where(F.col("toxic") >= max(least, 5 * support * toxic_left)), n, precision, most_entries)
-    doubtful = {g: w for g, w in entries(counts, n, 0.7, most_entries, " ").items() if not any(g[:k] in weights for k in range(SHORTEST_START + 1, len(g) + 1))}
-    spared = exceptions(rows, Lexicon(weights | doubtful), n, least, most_entries)
+        weights |= entries(tally(left, grams).where(F.col("toxic") >= max(least, 5 * support * toxic_left)), n, precision)
+    doubtful = {g: w for g, w in entries(counts, n, 0.7, " ").items() if not any(g[:k] in weights for k in range(SHORTEST_START + 1, len(g) + 1))}
+    spared = exceptions(rows, Lexicon(weights | doubtful), n, least)
     if doubtful and spared:
         weights |= outside(rows, Lexicon(doubtful, spared), n, need, precision)
     if not weights:
         return Lexicon()
     top = max(weights.values())
     lexicon = Lexicon({g: w / top for g, w in weights.items()}, spared)
-    lexicon.curve = curve(rows, lexicon, most_curve_rows)
+    lexicon.curve = curve(rows, lexicon, n[0] + n[1], most_curve_rows)
     return lexicon
 
 
-def entries(counts: DataFrame, n: dict[int, int], precision: float, most: int, end: str = "") -> dict[str, float]:
+def entries(counts: DataFrame, n: dict[int, int], precision: float, end: str = "") -> dict[str, float]:
     """The shortest of the counted grams (with ``end``) that ``precision`` of the texts that have them speaks for: log odds of each."""
     kept = counts.where(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))
     weights: dict[str, float] = {}
-    found = kept.where(F.col("gram").endswith(end)).orderBy(F.desc("toxic"), "gram").limit(most).collect()
+    found = kept.where(F.col("gram").endswith(end)).collect()  # each in a share of the toxic texts
     for r in sorted(found, key=lambda r: (len(r["gram"].strip()), r["gram"])):
         gram = r["gram"]
         if not any(gram[:k] in weights for k in range(SHORTEST_START + 1, len(gram.rstrip()) + 1)):
@@ -205,7 +207,7 @@ def unhit(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.mapInArrow(each, rows.schema)
 
 
-def exceptions(rows: DataFrame, lexicon: Lexicon, n: dict[int, int], least: int, most: int) -> list[str]:
+def exceptions(rows: DataFrame, lexicon: Lexicon, n: dict[int, int], least: int) -> list[str]:
     """Two-word phrases with a lexicon entry that at least ``least`` clean texts have and that speak against toxicity."""
     if not lexicon.weights:
         return []
@@ -225,17 +227,19 @@ def exceptions(rows: DataFrame, lexicon: Lexicon, n: dict[int, int], least: int,
 
     met = tally(rows, phrases)
     rate = (F.col("toxic") / n[1]) / (F.col("clean") / n[0])
-    return [r["gram"] for r in met.where((F.col("clean") >= least) & (rate < 0.5)).orderBy(F.desc("clean"), "gram").limit(most).collect()]
+    return [r["gram"] for r in met.where((F.col("clean") >= least) & (rate < 0.5)).orderBy("gram").collect()]  # of the sample's words next to entries
 
 
-def curve(rows: DataFrame, lexicon: Lexicon, most: int) -> tuple[float, float, float]:
-    """A logistic regression with a light penalty on the two features, fitted on at most ``most`` rows by hash."""
+def curve(rows: DataFrame, lexicon: Lexicon, n: int, most: int) -> tuple[float, float, float]:
+    """A logistic regression with a light penalty on the two features, fitted on about ``most`` of the ``n`` rows: those with the least hashes."""
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton() if lexicon.weights else None
         yield from batches(((toxic, *features(machine, text)[:2]) for b in it for toxic, text in rows_of(b, "toxic", "text")), "toxic int, total double, density double")
 
-    sample = rows.orderBy(F.xxhash64("text")).limit(most).select("toxic", "text").mapInArrow(each, "toxic int, total double, density double").toPandas()
+    share = min(1.0, most / n)
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < ceil(share * (1 << 20)))
+    sample = chosen.select("toxic", "text").mapInArrow(each, "toxic int, total double, density double").toPandas().sort_values(["toxic", "total", "density"])  # numbers alone
     y = sample["toxic"].to_numpy(float)
     x = np.column_stack([np.ones(len(y)), np.log1p(sample["total"]), np.log1p(sample["density"])])
     b, penalty = np.zeros(3), np.diag([1e-6, 0.05, 0.05])
