@@ -333,17 +333,35 @@ def test_extraction(spark):
 
 
 def test_repeats_by_brute_force(spark):
-    rows = [(k, f"http://h/{k}", "".join(f"<p>{' '.join(rng.choice('abcd') for _ in range(rng.choice([3, 9, 20])))}" for _ in range(4))) for k in range(12)]
+    rows = [(k, f"http://h/{k}", "".join(rng.choice(["<p>", "<p>", "<nav>", "<article>", '<article><p class="info">']) + " ".join(rng.choice("abcd") for _ in range(rng.choice([3, 9, 20]))) for _ in range(4))) for k in range(30)]
     got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 6, 3).collect()}
-    streams = {i: ["|"] * 6 + [t for b in extraction.blocks_of(h)[1] for t in (*b.split(), "|")] + ["|"] * 6 for i, _, h in rows}
+    blocks = {i: [*extraction.blocks_of(h)] for i, _, h in rows}
+    streams = {i: ["|"] * 6 + [t for kind, b in blocks[i] if kind != "k" for t in (*b.split(), "|")] + ["|"] * 6 for i in blocks}
     seen = defaultdict(set)
     for i, s in streams.items():
         for k in range(len(s) - 5):
             seen[tuple(s[k : k + 6])].add(i)
     for i, s in streams.items():
         covered = {k + j for k in range(1, len(s) - 6) for j in range(6) if len(seen[tuple(s[k : k + 6])]) >= 3}
-        runs = " ".join("|" if k in covered else t for k, t in enumerate(s)).split("|")
-        assert got[i] == "\n".join(" ".join(r.split()) for r in runs if r.strip())
+        want, at = [], 6
+        for kind, b in blocks[i]:
+            if kind == "k":
+                want.append(b)
+                continue
+            runs = " ".join("|" if at + k in covered else t for k, t in enumerate(b.split())).split("|")
+            want += [" ".join(r.split()) for r in runs if r.strip()] if kind == "a" else []
+            at += len(b.split()) + 1
+        assert got[i] == "\n".join(want)
+    assert {kind for b in blocks.values() for kind, _ in b} == set("kan") and len(extraction.repeated(extraction.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"), 6), 3).collect()) > 3
+
+
+def test_articles_stay_whole(spark):
+    body = '<h1>On sets</h1><p>Let <math><mi>x</mi></math> be.</p><div class="alert-box">An alert of its own</div><p class="related-work">Others did that</p><div class="search-results">Results of a search</div><table><tr><td>cell</td></tr></table>'
+    rows = [(1, "http://a/1", f'<body><header>top</header><article>{body}<div class="comment-list">first!</div></article></body>'), (2, "http://a/2", f"<main>{'<div>' * 60}<p>deep<p>er")]
+    rows += [(10 + k, "http://a/x", f'<article><p>{words(9)}</p><div class="alert">Please read our terms of use before you go on today</div></article>') for k in range(3)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("heads", F.lit(1))).collect()}
+    assert got[1] == "On sets\nLet x be.\nAn alert of its own\nOthers did that\nResults of a search\ncell" and got[2] == "deep\ner"
+    assert not any("terms" in got[10 + k] for k in range(3)) and all(got[10 + k] for k in range(3))
 
 
 # Fingerprints
