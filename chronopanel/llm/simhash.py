@@ -243,12 +243,17 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def block_leads(nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b) for each block and text b in it whose fingerprint is close to that of the block's first text a."""
     spread = [F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").bitwiseOR(F.lit(BLOCKS_A_WORD * w + k << BLOCK_BITS)) for w in range(WIDTH) for k in range(BLOCKS_A_WORD)]
-    keys = nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("key"))
-    leads = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("uid", "f0")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.f0").alias("fa"))
+    keys = shared(nodes.select("uid", F.col("fp")[0].alias("f0"), F.explode(F.array(*spread)).alias("key")))
+    leads = keys.groupBy("key").agg(F.min(F.struct("uid", "f0")).alias("lead")).select("key", F.col("lead.uid").alias("a"), F.col("lead.f0").alias("fa"))
     rough = F.bit_count(F.col("f0").bitwiseXOR(F.col("fa"))) <= bound(64, similarity, 4.5)
     return keys.join(leads, "key").where((F.col("uid") != F.col("a")) & rough).select("a", F.col("uid").alias("b"))
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows whose ``key`` another row has too: most keys have one row, and only counts are shuffled to see that."""
+    return cut(rows.join(rows.groupBy("key").count().where(F.col("count") > 1).select("key"), "key"))
+
+
 def with_roots(rows: DataFrame, roots: DataFrame, uid: str, root: str) -> DataFrame:
     """``rows`` with the component of ``uid``: its own number where it has no link."""
     return rows.join(roots.select(F.col("node").alias(uid), F.col("root").alias(root)), uid, "left").withColumn(root, F.coalesce(root, uid))
@@ -284,11 +289,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     once = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
     texts_of = written(once.join(nodes.select("text_key", "uid"), "text_key").select("uid", "text"), "near-duplicate-texts")
 
-    rare = cut(prefixes(texts_of, words, similarity, counts))
+    many = shared(written(prefixes(texts_of, words, similarity, counts), "prefixes"))
     # The lead is the text with the fewest rarer shingles: of a group of near copies, the one with the fewest edits of its own.
-    shared = rare.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("pos", "uid", "n")).alias("lead")).where("m > 1").select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
-    many = cut(rare.join(shared, "key"))
-    led = side(many, "b", "a", "na", "pa").where((F.col("a") != F.col("b")) & may_reach(similarity)).select("a", "b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    leads = many.groupBy("key").agg(F.min(F.struct("pos", "uid", "n")).alias("lead")).select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
+    led = side(many, "b").join(leads, "key").where((F.col("a") != F.col("b")) & may_reach(similarity)).select("a", "b").groupBy("a", "b").agg(F.count("*").alias("m"))
     blocks = block_leads(nodes, similarity).groupBy("a", "b").agg(F.count("*").alias("m"))
     fp_a, fp_b = (nodes.select(F.col("uid").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
     close = blocks.join(fp_a, "a").join(fp_b, "b").where(distance("fa", "fb") <= bound(64 * WIDTH, similarity, 3)).select("a", "b", "m")
@@ -313,10 +317,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return rows.join(best, "component").select("doc_id", "text_key", "component", F.expr("doc_id <=> best.doc_id AND text_key = best.text_key").alias("keep"))
 
 
+def row_key(doc_id: str, text_key: str):
+    """One string for an id, or none, and a text: a null-free key that a join and a window after it can share."""
+    return F.concat(F.col(text_key), F.coalesce(F.concat(F.lit(":"), F.col(doc_id).cast("string")), F.lit("")))
+
+
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs``, with one row of each group of near-duplicates; its columns are unchanged."""
-    kept = near_duplicates(docs, words, similarity).where("keep").select(F.col("doc_id").alias("__kept"), F.col("text_key").alias("__key"))
-    dealt = docs.withColumn("__text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = dealt.join(kept, F.col("__text_key").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__kept")))
-    once = F.row_number().over(Window.partitionBy("__key", "__kept").orderBy(F.xxhash64(*docs.columns)))
-    return joined.withColumn("__n", once).where("__n = 1").select(*docs.columns)
+    """``docs``, with one row of each group of near-duplicates; its columns are unchanged. Of rows with the same id and text, one by a hash."""
+    kept = near_duplicates(docs, words, similarity).where("keep").select(row_key("doc_id", "text_key").alias("__key"))
+    dealt = docs.withColumn("__text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__key", row_key("doc_id", "__text_key"))
+    once = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
+    return dealt.join(kept, "__key").withColumn("__n", once).where("__n = 1").select(*docs.columns)
