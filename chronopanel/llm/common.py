@@ -47,9 +47,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As ``cut``, but as compressed Parquet: for tables that hold texts."""
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` and its path, for ``remove`` once nothing reads it any more."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+MOST_BROADCAST = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (a few numbers a row) marked for broadcast if its checked size is at most MOST_BROADCAST rows, 8 MB a column; beyond it Spark shuffles."""
+    return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import batches, cut, rows_of, texts, type_of, written
+from chronopanel.llm.common import batches, cut, rows_of, small, texts, type_of, written
 
 ORDER, BASE = 4, 64
 SIGNS = " \n.,;:!?-'\"()|#$%&*@/=+<>[]_"
@@ -169,14 +169,6 @@ def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
     return texts(docs, "doc_id", "lang").mapInArrow(each, ddl)
 
 
-MOST_BROADCAST = 2_000_000
-
-
-def small(ids: DataFrame) -> DataFrame:
-    """``ids`` marked for broadcast if they are few (16 MB at most); else Spark shuffles."""
-    return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
-
-
 def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, least: int = 100, held_out: int = 5) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep. ``trusted_ids``: doc_id of trusted documents, one in ``held_out`` of which sets the thresholds."""
     ids = trusted_ids.select(F.col("doc_id").alias("trusted_id")).distinct().withColumn("fold", F.pmod(F.xxhash64("trusted_id"), F.lit(held_out)))

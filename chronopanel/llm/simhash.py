@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import batches, cut, rows_of, texts, written
+from chronopanel.llm.common import batches, cut, kept, remove, rows_of, small, texts, written
 from chronopanel.llm.components import components
 
 SEED = 42
@@ -131,7 +131,7 @@ def linked(docs: DataFrame, words: int = 3, max_distance: int = 2, blocks: int =
 
 
 WIDTH, BLOCKS_A_WORD, BLOCK_BITS = 24, 3, 20
-SKETCH_BITS, SKETCH_PART, SALTS = 20, 4096, 8
+SKETCH_BITS, SKETCH_PART = 20, 4096
 SKETCH = 1 << SKETCH_BITS
 
 
@@ -226,7 +226,7 @@ def shingle_sets(texts_of: DataFrame, wanted: DataFrame, words: int) -> DataFram
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(((uid, np.unique(shingle_hashes(text, words)).view(np.int64)) for b in it for uid, text in rows_of(b, "uid", "text")), "uid bigint, shingles array<bigint>", 500)
 
-    return texts_of.join(wanted, "uid", "left_semi").select("uid", "text").mapInArrow(each, "uid bigint, shingles array<bigint>")
+    return texts_of.join(small(cut(wanted)), "uid", "left_semi").select("uid", "text").mapInArrow(each, "uid bigint, shingles array<bigint>")
 
 
 def nodes_in(pairs: DataFrame) -> DataFrame:
@@ -269,12 +269,11 @@ def across(many: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     sizes = ranked.groupBy("key", "root").count()
     largest = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("roots > 1").select("key", "largest")
     mixed = cut(ranked.join(largest, "key").withColumn("band", F.floor(F.log("n") / -log(similarity) + 1e-9)))
-    here = side(mixed, "a", F.col("root").alias("ra"), "largest", "band", F.pmod("uid", F.lit(SALTS)).alias("salt"))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    here = side(mixed, "a", F.col("root").alias("ra"), "largest", "band")
     few = mixed.where("root <> largest").select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"))
-    outside = side(few, "b", F.col("root").alias("rb"), F.col("near").alias("band"), salts)
+    outside = side(few, "b", F.col("root").alias("rb"), F.col("near").alias("band"))
     once = (F.col("ra") == F.col("largest")) | (F.col("a") < F.col("b"))
-    return here.join(outside, ["key", "band", "salt"]).where((F.col("ra") != F.col("rb")) & once & may_reach(similarity)).select("a", "b").distinct()
+    return here.join(outside, ["key", "band"]).where((F.col("ra") != F.col("rb")) & once & may_reach(similarity)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -287,9 +286,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     counts = shingle_counts(found)
     nodes = cut(found.where("part IS NULL").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp")).withColumn("uid", F.monotonically_increasing_id()))
     once = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    texts_of = written(once.join(nodes.select("text_key", "uid"), "text_key").select("uid", "text"), "near-duplicate-texts")
+    texts_of, texts_path = kept(once.join(nodes.select("text_key", "uid"), "text_key").select("uid", "text"), "near-duplicate-texts")
 
-    many = shared(written(prefixes(texts_of, words, similarity, counts), "prefixes"))
+    rare, rare_path = kept(prefixes(texts_of, words, similarity, counts), "prefixes")
+    many = shared(rare)
+    remove(docs.sparkSession, rare_path)
     # The lead is the text with the fewest rarer shingles: of a group of near copies, the one with the fewest edits of its own.
     leads = many.groupBy("key").agg(F.min(F.struct("pos", "uid", "n")).alias("lead")).select("key", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"))
     led = side(many, "b").join(leads, "key").where((F.col("a") != F.col("b")) & may_reach(similarity)).select("a", "b").groupBy("a", "b").agg(F.count("*").alias("m"))
@@ -308,6 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     roots = cut(components(links))
     rest = cut(across(many, roots, similarity))
     links = links.union(alike(rest, written(shingle_sets(texts_of, nodes_in(rest), words), "shingles"), similarity))
+    remove(docs.sparkSession, texts_path)
     final = components(links)
 
     ids = found.where("part IS NULL").groupBy("text_key", "doc_id", "set_key").count().drop("count")
@@ -324,7 +326,7 @@ def row_key(doc_id: str, text_key: str):
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, with one row of each group of near-duplicates; its columns are unchanged. Of rows with the same id and text, one by a hash."""
-    kept = near_duplicates(docs, words, similarity).where("keep").select(row_key("doc_id", "text_key").alias("__key"))
+    chosen = near_duplicates(docs, words, similarity).where("keep").select(row_key("doc_id", "text_key").alias("__key"))
     dealt = docs.withColumn("__text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("__key", row_key("doc_id", "__text_key"))
     once = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
-    return dealt.join(kept, "__key").withColumn("__n", once).where("__n = 1").select(*docs.columns)
+    return dealt.join(chosen, "__key").withColumn("__n", once).where("__n = 1").select(*docs.columns)
