@@ -75,15 +75,22 @@ def contrasts(summaries: DataFrame, values: list[str], baseline: str = CURRENT)
     return joined.select(*summaries.columns, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_difference") for v in values], *[F.try_divide(F.col(v), F.col(f"_{v}")).alias(f"{v}_ratio") for v in values])
 
 
+def probability(day_of_row: Column, g: Column, day: Column | None = None, chance: float | None = None) -> Column:
+    """The chance that a policy removes: from ``day`` on surely, or with a fixed ``chance``, or as in practice (``g``)."""
+    if day is not None:
+        return (day_of_row >= day).cast("double")
+    return F.lit(float(chance)) if chance is not None else g
+
+
 def ratios(action: Column, pi: Column, g: Column, clip: float | None = None) -> dict[str, Column]:
-    """Importance ratio pi/g of the observed action (1: remove), raw and with g clipped, and what was clipped."""
+    """Importance ratio pi/g of the observed action (1: remove), raw and with g clipped, and what was clipped. An observed action that had no chance fails."""
     used = g if clip is None else F.greatest(F.least(g, F.lit(1 - clip)), F.lit(clip))
     of = lambda p: F.when(action == 1, p).otherwise(1 - p)
     return {
         "policy_probability": of(pi),
         "behaviour_probability": of(g),
-        "ratio_raw": F.try_divide(of(pi), of(g)),
-        "ratio": F.try_divide(of(pi), of(used)),
+        "ratio_raw": F.when(of(g) > 0, of(pi) / of(g)).otherwise(F.raise_error(F.lit("an observed action has no behaviour probability")).cast("double")),
+        "ratio": F.when(of(used) > 0, of(pi) / of(used)).otherwise(F.raise_error(F.lit("an observed action has no behaviour probability")).cast("double")),
         "clipped": (of(g) != of(used)).cast("int"),
         "overlap": pi * g + (1 - pi) * (1 - g),
         "agreement": F.when(pi.isin(0.0, 1.0), (action == pi).cast("double")),
@@ -93,17 +100,22 @@ def ratios(action: Column, pi: Column, g: Column, clip: float | None = None) ->
 def recursive_scores(rows: DataFrame, keys: list[str], order: str = "decision_period") -> DataFrame:
     """The recursive doubly robust score of each decision from q_keep, q_remove, action, pi, ratio, reward.
 
-    score_t = qbar_t + ratio_t * (reward_t + score_{t+1} - q_observed_t) is linear in the next score. With
-    b_t = qbar_t + ratio_t * (reward_t - q_observed_t), an episode's terms are folded from its last decision back in one aggregate per
-    episode, whose size is its number of decisions.
+    score_t = qbar_t + ratio_t * (reward_t + score_{t+1} - q_observed_t) is linear in the next score. Each episode's decisions are gathered
+    once, folded from the last back to the first and dealt out again, so work and memory are those of its number of decisions.
     """
     qbar = (1 - F.col("pi")) * F.col("q_keep") + F.col("pi") * F.col("q_remove")
     observed = F.when(F.col("action_removed") == 1, F.col("q_remove")).otherwise(F.col("q_keep"))
     base = rows.withColumn("qbar", qbar).withColumn("q_observed", observed).withColumn("b", F.col("qbar") + F.col("ratio") * (F.col("reward") - F.col("q_observed")))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ahead = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "b", "ratio")).over(w))
-    score = F.aggregate(F.reverse(ahead), F.lit(0.0), lambda acc, x: x["b"] + x["ratio"] * acc)
-    return base.withColumn("score", score)
+    of = base.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*[c for c in base.columns if c not in keys]).alias("row")))).alias("rows"))
+    start = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("scores"))
+
+    def back(acc, x):
+        score = x["row"]["b"] + x["row"]["ratio"] * acc["next"]
+        return F.struct(score.alias("next"), F.concat(acc["scores"], F.array(score)).alias("scores"))
+
+    scores = F.aggregate(F.reverse("rows"), start, back)["scores"]
+    dealt = of.select(*keys, F.explode(F.arrays_zip(F.col("rows.row").alias("row"), F.reverse(scores).alias("score"))).alias("x"))
+    return dealt.select(*keys, "x.row.*", "x.score")
 
 
 def cumulative_ratio(rows: DataFrame, keys: list[str], order: str = "decision_period") -> DataFrame:

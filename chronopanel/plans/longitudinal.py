@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronopanel.functions.stats import rounded, smoothed
 from chronopanel.functions.time import DAY
 from chronopanel.checkpoints import cut
-from chronopanel.operators import attach, bootstrap, features, folds, intervals, learners, metrics, panel, policy, simulate
+from chronopanel.operators import attach, bootstrap, features, folds, intervals, learners, metrics, panel, policy, rates, simulate
 from chronopanel.plans import oracle
 from chronopanel.sources import tables
 
@@ -241,13 +241,19 @@ def decision_links(spark, folder):
     return rounded(panel.decisions(base(spark, folder)).select(*DECISION.split(", "), "reward_exposure_days", "actual_exposure_days"))
 
 
+def scored_decisions(spark, folder) -> DataFrame:
+    """Decision rows with folds and cross-fitted rate models: ``g`` of removal, ``q_keep`` and ``q_remove`` of the outcome, by day."""
+    rows = panel.decisions(base(spark, folder)).withColumn("g_day", F.least("episode_day", F.lit(6)))
+    rows = rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity").withColumn("action_removed", F.col("removed_in")).withColumn("reward", F.col("reward_outcome").cast("double"))
+    g = rates.crossfit_rates(rows, ["g_day"], "removed_in").withColumnRenamed("p", "g")
+    q = rates.by_action(rates.crossfit_rates(rows, ["g_day", "action_removed"], "reward_outcome"), ["fold", "g_day"], "action_removed")
+    return rows.join(g, ["fold", "g_day"]).join(q, ["fold", "g_day"], "left")
+
+
 def policy_scores(spark, folder) -> DataFrame:
-    """Decision rows under each fixed-day policy with rate-model propensity and outcome means, ratios and folds."""
-    rows = panel.decisions(base(spark, folder))
-    fold = folds.grouped_folds(rows).select("entity", "fold")
-    g = rows.groupBy(F.least("episode_day", F.lit(6)).alias("g_day")).agg(smoothed(F.sum("removed_in"), F.count("*")).alias("g"), F.avg("reward_outcome").alias("q"))
-    joined = rows.join(g, F.col("g_day") == F.least("episode_day", F.lit(6))).join(fold, "entity")
-    under = joined.withColumn("d", F.explode(F.array(*map(F.lit, DAYS)))).select("*", F.concat(F.lit("remove_on_day_"), F.col("d").cast("string")).alias("policy"), (F.col("episode_day") >= F.col("d")).cast("double").alias("pi"), F.col("removed_in").alias("action_removed"), F.col("q").alias("q_keep"), (0.5 * F.col("q")).alias("q_remove"), F.col("reward_outcome").cast("double").alias("reward"))
+    """Decision rows under each fixed-day policy with cross-fitted propensity and outcome rates, ratios and folds."""
+    rows = scored_decisions(spark, folder).withColumn("d", F.explode(F.array(*map(F.lit, DAYS))))
+    under = rows.select("*", F.concat(F.lit("remove_on_day_"), F.col("d").cast("string")).alias("policy"), policy.probability(F.col("episode_day"), F.col("g"), day=F.col("d")).alias("pi"))
     return under.select("*", *[c.alias(k) for k, c in policy.ratios(F.col("action_removed"), F.col("pi"), F.col("g"), 0.05).items()])
 
 

@@ -119,20 +119,40 @@ dec AS (SELECT p.*, reward_outcome, reward_reinsertion, reward_death, reward_exi
   lead(p.episode_index) OVER (PARTITION BY p.entity, p.inserted ORDER BY p.episode_index) AS next_index FROM panel p JOIN rew USING (entity, inserted, episode_index) WHERE p.is_decision)"""
 )
 
+FOLD = """fold AS (SELECT entity, CAST((CASE WHEN turn < 5 THEN turn ELSE 9 - turn END + bucket) % 5 AS BIGINT) AS fold FROM (SELECT entity, entity % 64 AS bucket,
+  (row_number() OVER (PARTITION BY entity % 64 ORDER BY n_rows DESC, entity) - 1) % 10 AS turn FROM (SELECT entity, count(*) AS n_rows FROM {rows} GROUP BY entity)))"""
+
+
+def crossfit(name: str, rows: str, cell: dict[str, str], y: str, where: str = "true") -> str:
+    """The rate of y in each cell for each fold, from the other folds, with one event and one non-event added."""
+    keys = ", ".join(cell)
+    return (
+        f"{name}_own AS (SELECT fold, {', '.join(f'{e} AS {k}' for k, e in cell.items())}, count(*) AS n, sum({y}) AS e FROM {rows} WHERE {where} GROUP BY ALL), "
+        f"{name} AS (SELECT f.fold, {', '.join(f't.{k}' for k in cell)}, (t.e - coalesce(o.e, 0) + 1) / (t.n - coalesce(o.n, 0) + 2.0) AS p FROM (SELECT {keys}, sum(n) AS n, sum(e) AS e FROM {name}_own GROUP BY ALL) t "
+        f"CROSS JOIN (SELECT unnest(range(0, 5)) AS fold) f LEFT JOIN {name}_own o ON o.fold = f.fold AND {' AND '.join(f'o.{k} = t.{k}' for k in cell)})"
+    )
+
+
 SCORES = (
     DECISIONS
+    + ",\n"
+    + FOLD.format(rows="dec")
+    + """,
+decf AS (SELECT dec.*, fold FROM dec JOIN fold USING (entity)),
+"""
+    + crossfit("prop", "decf", {"g_day": "least(episode_day, 6)"}, "removed_in")
+    + ",\n"
+    + crossfit("qrate", "decf", {"q_day": "least(episode_day, 6)", "q_action": "removed_in"}, "reward_outcome")
     + """,
-prop AS (SELECT least(episode_day, 6) AS g_day, (sum(removed_in) + 1) / (count(*) + 2.0) AS g FROM dec GROUP BY 1),
-qrate AS (SELECT least(episode_day, 6) AS q_day, avg(reward_outcome) AS q FROM dec GROUP BY 1),
-fold AS (SELECT entity, fold FROM folds),
-sc0 AS (SELECT 'remove_on_day_' || d AS policy, dec.*, fold.fold, removed_in AS action_removed, g, CAST(episode_day >= d AS DOUBLE) AS pi, q AS q_keep, 0.5 * q AS q_remove, CAST(reward_outcome AS DOUBLE) AS reward
-  FROM dec JOIN prop ON g_day = least(episode_day, 6) JOIN qrate ON q_day = least(episode_day, 6) JOIN fold USING (entity), (SELECT unnest([1, 2, 3, 4, 5]) AS d)),
+sc0 AS (SELECT 'remove_on_day_' || d AS policy, decf.*, removed_in AS action_removed, prop.p AS g, CAST(episode_day >= d AS DOUBLE) AS pi, coalesce(q0.p, 0.5) AS q_keep, coalesce(q1.p, 0.5) AS q_remove, CAST(reward_outcome AS DOUBLE) AS reward
+  FROM decf JOIN prop ON g_day = least(episode_day, 6) AND prop.fold = decf.fold LEFT JOIN qrate q0 ON q0.q_day = least(episode_day, 6) AND q0.fold = decf.fold AND q0.q_action = 0
+  LEFT JOIN qrate q1 ON q1.q_day = least(episode_day, 6) AND q1.fold = decf.fold AND q1.q_action = 1, (SELECT unnest([1, 2, 3, 4, 5]) AS d)),
 sc1 AS (SELECT *, CASE WHEN action_removed = 1 THEN pi ELSE 1 - pi END AS policy_probability, CASE WHEN action_removed = 1 THEN g ELSE 1 - g END AS behaviour_probability,
   least(greatest(g, 0.05), 0.95) AS g_used FROM sc0),
 sc AS (SELECT *, policy_probability / (CASE WHEN action_removed = 1 THEN g_used ELSE 1 - g_used END) AS ratio, policy_probability / behaviour_probability AS ratio_raw,
   CAST(behaviour_probability <> (CASE WHEN action_removed = 1 THEN g_used ELSE 1 - g_used END) AS INT) AS clipped, pi * g + (1 - pi) * (1 - g) AS overlap,
   CAST(action_removed = pi AS DOUBLE) AS agreement, (1 - pi) * q_keep + pi * q_remove AS qbar, CASE WHEN action_removed = 1 THEN q_remove ELSE q_keep END AS q_observed FROM sc1)"""
-).replace(",\nfold AS (SELECT entity, fold FROM folds)", ",\nfold AS (SELECT entity, CAST((CASE WHEN turn < 5 THEN turn ELSE 9 - turn END + bucket) % 5 AS BIGINT) AS fold FROM (SELECT entity, entity % 64 AS bucket, (row_number() OVER (PARTITION BY entity % 64 ORDER BY n_rows DESC, entity) - 1) % 10 AS turn FROM (SELECT entity, count(*) AS n_rows FROM dec GROUP BY entity)))")
+)
 
 
 def uniform(seed: int, *ids: str) -> str:
