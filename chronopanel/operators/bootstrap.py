@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.checkpoints import cut
 from chronopanel.functions.stats import uniform
 
 
 def entity_numbers(entities: DataFrame) -> DataFrame:
-    """entity, number from 0 in order of the id. Ids are ranked inside ranges of equal size that a range partitioning gives, not in one task."""
-    dealt = entities.select("entity").distinct().repartitionByRange("entity").withColumn("part", F.spark_partition_id())
+    """entity, number from 0 in order of the id. Ids are ranked inside ranges of equal size that a range partitioning gives, not in one task; the ranges are cut, as two branches read them."""
+    dealt = cut(entities.select("entity").distinct().repartitionByRange("entity").withColumn("part", F.spark_partition_id()))
     sizes = dealt.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("entity")) - 1)
     return inside.join(F.broadcast(sizes), "part").select("entity", (F.col("n") + F.col("before")).cast("bigint").alias("number"))  # a row for each partition
 
 
 def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
-    """replicate, number, times: ``n`` entities drawn with replacement for each replicate, by integers that any engine reproduces."""
-    grid = spark.range(replicates).select(F.col("id").alias("replicate")).select("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("draw"))
+    """replicate, number, times: ``n`` entities drawn with replacement for each replicate, by integers that any engine reproduces. The grid is a range, so no row or task holds a replicate."""
+    grid = spark.range(n * replicates).select(F.floor(F.col("id") / n).cast("bigint").alias("replicate"), (F.col("id") % n).alias("draw"))
     pick = F.floor(uniform(seed, F.col("replicate"), F.col("draw")) * n).cast("bigint")
     return grid.select("replicate", pick.alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("times"))
 
 
+def copies(rows: DataFrame, drawn: DataFrame, key: str = "entity") -> DataFrame:
+    """``rows`` of the drawn entities, as often as drawn: ``copy`` from 0 tells the trajectories of one entity apart."""
+    return rows.join(drawn, key).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
+
+
 def entity_sums(risks: DataFrame, values: list[str]) -> DataFrame:
     """policy, entity, measure, total, n: sums and counts of known values, all that a fixed-model replicate needs."""
     long = risks.select("policy", "entity", F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values])).alias("m")).select("policy", "entity", "m.measure", "m.x").where("x IS NOT NULL")

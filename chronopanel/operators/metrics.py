@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from math import erfc, exp, lgamma, sqrt
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from chronopanel.functions.stats import upper_normal_tail
+from chronopanel.shipping import ship
 
 
 def binary_metrics(scored: DataFrame, group: str = "group", y: str = "y", p: str = "p") -> DataFrame:
@@ -81,6 +84,21 @@ def fisher_exact(n11: int, n10: int, n01: int, n00: int) -> float:
     return min(1.0, sum(exp(x) for x in log_p if x <= own + 1e-7))
 
 
+def fisher_p(two: DataFrame) -> DataFrame:
+    """The rows of ``two_by_two`` with ``fisher_p`` and ``chi_squared_p``. One row for each tested group, so in Arrow batches of counts."""
+    ship(two.sparkSession)
+
+    @pandas_udf("double")
+    def exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
+
+    @pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else chi_squared_p(v) for v in x], dtype="float64")
+
+    return two.withColumn("fisher_p", exact("n11", "n10", "n01", "n00")).withColumn("chi_squared_p", tail("chi_squared"))
+
+
 def chi_squared_p(x: float) -> float:
     """The upper tail of chi-squared with one degree of freedom."""
     return erfc(sqrt(max(x, 0) / 2))
