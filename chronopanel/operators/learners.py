@@ -1,4 +1,4 @@
-"""Cross-fitted nuisance models, their combination, and the stage-wise continuation fit.
+"""Cross-fitted nuisance models and their combination.
 
 Learners are those of pyspark.ml; the reference families without one there (extremely randomised trees, boosters with native
 missing values) have no substitute by name, see the README. Coefficients and Gram matrices reach the driver, rows don't.
@@ -6,47 +6,65 @@ missing values) have no substitute by name, see the README. Coefficients and Gra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.checkpoints import cut
 from chronopanel.functions.stats import expit, logit
 
 
 def learner(name: str, features: list[str], label: str, seed: int = 42, trees: int = 20) -> Pipeline:
     """Median imputation, standardisation and a classifier: logistic, forest or boosted."""
-    filled = [f"_{c}" for c in features]
+    filled = [f"_filled_{c}" for c in features]
     model = {
-        "logistic": LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.01, maxIter=50),
-        "forest": RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=6, seed=seed),
-        "boosted": GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed),
+        "logistic": LogisticRegression(featuresCol="_vector", labelCol=label, regParam=0.01, maxIter=50),
+        "forest": RandomForestClassifier(featuresCol="_vector", labelCol=label, numTrees=trees, maxDepth=6, seed=seed),
+        "boosted": GBTClassifier(featuresCol="_vector", labelCol=label, maxIter=trees, maxDepth=3, seed=seed),
     }[name]
-    return Pipeline(stages=[Imputer(strategy="median", relativeError=0.001, inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), model])
+    return Pipeline(stages=[Imputer(strategy="median", relativeError=0.001, inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw_vector"), StandardScaler(inputCol="_raw_vector", outputCol="_vector", withMean=True), model])
 
 
-def crossfit(rows: DataFrame, features: list[str], label: str, name: str = "logistic", fold: str = "fold", out: str = "p", score_rows: DataFrame | None = None) -> DataFrame:
-    """Out-of-fold probabilities: each fold's rows (of ``score_rows`` if given) are scored by a model of the other folds.
+@dataclass
+class FoldModel:
+    """A fitted pipeline, or where that can't be fitted the smoothed rate and why."""
 
-    A training part with one class has no model: its probability is (events + 1) / (n + 2). All fold sizes come from one aggregate.
-    """
-    counts = {r[fold]: (r["n"], r["events"]) for r in rows.groupBy(fold).agg(F.count("*").alias("n"), F.sum(label).alias("events")).collect()}  # a row for each fold
+    features: list[str]
+    model: PipelineModel | None
+    rate: float
+    fallback: str | None = None
+
+    def score(self, rows: DataFrame, out: str) -> DataFrame:
+        if self.model is None:
+            return rows.withColumn(out, F.lit(self.rate))
+        return self.model.transform(rows).withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)
+
+
+def fit_fold_model(rows: DataFrame, features: list[str], label: str, name: str = "logistic") -> FoldModel:
+    """A learner without the features that are constant or empty in ``rows``. One class or no feature left gives the smoothed rate; no rows fail."""
+    ends = list(chain.from_iterable((F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")) for c in features))
+    r = rows.agg(F.count("*").alias("n"), F.sum(label).alias("e"), *ends).first()
+    if not r["n"]:
+        raise ValueError("the training risk set is empty")
+    rate = (r["e"] + 1) / (r["n"] + 2)
+    kept = [c for c in features if r[f"lo_{c}"] is not None and r[f"lo_{c}"] != r[f"hi_{c}"]]
+    why = "one class" if not 0 < r["e"] < r["n"] else None if kept else "no features"
+    return FoldModel(kept, None if why else learner(name, kept, label).fit(rows), rate, why)
+
+
+def crossfit(rows: DataFrame, features: list[str], label: str, name: str = "logistic", fold: str = "fold", out: str = "p", score_rows: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold probabilities: each fold's rows (of ``score_rows`` if given) are scored by a model of the other folds."""
     target, parts = score_rows if score_rows is not None else rows, []
-    for k in sorted(counts):
-        n, events = (sum(c[i] for j, c in counts.items() if j != k) for i in range(2))
-        held = target.where(F.col(fold) == k)
-        if 0 < events < n:
-            model = learner(name, features, label).fit(rows.where(F.col(fold) != k))
-            scored = model.transform(held).withColumn(out, vector_to_array("probability")[1])
-            parts.append(scored.select(*target.columns, out))
-        else:
-            parts.append(held.withColumn(out, F.lit((events + 1) / (n + 2))))
+    for k in sorted(r[0] for r in rows.select(fold).distinct().collect()):  # a row for each fold
+        parts.append(fit_fold_model(rows.where(F.col(fold) != k), features, label, name).score(target.where(F.col(fold) == k), out))
     return reduce(DataFrame.unionByName, parts) if parts else target.withColumn(out, F.lit(None).cast("double")).where("false")
 
 
@@ -71,14 +89,55 @@ def simplex_weights(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarr
     return w
 
 
-def super_learner(rows: DataFrame, features: list[str], label: str, names: list[str], fold: str = "fold") -> tuple[DataFrame, dict[str, float]]:
-    """Out-of-fold probabilities of each learner and ``p``, their convex combination of least squared error; and its weights."""
-    scored = rows
-    for name in names:
-        scored = crossfit(scored, features, label, name, fold, f"p_{name}", scored)
-    a, b, _ = gram(scored, [f"p_{n}" for n in names], label)
-    weights = dict(zip(names, simplex_weights(a, b).tolist(), strict=True))
-    return scored.withColumn("p", sum((w * F.col(f"p_{n}") for n, w in weights.items()), F.lit(0.0))), weights
+def super_learner(rows: DataFrame, features: list[str], label: str, names: list[str], fold: str = "fold") -> tuple[DataFrame, dict[int, tuple[dict[str, float], str | None]]]:
+    """Nested: out-of-fold probabilities ``p_<learner>`` and ``p``, and for each outer fold the weights and why they fell back, if they did.
+
+    The outer training part's own folds are the inner ones: learners fitted without two folds predict one of them, and the convex
+    combination of least squared error on these predictions is chosen. All learners are then fitted anew on the whole training part. With fewer
+    than two inner folds the first learner stands alone, with one class the smoothed rate.
+    """
+    known, parts, chosen = sorted(r[0] for r in rows.select(fold).distinct().collect()), [], {}  # a row for each fold
+    for k in known:
+        train, weights, why = rows.where(F.col(fold) != k), {n: float(n == names[0]) for n in names}, None
+        ends = train.agg(F.min(label), F.max(label)).first()
+        if len(known) < 3:
+            why = "fewer than two inner folds"
+        elif ends[0] == ends[1]:
+            why = "one class"
+        else:
+            inner = train
+            for n in names:
+                inner = crossfit(train, features, label, n, fold, f"p_{n}", inner)
+            a, b, _ = gram(inner, [f"p_{n}" for n in names], label)
+            weights = dict(zip(names, simplex_weights(a, b).tolist(), strict=True))
+        held = rows.where(F.col(fold) == k)
+        for n in names:
+            held = fit_fold_model(train, features, label, n).score(held, f"p_{n}")
+        parts.append(held.withColumn("p", sum((w * F.col(f"p_{n}") for n, w in weights.items()), F.lit(0.0))))
+        chosen[k] = (weights, why)
+    return reduce(DataFrame.unionByName, parts), chosen
+
+
+def save(models: dict[int, FoldModel], path: str, spark: SparkSession) -> None:
+    """Each fold's pipeline in a folder of its own, beside one table of what isn't in it."""
+    for k, m in models.items():
+        if m.model is not None:
+            m.model.write().overwrite().save(f"{path}/fold={k}")
+    spark.createDataFrame([(k, m.features, m.rate, m.fallback) for k, m in models.items()], "fold bigint, features array<string>, rate double, fallback string").coalesce(1).write.mode("overwrite").parquet(f"{path}/folds")
+
+
+def load(path: str, spark: SparkSession) -> dict[int, FoldModel]:
+    rows = spark.read.parquet(f"{path}/folds").collect()  # a row for each fold
+    return {r["fold"]: FoldModel(r["features"], None if r["fallback"] else PipelineModel.load(f"{path}/fold={r['fold']}"), r["rate"], r["fallback"]) for r in rows}
+
+
+def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under ``key`` (of contents and settings), built and written first if it isn't there."""
+    path = f"{folder}/{key}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def ridge(rows: DataFrame, features: list[str], y: str, penalty: float = 1.0) -> np.ndarray | None:
@@ -103,60 +162,6 @@ def predicted(beta: np.ndarray, features: list[str]):
     return F.lit(float(beta[0])) + sum((float(b) * F.col(c) for b, c in zip(beta[1:], features, strict=True)), F.lit(0.0))
 
 
-def ridge_by_fold(rows: DataFrame, group: str, fold: str, features: list[str], y: str, penalty: float = 1.0) -> DataFrame:
-    """group, fold, beta: for each group and fold the ridge coefficients from the other folds' rows.
-
-    One aggregate gives every (group, fold) its power sums; the sums of the other folds are the group's less the fold's own. Only those
-    few numbers reach the driver, where the small systems are solved.
-    """
-    k = len(features)
-    sums = {"n": F.count("*"), "y": F.sum(y), **{f"m{i}": F.sum(c) for i, c in enumerate(features)}, **{f"c{i}": F.sum(F.col(c) * F.col(y)) for i, c in enumerate(features)}, **{f"s{i}_{j}": F.sum(F.col(features[i]) * F.col(features[j])) for i in range(k) for j in range(i, k)}}
-    found = rows.groupBy(group, fold).agg(*[c.cast("double").alias(n) for n, c in sums.items()]).collect()  # a row for each group and fold
-    own = {(r[group], r[fold]): np.array([r[n] or 0.0 for n in sums]) for r in found}
-    names, out = list(sums), []
-    for (g, f), mine in own.items():
-        t = dict(zip(names, sum((v for (h, _), v in own.items() if h == g), np.zeros(len(names))) - mine, strict=True))
-        n = t["n"]
-        if n < 1:
-            continue
-        mean, s = np.array([t[f"m{i}"] for i in range(k)]) / n, np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                s[i, j] = s[j, i] = t[f"s{i}_{j}"] / n - mean[i] * mean[j]
-        cov = np.array([t[f"c{i}"] for i in range(k)]) / n - mean * t["y"] / n
-        sd = np.sqrt(np.maximum(np.diag(s), 0))
-        live = sd > 1e-9 * np.maximum(1, np.abs(mean))
-        scale = np.where(live, sd, 1.0)
-        z = s / scale[:, None] / scale[None, :] * np.outer(live, live) * n + penalty * np.eye(k)
-        beta = np.linalg.solve(z, cov / scale * n * live) / scale * live
-        out.append((g, f, [float(t["y"] / n - beta @ mean), *map(float, beta)]))
-    return rows.sparkSession.createDataFrame(out, f"{group} string, {fold} bigint, beta array<double>")
-
-
-def continuation_scores(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """policy, keys, decision_period, score: recursive doubly robust scores with a cross-fitted ridge continuation for each stage.
-
-    The stages are the data's: from the last decision of the longest episode back to the first, one aggregate of power sums each. An episode
-    joins in at its own last decision. Where the other folds have no row of a stage, there is no continuation and q is 0.
-    """
-    rows = cut(rows.withColumn("a", F.col("action_removed").cast("double")))
-    names, keys = [*features, "a"], ["policy", *keys]
-    last = rows.agg(F.max("decision_period")).first()[0] or 0
-    line = lambda a: F.coalesce(sum((F.element_at("beta", i + 2) * x for i, x in enumerate([*map(F.col, features), F.lit(a)])), F.element_at("beta", 1)), F.lit(0.0))
-    later, parts = None, []
-    for stage in range(last, 0, -1):
-        now = rows.where(F.col("decision_period") == stage)
-        now = now.withColumn("next", F.lit(0.0)) if later is None else now.join(later, keys, "left").withColumn("next", F.coalesce("next", F.lit(0.0)))
-        now = now.withColumn("target", F.col("reward") + F.col("next"))
-        scored = now.join(F.broadcast(ridge_by_fold(now, "policy", "fold", names, "target")), ["policy", "fold"], "left").withColumn("q_keep", line(0.0)).withColumn("q_remove", line(1.0))  # a row for each policy and fold
-        qbar = (1 - F.col("pi")) * F.col("q_keep") + F.col("pi") * F.col("q_remove")
-        seen = F.when(F.col("action_removed") == 1, F.col("q_remove")).otherwise(F.col("q_keep"))
-        done = cut(scored.withColumn("score", qbar + F.col("ratio") * (F.col("target") - seen)).select(*keys, "decision_period", "score"))
-        parts.append(done)
-        later = done.select(*keys, F.col("score").alias("next"))
-    return reduce(DataFrame.unionByName, parts) if parts else rows.select(*keys, "decision_period", F.lit(0.0).alias("score"))
-
-
 def importances(rows: DataFrame, features: list[str], label: str, fold: str = "fold") -> DataFrame:
     """feature, mean_abs: the mean over folds of the absolute standardised coefficients of the logistic learner."""
     folds, out = [r[0] for r in rows.select(fold).distinct().collect()], []

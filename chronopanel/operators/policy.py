@@ -82,9 +82,10 @@ def probability(day_of_row: Column, g: Column, day: Column | None = None, chance
     return F.lit(float(chance)) if chance is not None else g
 
 
-def ratios(action: Column, pi: Column, g: Column, clip: float | None = None) -> dict[str, Column]:
+def ratios(action: Column, pi: Column, g: Column, clip: float | Column | None = None) -> dict[str, Column]:
     """Importance ratio pi/g of the observed action (1: remove), raw and with g clipped, and what was clipped. An observed action that had no chance fails."""
-    used = g if clip is None else F.greatest(F.least(g, F.lit(1 - clip)), F.lit(clip))
+    clip = F.lit(clip) if isinstance(clip, float) else clip
+    used = g if clip is None else F.greatest(F.least(g, 1 - clip), clip)
     of = lambda p: F.when(action == 1, p).otherwise(1 - p)
     return {
         "policy_probability": of(pi),

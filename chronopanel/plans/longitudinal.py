@@ -433,19 +433,12 @@ def crossfit_metrics(spark, folder):
 
 @query()
 def super_learner_weights(spark, folder):
-    """Convex weights of the learners by out-of-fold squared error."""
-    _, weights = learners.super_learner(model_rows(spark, folder), MODEL_FEATURES, "removed_in", ["logistic", "forest"])
-    return rounded(spark.createDataFrame(sorted(weights.items()), "learner string, weight double"))
-
-
-@query()
-def dml_policy_values(spark, folder):
-    """Policy values from stage-wise ridge continuation fits, cross-fitted over folds of entities, last stage first."""
-    rows = policy_scores(spark, folder).select("policy", *EPISODE, "fold", "decision_period", "action_removed", "pi", "ratio", "reward", F.col("interval_hours").cast("double").alias("interval_hours"), (F.col("unit_out") - F.col("unit_in")).cast("double").alias("stay"))
-    scores = learners.continuation_scores(rows, EPISODE, ["interval_hours", "stay"])
-    return rounded(scores.where("decision_period = 1").groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")), 6)
-
-
+    """Convex weights of the learners by inner out-of-fold squared error, for each of three outer folds; all learners are refitted on the outer training part."""
+    rows = confounded(spark, folder).where("is_decision")
+    fold = folds.grouped_folds(rows, 3).select("entity", "fold")
+    chosen = cut(rows.join(fold, "entity").select("entity", "inserted", "episode_index", "fold", "removed_in", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]))
+    _, weights = learners.super_learner(chosen, MODEL_FEATURES, "removed_in", ["logistic", "forest"])
+    return rounded(spark.createDataFrame([(k, n, w, why) for k, (by, why) in sorted(weights.items()) for n, w in by.items()], "fold bigint, learner string, weight double, fallback string"))
 
 
 CLIPS = (0.01, 0.05, 0.1, 0.2)

@@ -31,10 +31,12 @@ def query(sql: str | None = None):
 
 # Nested recursion
 
-POLICIES = [*[(f"remove_on_day_{d}", d, None) for d in DAYS], ("stochastic_half", None, 0.5), (policy.CURRENT, None, None)]
+#: name, day of removal, chance of removal, clipping bound; neither day nor chance is current practice.
+POLICIES = [*[(f"remove_on_day_{d}", d, None, 0.05) for d in DAYS], ("stochastic_half", None, 0.5, 0.05), (policy.CURRENT, None, None, 0.05)]
+BOUNDS = [(f"remove_on_day_2_clipped_at_{e}", 2, None, e) for e in (0.01, 0.1, 0.2)]
 
 
-def trajectory_rows(spark: SparkSession, folder: str) -> DataFrame:
+def trajectory_rows(spark: SparkSession, folder: str, named: list[tuple] = POLICIES) -> DataFrame:
     """Decision rows by policy (fixed days, a coin, current practice) and measure."""
     rows = scored_decisions(spark, folder)
     measures = F.array(
@@ -42,10 +44,10 @@ def trajectory_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("exposure_days").alias("measure"), F.col("reward_exposure_days").alias("reward"), F.lit(1.0).alias("risk")),
     )
     day = F.col("episode_day")
-    policies = F.array(*[F.struct(F.lit(n).alias("policy"), policy.probability(day, F.col("g"), None if d is None else F.lit(d), c).alias("pi")) for n, d, c in POLICIES])
-    long = rows.withColumn("m", F.explode(measures)).withColumn("p", F.explode(policies)).select("*", "m.measure", F.col("m.reward").alias("r"), "m.risk", "p.policy", "p.pi")
-    kept = long.select("policy", "measure", *EPISODE, "fold", "decision_period", F.col("interval_hours").alias("x"), "action_removed", "pi", "g", F.col("r").alias("reward"), "risk")
-    return kept.withColumn("ratio", policy.ratios(F.col("action_removed"), F.col("pi"), F.col("g"), 0.05)["ratio"])
+    policies = F.array(*[F.struct(F.lit(n).alias("policy"), policy.probability(day, F.col("g"), None if d is None else F.lit(d), c).alias("pi"), F.lit(e).alias("bound")) for n, d, c, e in named])
+    long = rows.withColumn("m", F.explode(measures)).withColumn("p", F.explode(policies)).select("*", "m.measure", F.col("m.reward").alias("r"), "m.risk", "p.policy", "p.pi", "p.bound")
+    kept = long.select("policy", "measure", *EPISODE, "fold", "decision_period", F.col("interval_hours").alias("x"), "action_removed", "pi", "g", F.col("r").alias("reward"), "risk", "bound")
+    return kept.withColumn("ratio", policy.ratios(F.col("action_removed"), F.col("pi"), F.col("g"), F.col("bound"))["ratio"])
 
 
 MOMENTS = "sum(1)::DOUBLE AS n, sum(y) AS y, sum(x) AS x, sum(a) AS a, sum(x * x) AS xx, sum(x * a) AS xa, sum(a * a) AS aa, sum(x * y) AS xy, sum(a * y) AS ay"
@@ -76,15 +78,19 @@ def _folded(name: str, source: str, keys: str) -> str:
     return f"{name}_b AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t DESC) AS back FROM {source}), {name} AS (SELECT {keys}, fold, t, back, c AS score FROM {name}_b WHERE back = 1 UNION ALL SELECT {', '.join('b.' + k for k in keys.split(', '))}, b.fold, b.t, b.back, b.c + b.ratio * f.score FROM {name} f JOIN {name}_b b ON {on} AND b.back = f.back + 1)"
 
 
-_POLICY_ROWS = ", ".join(f"('{n}', {d or 'NULL'}, {c or 'NULL'})" for n, d, c in POLICIES)
 SCORES = oracle.SCORES[: oracle.SCORES.index("sc0 AS")].rstrip().rstrip(",").rsplit(",\nqrate_own", 1)[0]
-NESTED = (
+
+
+def nested_sql(named: list[tuple]) -> str:
+    """SQL of the nested recursion: table done."""
+    values = ", ".join(f"('{n}', {d or 'NULL'}, {c or 'NULL'}, {e})" for n, d, c, e in named)
+    return (
     SCORES
     + f""",
-nr0 AS (SELECT p.policy, decf.*, prop.p AS g, CASE WHEN p.d IS NOT NULL THEN CAST(episode_day >= p.d AS DOUBLE) WHEN p.c IS NOT NULL THEN p.c::DOUBLE ELSE prop.p END AS pi
-  FROM decf JOIN prop ON g_day = least(episode_day, 6) AND prop.fold = decf.fold, (VALUES {_POLICY_ROWS}) p(policy, d, c)),
+nr0 AS (SELECT p.policy, p.eps::DOUBLE AS eps, decf.*, prop.p AS g, CASE WHEN p.d IS NOT NULL THEN CAST(episode_day >= p.d AS DOUBLE) WHEN p.c IS NOT NULL THEN p.c::DOUBLE ELSE prop.p END AS pi
+  FROM decf JOIN prop ON g_day = least(episode_day, 6) AND prop.fold = decf.fold, (VALUES {values}) p(policy, d, c, eps)),
 nr AS (SELECT policy, m.measure, entity, inserted, fold, decision_period AS t, interval_hours AS x, removed_in::DOUBLE AS a, pi,
-  CASE WHEN removed_in = 1 THEN pi / least(greatest(g, 0.05), 0.95) ELSE (1 - pi) / (1 - least(greatest(g, 0.05), 0.95)) END AS ratio,
+  CASE WHEN removed_in = 1 THEN pi / least(greatest(g, eps), 1 - eps) ELSE (1 - pi) / (1 - least(greatest(g, eps), 1 - eps)) END AS ratio,
   CASE m.measure WHEN 'outcome' THEN reward_outcome::DOUBLE ELSE reward_exposure_days END AS reward, CASE m.measure WHEN 'outcome' THEN at_risk_outcome::DOUBLE ELSE 1 END AS risk
   FROM nr0, (VALUES ('outcome'), ('exposure_days')) m(measure)),
 pairs AS (SELECT a.i AS j, b.i AS k FROM (SELECT unnest(range(0, 5)) AS i) a JOIN (SELECT unnest(range(0, 5)) AS i) b ON a.i < b.i),
@@ -105,7 +111,10 @@ ot AS (SELECT hr.policy, hr.measure, hr.outer_fold, hr.t, hr.x, hr.a, hr.reward
 om AS ({_ridge(f'SELECT policy, measure, outer_fold, t, {MOMENTS} FROM ot GROUP BY ALL', 'policy, measure, outer_fold, t')}),
 fr AS (SELECT nr.*, coalesce({STEP.format(p='')}, 0) + ratio * (reward - coalesce({SEEN.format(p='')}, 0)) AS c FROM nr LEFT JOIN om ON om.policy = nr.policy AND om.measure = nr.measure AND om.outer_fold = nr.fold AND om.t = nr.t),
 {_folded('done', 'fr', 'policy, measure, entity, inserted')}"""
-)
+    )
+
+
+NESTED = nested_sql(POLICIES)
 
 
 @query(f"WITH RECURSIVE {NESTED} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value, round(stddev_samp(score), 6) AS sd FROM done WHERE t = 1 GROUP BY policy, measure")
@@ -115,6 +124,20 @@ def nested_policy_values(spark, folder):
     return rounded(scores.where("decision_period = 1").groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
 
 
+@query(f"WITH RECURSIVE {nested_sql(POLICIES[:5])} SELECT policy, count(*) AS n_episodes, round(avg(score), 6) AS value, round(stddev_samp(score), 6) AS sd FROM done WHERE t = 1 AND measure = 'outcome' GROUP BY policy")
+def dml_policy_values(spark, folder):
+    """Values of the fixed-day policies for the outcome, from nested cross-fitted continuation fits."""
+    scores = nested.nested_scores(trajectory_rows(spark, folder, POLICIES[:5]).where("measure = 'outcome'"), EPISODE)
+    return rounded(scores.where("decision_period = 1").groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
+
+
+@query(f"WITH RECURSIVE {nested_sql(BOUNDS)} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value FROM done WHERE t = 1 GROUP BY policy, measure")
+def clipping_refits(spark, folder):
+    """Values under several clipping bounds, each with continuations of its own, as their targets depend on the ratios."""
+    scores = nested.nested_scores(trajectory_rows(spark, folder, BOUNDS), EPISODE)
+    return rounded(scores.where("decision_period = 1").groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value")))
+
+
 @query(f"WITH RECURSIVE {NESTED} SELECT policy, entity, inserted, round(max(CASE WHEN measure = 'outcome' THEN score END), 5) AS outcome, round(max(CASE WHEN measure = 'exposure_days' THEN score END), 5) AS exposure_days FROM done WHERE t = 1 AND policy = 'stochastic_half' GROUP BY ALL")
 def episode_scores(spark, folder):
     """The scores of each episode under one policy, a column for each measure."""

@@ -23,9 +23,11 @@ def report(df: DataFrame, places: int = 3, scientific: tuple[str, ...] = ()) ->
     return df.select(*[F.format_string("%.3e", c).alias(c) if c in scientific else F.bround(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def transposed(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A small report on its side: a row for each column, a column for each key. The keys, few by contract, are read first."""
-    keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(1000).collect()]
+def transposed(df: DataFrame, key: str, columns: list[str], most: int = 1000) -> DataFrame:
+    """A small report on its side: a row for each column, a column for each key. More than ``most`` keys fail: that is no report."""
+    keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} values of {key}")
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("x")) for c in columns])).alias("s")).select(key, "s.*")
     return long.groupBy("measure").pivot(key, keys).agg(F.first("x"))
 

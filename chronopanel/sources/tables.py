@@ -27,9 +27,15 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def policy_collection(spark: SparkSession, path: str) -> DataFrame:
-    """All policy panels under ``path``, one folder for each: policy_day comes from ``policy_day=<d>``."""
-    return spark.read.option("basePath", path).parquet(path).withColumn("policy_day", F.col("policy_day").cast("bigint"))
+def policy_collection(spark: SparkSession, path: str, schema: T.StructType | str | None = None, days: list[int] | None = None) -> DataFrame:
+    """All policy panels under ``path``, one folder for each: policy_day comes from ``policy_day=<d>``. With ``days``, other folders or missing ones fail."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    found = reader.option("basePath", path).parquet(path).withColumn("policy_day", F.col("policy_day").cast("bigint"))
+    if days is not None:
+        seen = {r[0] for r in found.select("policy_day").distinct().collect()}  # a row for each folder
+        if seen != set(days):
+            raise ValueError(f"policy days {sorted(map(str, seen))} instead of {sorted(days)}")
+    return found
 
 
 def first_labels(labels: DataFrame, item: str = "item", label: str = "label") -> DataFrame:

@@ -176,51 +176,11 @@ def test_simplex_weights_prefer_the_better_learner():
     assert w.sum() == pytest.approx(1) and w.min() >= 0 and w[0] > 0.9
 
 
-def test_ridge_recovers_a_line_and_needs_other_folds(spark):
+def test_ridge_recovers_a_line(spark):
     rows = [("a", k % 2, float(k), 3.0 + 2.0 * k) for k in range(200)]
     df = spark.createDataFrame(rows, "g string, fold long, x double, y double")
     beta = learners.ridge(df, ["x"], "y", 1e-9)
     assert beta == pytest.approx([3, 2], rel=1e-5)
-    by = {r.fold: r.beta for r in learners.ridge_by_fold(df, "g", "fold", ["x"], "y", 1e-9).collect()}
-    assert by[0] == pytest.approx([3, 2], rel=1e-5) and by[1] == pytest.approx([3, 2], rel=1e-5)
-    assert learners.ridge_by_fold(df.where("fold = 0"), "g", "fold", ["x"], "y").count() == 0
-
-
-def brute_force_values(rows, features):
-    """Mean first score and episodes for each policy: numpy ridge fits on the other folds, from the last stage of the longest episode back."""
-    after, first = {}, {}
-    for stage in sorted({r["decision_period"] for r in rows}, reverse=True):
-        now, scores = [r for r in rows if r["decision_period"] == stage], {}
-        for r in now:
-            train = [t for t in now if t["policy"] == r["policy"] and t["fold"] != r["fold"]]
-            q = [0.0, 0.0]
-            if train:
-                x = np.array([[t[f] for f in features] + [t["action_removed"]] for t in train], float)
-                y = np.array([t["reward"] + after.get((t["policy"], t["entity"]), 0.0) for t in train])
-                mean, sd = x.mean(0), x.std(0)
-                live = sd > 1e-9 * np.maximum(1, np.abs(mean))
-                z = (x - mean) / np.where(live, sd, 1) * live
-                beta = np.linalg.solve(z.T @ z + np.eye(x.shape[1]), z.T @ (y - y.mean())) / np.where(live, sd, 1) * live
-                q = [float(y.mean() + (np.array([r[f] for f in features] + [a]) - mean) @ beta) for a in (0, 1)]
-            target = r["reward"] + after.get((r["policy"], r["entity"]), 0.0)
-            scores[r["policy"], r["entity"]] = (1 - r["pi"]) * q[0] + r["pi"] * q[1] + r["ratio"] * (target - q[r["action_removed"]])
-        after, first = scores, scores
-    return {p: (np.mean([v for (g, _), v in first.items() if g == p]), sum(g == p for g, _ in first)) for p in {r["policy"] for r in rows}}
-
-
-def test_policy_values_take_every_decision(spark, monkeypatch):
-    draw, rows = np.random.default_rng(3), []
-    for entity in range(40):
-        for stage in range(1, 2 + entity % 7):
-            for p in ("early", "late"):
-                rows.append({"policy": p, "entity": entity, "inserted": 7 * entity, "fold": entity // 7 % 3, "decision_period": stage, "episode_day": stage, "interval_hours": 24.0 - entity % 5, "unit_in": 0, "unit_out": 1000 + 37 * entity % 401, "action_removed": int(draw.integers(2)), "pi": float(stage >= 3 or p == "early"), "ratio": float(draw.uniform(0.5, 1.5)), "reward": float(draw.uniform() + stage)})
-    df = spark.createDataFrame(rows, "policy string, entity long, inserted long, fold long, decision_period long, episode_day long, interval_hours double, unit_in long, unit_out long, action_removed int, pi double, ratio double, reward double")
-    monkeypatch.setattr(longitudinal, "policy_scores", lambda spark, folder: df)
-    got = {r.policy: (r.value, r.n_episodes) for r in longitudinal.dml_policy_values(spark, "").collect()}
-    wanted = brute_force_values([r | {"stay": r["unit_out"] - r["unit_in"]} for r in rows], ["interval_hours", "stay"])
-    assert max(r["decision_period"] for r in rows) == 7 and {p: n for p, (_, n) in got.items()} == {"early": 40, "late": 40}
-    for p, (value, _) in wanted.items():
-        assert got[p][0] == pytest.approx(value, abs=2e-6)
 
 
 def test_crossfit_falls_back_on_one_class(spark):
