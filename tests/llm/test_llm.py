@@ -4,10 +4,11 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from glob import glob
 
 import numpy as np
@@ -494,17 +495,60 @@ def test_secrets_awkward(spark, awkward):
 # Quality
 
 
-def test_kneser_ney_sums_to_one_and_judges(spark, corpus):
-    model = quality.train(corpus.where("doc_id < 40"))
-    p = np.exp(model.dense().astype(np.float64)).reshape(-1, quality.BASE)
-    assert np.abs(p.sum(1) - 1).max() < 1e-3
-    rows = [(1000, "%%#@ !! ZZ@@ 99%% ##" * 20, "en"), (1001, None, "en"), (1002, "", None), (None, words(100), None)]
-    both = corpus.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    got = quality.judged(both, corpus.select("doc_id"), least=5).collect()
+def plain_log_p(texts_):
+    """Interpolated modified Kneser-Ney by dictionaries over strings: a function of an n-gram."""
+    fold = lambda t: t.translate(quality.FOLDING)
+    padded = [chr(quality.START) * 3 + fold(t) for t in texts_]
+    levels = {4: Counter(t[k : k + 4] for t in padded for k in range(len(t) - 3))}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    size, discount, totals, weight = len(levels[1]), {}, {}, {}
+    for k, counts in levels.items():
+        n = [0, *(sum(v == c for v in counts.values()) for c in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        raw = [c - (c + 1) * y * n[c + 1] / n[c] if n[c] else 0.5 * c for c in (1, 2, 3)] if y else None
+        d = [min(max(x, 0.05), c * 0.95) for c, x in zip((1, 2, 3), raw)] if y else [0.5, 0.75, 1.0]
+        discount[k] = lambda v, d=d: d[min(v, 3) - 1]
+        totals[k], over = Counter(), Counter()
+        for g, v in counts.items():
+            totals[k][g[:-1]] += v
+            over[g[:-1]] += discount[k](v)
+        weight[k] = {c: over[c] / totals[k][c] for c in totals[k]}
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / (size + 1)
+        seen = levels[k].get(g)
+        if seen:
+            return (seen - discount[k](seen)) / totals[k][g[:-1]] + weight[k][g[:-1]] * below
+        return weight[k].get(g[:-1], 1.0) * below
+
+    return lambda text: math.exp(-np.mean([math.log(p(t[k : k + 4])) for t in [chr(quality.START) * 3 + fold(text)] for k in range(len(t) - 3)]))
+
+
+def test_perplexities_by_brute_force(spark):
+    trusted = [words(30) for _ in range(8)] + ["это хороший текст, он понятен и ясен", "好的文本很清楚,好的文本很好"]
+    others = [words(20), "это другой текст", "ёщзх ъъъ фффф", "文本很好", "𝒳😀 \n\t Q9", "x" * 5000, "", None]
+    model = quality.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    docs = spark.createDataFrame([(k, "en", t, 1) for k, t in enumerate(others)], "doc_id long, lang string, text string, gram int")
+    brute = plain_log_p(trusted)
+    for most in (10**6, 0):
+        got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model, most).collect()}
+        assert got[6] is None and got[7] is None
+        for k, t in enumerate(others[:6]):
+            assert got[k] == pytest.approx(brute(t), rel=1e-9)
+    assert got[1] < got[2]  # other scripts are told apart
+
+
+def test_quality_judges(spark, corpus):
+    rows = [(1000, "%%#@ !! ZZ@@ 99%% ##" * 20, "en"), (1001, None, "en"), (1002, "", None), (None, words(100), None), (1003, "y" * 60_000, "xx")]
+    both = corpus.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")).withColumn("perplexity", F.lit("clash"))
+    got = quality.judged(both, corpus.select("doc_id")).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == both.count() and not by[1000].keep and not by[1001].keep and by[1001].perplexity is None and not by[1002].keep
+    assert len(got) == both.count() and not by[1000].keep and not by[1001].keep and by[1001].perplexity is None and not by[1002].keep and not by[1003].keep
     assert np.mean([r.keep for r in got if r.doc_id is not None and r.doc_id < 1000]) > 0.9
     assert all(r.keep for r in quality.judged(both, corpus.select("doc_id").limit(0)).collect())
+    assert quality.judged(both.limit(0), corpus.select("doc_id")).count() == 0
 
 
 # Toxicity
