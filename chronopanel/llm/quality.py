@@ -141,7 +141,7 @@ def perplexities(docs: DataFrame, model: Model | None, most_broadcast: int = 3_0
     rows = texts(docs, "doc_id", "lang")
     if model is None:
         return rows.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"))
-    known = cut(model.log_p(counted(rows).select("gram")))
+    known = cut(model.log_p(cut(counted(rows).select("gram"))))  # read by several joins
     if known.count() > most_broadcast:
         return joined_perplexities(rows, known)
     table = known.toPandas().sort_values("gram")  # checked above
