@@ -92,14 +92,18 @@ class Template:
         before = np.concatenate([np.array([END], np.int8), kinds[:-1]])
         kinds = np.where((kinds == UNIT) & (before != NUMBER), WORD, kinds)
         kept = np.flatnonzero(kinds != END)
+        values = values[kept]
         inside = ((kinds == CAPITAL) & (before == CAPITAL))[kept]  # of a run of capitalised words all but the first
-        starts = np.flatnonzero(~inside)
-        within = np.arange(len(kept)) - np.repeat(starts, np.diff(np.append(starts, len(kept)))) if len(kept) else kept
-        self.first, self.last = (kept[starts], kept[np.append(starts[1:], len(kept)) - 1]) if len(kept) else (kept, kept)
+        if inside.any():
+            starts = np.flatnonzero(~inside)
+            within = np.arange(len(kept)) - np.repeat(starts, np.diff(np.append(starts, len(kept))))
+            self.first, self.last = kept[starts], kept[np.append(starts[1:], len(kept)) - 1]
+            with np.errstate(over="ignore"):
+                self.values = np.add.reduceat(values * np.power(np.uint64(31), within.astype(np.uint64)), starts)
+        else:
+            self.first, self.last, self.values = kept, kept, values
         kinds = kinds[self.first]
         self.slot = kinds != WORD
-        with np.errstate(over="ignore"):
-            self.values = np.add.reduceat(values[kept] * np.power(np.uint64(31), within.astype(np.uint64)), starts) if len(kept) else np.empty(0, np.uint64)
         self.hashes = np.where(self.slot, slot_hash[kinds], self.values)
 
     def value(self, k: int) -> str:
@@ -126,13 +130,14 @@ class Windows:
             self.known = Known()
         return Template(text, self.known, self.slot_hash)
 
-    def rolled(self, hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    def rolled(self, hashes: np.ndarray, size: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+        """A hash of the ``size`` values from each place on, or from the places ``at`` alone."""
         n = len(hashes)
         hashes = hashes ^ (hashes >> np.uint64(29))
-        total = np.zeros(max(0, n - size + 1), np.uint64)
+        total = np.zeros(max(0, n - size + 1) if at is None else len(at), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(size if n >= size else 0):
-                total += hashes[k : n - size + 1 + k] * self.power[k]
+                total += (hashes[k : n - size + 1 + k] if at is None else hashes[at + k]) * self.power[k]
             return (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size + (seed << 8))
 
     def of(self, t: Template) -> np.ndarray:
@@ -141,9 +146,11 @@ class Windows:
         if len(t.hashes) < size:
             return np.empty(0, np.uint64)
         words = np.concatenate([[0], np.cumsum(~t.slot)])
-        few = (words[size:] - words[: len(words) - size]) < self.literals
+        few = np.flatnonzero((words[size:] - words[: len(words) - size]) < self.literals)
         out = self.rolled(t.hashes, size, 0)
-        return np.where(few, self.rolled(t.values, size, 1), out) if few.any() else out
+        if len(few):
+            out[few] = self.rolled(t.values, size, 1, few)
+        return out
 
     def short(self, t: Template, size: int) -> np.ndarray:
         """The hash of the values of every run of ``size`` tokens, fewer than a window."""
