@@ -671,7 +671,7 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
 
 
 def test_registered_queries(spark):
-    """Every registered query runs over the smallest tables; the one with SQL gives DuckDB's rows."""
+    """Every registered query runs over the smallest tables; those with SQL give DuckDB's rows."""
     folder = "/root/testdata/sf0.001"
     counts = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in ("documents", "pages")}
     sizes = {3: "pages", 4: "documents", 5: "pages", 6: "documents", 7: "documents", 8: "documents", 9: "documents", 10: "documents"}
@@ -680,7 +680,8 @@ def test_registered_queries(spark):
         n = int(re.match(r"op(\d+)_", name)[1])
         assert got.count() == counts[sizes[n]] if n in sizes else got.count() >= (counts["documents"] if n == 2 else 1), name
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    for t in ("pages", "documents", "labels", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         want = duck.execute(sql).df()
         got = queries.QUERIES[name](spark, folder).select(*want.columns).toPandas()
