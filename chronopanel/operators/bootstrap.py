@@ -24,6 +24,14 @@ def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:
     return grid.select("replicate", pick.alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("times"))
 
 
+def draw_arrays(drawn: DataFrame, replicates: int) -> DataFrame:
+    """entity, times: how often each replicate drew the entity, as an array by replicate. A row for each entity drawn at all."""
+    by = F.map_from_entries(F.collect_list(F.struct("replicate", "times")))
+    found = drawn.groupBy("entity").agg(by.alias("by"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))
+    return found.select("entity", F.transform(numbers, lambda r: F.coalesce(F.try_element_at("by", r), F.lit(0)).cast("int")).alias("times"))
+
+
 def copies(rows: DataFrame, drawn: DataFrame, key: str = "entity") -> DataFrame:
     """``rows`` of the drawn entities, as often as drawn: ``copy`` from 0 tells the trajectories of one entity apart."""
     return rows.join(drawn, key).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))

@@ -241,10 +241,17 @@ def decision_links(spark, folder):
     return rounded(panel.decisions(base(spark, folder)).select(*DECISION.split(", "), "reward_exposure_days", "actual_exposure_days"))
 
 
-def scored_decisions(spark, folder) -> DataFrame:
-    """Decision rows with folds and cross-fitted rate models: ``g`` of removal, ``q_keep`` and ``q_remove`` of the outcome, by day."""
+def decision_rows(spark, folder) -> DataFrame:
+    """Decision rows with their entity's fold and the behaviour model's cell ``g_day``; cut, as every model and branch reads them."""
     rows = panel.decisions(base(spark, folder)).withColumn("g_day", F.least("episode_day", F.lit(6)))
-    rows = rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity").withColumn("action_removed", F.col("removed_in")).withColumn("reward", F.col("reward_outcome").cast("double"))
+    rows = rows.withColumn("action_removed", F.col("removed_in")).withColumn("reward", F.col("reward_outcome").cast("double"))
+    rows = cut(rows)
+    return cut(rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity"))
+
+
+def scored_decisions(spark, folder) -> DataFrame:
+    """``decision_rows`` with cross-fitted rate models: ``g`` of removal, ``q_keep`` and ``q_remove`` of the outcome, by day."""
+    rows = decision_rows(spark, folder)
     g = rates.crossfit_rates(rows, ["g_day"], "removed_in").withColumnRenamed("p", "g")
     q = rates.by_action(rates.crossfit_rates(rows, ["g_day", "action_removed"], "reward_outcome"), ["fold", "g_day"], "action_removed")
     return rows.join(g, ["fold", "g_day"]).join(q, ["fold", "g_day"], "left")

@@ -12,7 +12,7 @@ from chronopanel.checkpoints import cut
 from chronopanel.functions.stats import rounded
 from chronopanel.operators import bootstrap, checks, folds, metrics, nested, panel, policy, rates
 from chronopanel.plans import oracle
-from chronopanel.plans.longitudinal import DAYS, EPISODE, base, scored_decisions
+from chronopanel.plans.longitudinal import DAYS, EPISODE, base, decision_rows, scored_decisions
 from chronopanel.sources import tables
 
 QUERIES: dict = {}
@@ -34,23 +34,22 @@ def query(sql: str | None = None):
 #: name, day of removal, chance of removal, clipping bound; neither day nor chance is current practice.
 POLICIES = [*[(f"remove_on_day_{d}", d, None, 0.05) for d in DAYS], ("stochastic_half", None, 0.5, 0.05), (policy.CURRENT, None, None, 0.05)]
 BOUNDS = [(f"remove_on_day_2_clipped_at_{e}", 2, None, e) for e in (0.01, 0.1, 0.2)]
+MEASURES = ["outcome", "reinsertion", "death", "exit_alive", "exposure_days"]
+TREND = ["interval_hours"]
 
 
-def trajectory_rows(spark: SparkSession, folder: str, named: list[tuple] = POLICIES) -> DataFrame:
-    """Decision rows by policy (fixed days, a coin, current practice) and measure."""
-    rows = scored_decisions(spark, folder)
-    measures = F.array(
-        F.struct(F.lit("outcome").alias("measure"), F.col("reward_outcome").cast("double").alias("reward"), F.col("at_risk_outcome").cast("double").alias("risk")),
-        F.struct(F.lit("exposure_days").alias("measure"), F.col("reward_exposure_days").alias("reward"), F.lit(1.0).alias("risk")),
-    )
-    day = F.col("episode_day")
-    policies = F.array(*[F.struct(F.lit(n).alias("policy"), policy.probability(day, F.col("g"), None if d is None else F.lit(d), c).alias("pi"), F.lit(e).alias("bound")) for n, d, c, e in named])
-    long = rows.withColumn("m", F.explode(measures)).withColumn("p", F.explode(policies)).select("*", "m.measure", F.col("m.reward").alias("r"), "m.risk", "p.policy", "p.pi", "p.bound")
-    kept = long.select("policy", "measure", *EPISODE, "fold", "decision_period", F.col("interval_hours").alias("x"), "action_removed", "pi", "g", F.col("r").alias("reward"), "risk", "bound")
-    return kept.withColumn("ratio", policy.ratios(F.col("action_removed"), F.col("pi"), F.col("g"), F.col("bound"))["ratio"])
+def trajectory_rows(spark: SparkSession, folder: str, measures: list[str] = MEASURES) -> DataFrame:
+    """Decision rows up to the last period that every pair of folds leaves support for, with what ``nested`` reads; only the outcome has a risk set."""
+    rows = decision_rows(spark, folder).withColumn("day", F.col("episode_day")).withColumn("cell", F.col("g_day"))
+    rows = rows.withColumns({f"risk_{m}": F.col("at_risk_outcome").cast("double") if m == "outcome" else F.lit(1.0) for m in measures})
+    return rows.where(F.col("decision_period") <= nested.supported(rows, measures))
+
 
+def nested_of(spark: SparkSession, folder: str, policies: list[tuple], measures: list[str] = MEASURES) -> DataFrame:
+    return nested.nested_scores(trajectory_rows(spark, folder, measures), EPISODE, TREND, policies, measures)
 
-MOMENTS = "sum(1)::DOUBLE AS n, sum(y) AS y, sum(x) AS x, sum(a) AS a, sum(x * x) AS xx, sum(x * a) AS xa, sum(a * a) AS aa, sum(x * y) AS xy, sum(a * y) AS ay"
+
+MOMENTS = ", ".join(f"sum(w{f}) AS {n}" for n, f in (("n", ""), ("y", " * y"), ("x", " * x"), ("a", " * a"), ("xx", " * x * x"), ("xa", " * x * a"), ("aa", " * a * a"), ("xy", " * x * y"), ("ay", " * a * y")))
 
 
 def _ridge(source: str, keys: str) -> str:
@@ -64,12 +63,8 @@ def _ridge(source: str, keys: str) -> str:
     )
 
 
-_WINDOWS = MOMENTS.replace("sum(1)::DOUBLE AS n", "sum(CASE WHEN risk > 0 THEN 1.0 END) OVER w AS n")
-for _name, _of in (("y", "y"), ("x", "x"), ("a", "a"), ("xx", "x * x"), ("xa", "x * a"), ("aa", "a * a"), ("xy", "x * y"), ("ay", "a * y")):
-    _WINDOWS = _WINDOWS.replace(f"sum({_of}) AS {_name}", f"sum(CASE WHEN risk > 0 THEN {_of} END) OVER w AS {_name}")
-
-STEP = "(1 - pi) * risk * (b0 + bx * x{p}) + pi * risk * (b0 + bx * x{p} + ba)"
-SEEN = "risk * (b0 + bx * x{p} + ba * a{p})"
+STEP = "(1 - pi) * risk * (b0 + bx * x) + pi * risk * (b0 + bx * x + ba)"
+SEEN = "risk * (b0 + bx * x + ba * a)"
 
 
 def _folded(name: str, source: str, keys: str) -> str:
@@ -79,38 +74,52 @@ def _folded(name: str, source: str, keys: str) -> str:
 
 
 SCORES = oracle.SCORES[: oracle.SCORES.index("sc0 AS")].rstrip().rstrip(",").rsplit(",\nqrate_own", 1)[0]
+ONCE = "wt AS (SELECT DISTINCT 0::BIGINT AS rep, entity, 1::DOUBLE AS times FROM decf)"
+_PI = "CASE WHEN d IS NOT NULL THEN CAST(day >= d AS DOUBLE) WHEN chance IS NOT NULL THEN chance ELSE g END"
 
 
-def nested_sql(named: list[tuple]) -> str:
-    """SQL of the nested recursion: table done."""
-    values = ", ".join(f"('{n}', {d or 'NULL'}, {c or 'NULL'}, {e})" for n, d, c, e in named)
+def _with_g(rows: str, more: str, sets: str, j: str, k: str) -> str:
+    """SQL: rows with the behaviour model of the fold set (j, k), the policy's chance and the ratio."""
     return (
-    SCORES
-    + f""",
-nr0 AS (SELECT p.policy, p.eps::DOUBLE AS eps, decf.*, prop.p AS g, CASE WHEN p.d IS NOT NULL THEN CAST(episode_day >= p.d AS DOUBLE) WHEN p.c IS NOT NULL THEN p.c::DOUBLE ELSE prop.p END AS pi
-  FROM decf JOIN prop ON g_day = least(episode_day, 6) AND prop.fold = decf.fold, (VALUES {values}) p(policy, d, c, eps)),
-nr AS (SELECT policy, m.measure, entity, inserted, fold, decision_period AS t, interval_hours AS x, removed_in::DOUBLE AS a, pi,
-  CASE WHEN removed_in = 1 THEN pi / least(greatest(g, eps), 1 - eps) ELSE (1 - pi) / (1 - least(greatest(g, eps), 1 - eps)) END AS ratio,
-  CASE m.measure WHEN 'outcome' THEN reward_outcome::DOUBLE ELSE reward_exposure_days END AS reward, CASE m.measure WHEN 'outcome' THEN at_risk_outcome::DOUBLE ELSE 1 END AS risk
-  FROM nr0, (VALUES ('outcome'), ('exposure_days')) m(measure)),
-pairs AS (SELECT a.i AS j, b.i AS k FROM (SELECT unnest(range(0, 5)) AS i) a JOIN (SELECT unnest(range(0, 5)) AS i) b ON a.i < b.i),
-tr AS (SELECT nr.*, j, k FROM nr JOIN pairs ON fold <> j AND fold <> k),
-rec AS (SELECT NULL::VARCHAR AS policy, NULL::VARCHAR AS measure, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS entity, 0::BIGINT AS inserted, (SELECT max(t) + 1 FROM nr) AS t, 0::DOUBLE AS score, NULL::DOUBLE AS b0, NULL::DOUBLE AS bx, NULL::DOUBLE AS ba
-  UNION ALL SELECT policy, measure, j, k, entity, inserted, t, coalesce({STEP.format(p='0')}, 0) + ratio * (reward + nxt - coalesce({SEEN.format(p='0')}, 0)), b0, bx, ba FROM ("""
-    + _ridge(
-        f"SELECT policy, measure, j, k, entity, inserted, t, pi, ratio, reward, risk, nxt, x AS x0, a AS a0, {_WINDOWS} FROM (SELECT tr.*, coalesce(prev.score, 0) AS nxt, tr.reward + coalesce(prev.score, 0) AS y FROM tr JOIN (SELECT max(t) - 1 AS st FROM rec) now ON tr.t = now.st "
-        "LEFT JOIN rec prev ON prev.policy = tr.policy AND prev.measure = tr.measure AND prev.j = tr.j AND prev.k = tr.k AND prev.entity = tr.entity AND prev.inserted = tr.inserted) WINDOW w AS (PARTITION BY policy, measure, j, k)",
-        "policy, measure, j, k, entity, inserted, t, pi, ratio, reward, risk, nxt, x0, a0",
+        f"SELECT *, CASE WHEN a = 1 THEN pi / least(greatest(g, eps), 1 - eps) ELSE (1 - pi) / (1 - least(greatest(g, eps), 1 - eps)) END AS ratio "
+        f"FROM (SELECT *, {_PI} AS pi FROM (SELECT nr.*{more}, gs.g FROM {rows} nr {sets} JOIN gs ON gs.rep = nr.rep AND gs.cell = nr.cell AND gs.j = {j} AND gs.k = {k}))"
     )
-    + f""")),
-aux AS (SELECT DISTINCT policy, measure, j, k, t, b0, bx, ba FROM rec WHERE b0 IS NOT NULL),
-hr AS (SELECT nr.*, o.i AS outer_fold, coalesce({STEP.format(p='')}, 0) + ratio * (reward - coalesce({SEEN.format(p='')}, 0)) AS c FROM nr JOIN (SELECT unnest(range(0, 5)) AS i) o ON o.i <> fold
-  LEFT JOIN aux ON aux.policy = nr.policy AND aux.measure = nr.measure AND aux.j = least(fold, o.i) AND aux.k = greatest(fold, o.i) AND aux.t = nr.t),
-{_folded('held', 'hr', 'policy, measure, entity, inserted, outer_fold')},
-ot AS (SELECT hr.policy, hr.measure, hr.outer_fold, hr.t, hr.x, hr.a, hr.reward + coalesce(h.score, 0) AS y FROM hr LEFT JOIN held h ON h.policy = hr.policy AND h.measure = hr.measure AND h.entity = hr.entity AND h.inserted = hr.inserted AND h.outer_fold = hr.outer_fold AND h.t = hr.t + 1 WHERE hr.risk > 0),
-om AS ({_ridge(f'SELECT policy, measure, outer_fold, t, {MOMENTS} FROM ot GROUP BY ALL', 'policy, measure, outer_fold, t')}),
-fr AS (SELECT nr.*, coalesce({STEP.format(p='')}, 0) + ratio * (reward - coalesce({SEEN.format(p='')}, 0)) AS c FROM nr LEFT JOIN om ON om.policy = nr.policy AND om.measure = nr.measure AND om.outer_fold = nr.fold AND om.t = nr.t),
-{_folded('done', 'fr', 'policy, measure, entity, inserted')}"""
+
+
+def nested_sql(named: list[tuple], measures: list[str] = MEASURES, weights: str = ONCE) -> str:
+    """SQL of the nested recursion: table done (scores) and fr (what they are made of)."""
+    values = ", ".join(f"('{n}', {d or 'NULL'}, {c or 'NULL'}, {e})" for n, d, c, e in named)
+    names = ", ".join(f"('{m}')" for m in measures)
+    reward = "CASE m.measure " + " ".join(f"WHEN '{m}' THEN reward_{m}::DOUBLE" for m in measures) + " END"
+    keys = "rep, policy, measure, entity, inserted"
+    same = lambda x, y, names: " AND ".join(f"{x}.{n} = {y}.{n}" for n in names.split(", "))
+    return (
+        SCORES
+        + f""",
+{weights},
+hz AS (SELECT coalesce(min(CASE WHEN nf <= 2 THEN decision_period END) - 1, max(decision_period)) AS h FROM (SELECT decision_period, count(DISTINCT CASE WHEN at_risk_outcome = 1 THEN fold END) AS nf FROM decf GROUP BY 1)),
+dh AS (SELECT decf.*, rep, times, least(episode_day, 6) AS cell FROM decf JOIN wt USING (entity), hz WHERE decision_period <= h),
+fsets AS (SELECT a.i AS j, b.i AS k FROM (SELECT unnest(range(0, 5)) AS i) a JOIN (SELECT unnest(range(0, 5)) AS i) b ON a.i <= b.i),
+gs AS (SELECT j, k, rep, cell, (sum(CASE WHEN fold <> j AND fold <> k THEN times * removed_in ELSE 0 END) + 1) / (sum(CASE WHEN fold <> j AND fold <> k THEN times ELSE 0 END) + 2) AS g FROM dh, fsets GROUP BY ALL),
+nr AS (SELECT rep, times, p.policy, p.d, p.chance::DOUBLE AS chance, p.eps::DOUBLE AS eps, m.measure, entity, inserted, fold, decision_period AS t, interval_hours AS x, removed_in::DOUBLE AS a, cell, episode_day AS day,
+  {reward} AS reward, CASE m.measure WHEN 'outcome' THEN at_risk_outcome::DOUBLE ELSE 1 END AS risk FROM dh, (VALUES {values}) p(policy, d, chance, eps), (VALUES {names}) m(measure)),
+tr AS ({_with_g('nr', ', s.j, s.k', 'JOIN fsets s ON s.j < s.k AND nr.fold <> s.j AND nr.fold <> s.k', 's.j', 's.k')}),
+rec AS (SELECT 0::BIGINT AS rep, NULL::VARCHAR AS policy, NULL::VARCHAR AS measure, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS entity, 0::BIGINT AS inserted, (SELECT max(t) + 1 FROM nr) AS t, 0::DOUBLE AS score, NULL::DOUBLE AS b0, NULL::DOUBLE AS bx, NULL::DOUBLE AS ba
+  UNION ALL SELECT {keys}, j, k, t, score, b0, bx, ba FROM (SELECT rep, policy, measure, j, k, entity, inserted, t, coalesce({STEP.replace(' x)', ' x0)').replace(' x +', ' x0 +')}, 0) + ratio * (reward + nxt - coalesce({SEEN.replace(' x +', ' x0 +').replace('* a)', '* a0)')}, 0)) AS score, b0, bx, ba FROM (""".replace(f"SELECT {keys}, j, k, t, score", "SELECT rep, policy, measure, j, k, entity, inserted, t, score")
+        + _ridge(
+            f"SELECT rep, policy, measure, j, k, entity, inserted, t, pi, ratio, reward, risk, nxt, x AS x0, a AS a0, {MOMENTS.replace(') AS', ') OVER win AS')} FROM (SELECT tr.*, coalesce(prev.score, 0) AS nxt, tr.reward + coalesce(prev.score, 0) AS y, CASE WHEN tr.risk > 0 THEN tr.times END AS w FROM tr JOIN (SELECT max(t) - 1 AS st FROM rec) now ON tr.t = now.st "
+            f"LEFT JOIN rec prev ON {same('prev', 'tr', keys + ', j, k')}) WINDOW win AS (PARTITION BY rep, policy, measure, j, k)",
+            "rep, policy, measure, j, k, entity, inserted, t, pi, ratio, reward, risk, nxt, x0, a0",
+        )
+        + f"""))),
+aux AS (SELECT DISTINCT rep, policy, measure, j, k, t, b0, bx, ba FROM rec WHERE b0 IS NOT NULL),
+hr AS (SELECT q.*, coalesce({STEP}, 0) + ratio * (reward - coalesce({SEEN}, 0)) AS c FROM (SELECT z.*, b0, bx, ba FROM ({_with_g('nr', ', o.i AS outer_fold', 'JOIN (SELECT unnest(range(0, 5)) AS i) o ON o.i <> nr.fold', 'least(nr.fold, o.i)', 'greatest(nr.fold, o.i)')}) z
+  LEFT JOIN aux ON {same('aux', 'z', 'rep, policy, measure, t')} AND aux.j = least(z.fold, outer_fold) AND aux.k = greatest(z.fold, outer_fold)) q),
+{_folded('held', 'hr', keys + ', outer_fold')},
+ot AS (SELECT hr.rep, hr.policy, hr.measure, hr.outer_fold, hr.t, hr.x, hr.a, hr.times AS w, hr.reward + coalesce(h.score, 0) AS y FROM hr LEFT JOIN held h ON {same('h', 'hr', keys + ', outer_fold')} AND h.t = hr.t + 1 WHERE hr.risk > 0),
+om AS ({_ridge(f'SELECT rep, policy, measure, outer_fold, t, {MOMENTS} FROM ot GROUP BY ALL', 'rep, policy, measure, outer_fold, t')}),
+fr AS (SELECT q.*, coalesce({STEP}, 0) + ratio * (reward - coalesce({SEEN}, 0)) AS c FROM (SELECT z.*, b0, bx, ba FROM ({_with_g('nr', '', '', 'nr.fold', 'nr.fold')}) z LEFT JOIN om ON {same('om', 'z', 'rep, policy, measure, t')} AND om.outer_fold = z.fold) q),
+{_folded('done', 'fr', keys)}"""
     )
 
 
@@ -119,31 +128,65 @@ NESTED = nested_sql(POLICIES)
 
 @query(f"WITH RECURSIVE {NESTED} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value, round(stddev_samp(score), 6) AS sd FROM done WHERE t = 1 GROUP BY policy, measure")
 def nested_policy_values(spark, folder):
-    """Values of fixed-day, stochastic and current policies by the nested cross-fitted recursion."""
-    scores = nested.nested_scores(trajectory_rows(spark, folder), EPISODE)
-    return rounded(scores.where("decision_period = 1").groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
+    """Values of fixed-day, stochastic and current policies for all five measures by the nested cross-fitted recursion."""
+    scores = nested_of(spark, folder, POLICIES).where("decision_period = 1")
+    return rounded(scores.groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
 
 
-@query(f"WITH RECURSIVE {nested_sql(POLICIES[:5])} SELECT policy, count(*) AS n_episodes, round(avg(score), 6) AS value, round(stddev_samp(score), 6) AS sd FROM done WHERE t = 1 AND measure = 'outcome' GROUP BY policy")
+@query(f"WITH RECURSIVE {nested_sql(POLICIES[:5], ['outcome'])} SELECT policy, count(*) AS n_episodes, round(avg(score), 6) AS value, round(stddev_samp(score), 6) AS sd FROM done WHERE t = 1 GROUP BY policy")
 def dml_policy_values(spark, folder):
     """Values of the fixed-day policies for the outcome, from nested cross-fitted continuation fits."""
-    scores = nested.nested_scores(trajectory_rows(spark, folder, POLICIES[:5]).where("measure = 'outcome'"), EPISODE)
-    return rounded(scores.where("decision_period = 1").groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
+    scores = nested_of(spark, folder, POLICIES[:5], ["outcome"]).where("decision_period = 1")
+    return rounded(scores.groupBy("policy").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value"), F.stddev_samp("score").alias("sd")))
+
 
+TWO = ["outcome", "exposure_days"]
 
-@query(f"WITH RECURSIVE {nested_sql(BOUNDS)} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value FROM done WHERE t = 1 GROUP BY policy, measure")
+
+@query(f"WITH RECURSIVE {nested_sql(BOUNDS, TWO)} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value FROM done WHERE t = 1 GROUP BY policy, measure")
 def clipping_refits(spark, folder):
     """Values under several clipping bounds, each with continuations of its own, as their targets depend on the ratios."""
-    scores = nested.nested_scores(trajectory_rows(spark, folder, BOUNDS), EPISODE)
-    return rounded(scores.where("decision_period = 1").groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value")))
+    scores = nested_of(spark, folder, BOUNDS, TWO).where("decision_period = 1")
+    return rounded(scores.groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value")))
+
+
+COIN = [p for p in POLICIES if p[0] == "stochastic_half"]
 
 
-@query(f"WITH RECURSIVE {NESTED} SELECT policy, entity, inserted, round(max(CASE WHEN measure = 'outcome' THEN score END), 5) AS outcome, round(max(CASE WHEN measure = 'exposure_days' THEN score END), 5) AS exposure_days FROM done WHERE t = 1 AND policy = 'stochastic_half' GROUP BY ALL")
+@query(f"WITH RECURSIVE {nested_sql(COIN)} SELECT policy, entity, inserted, {', '.join(f'round(max(CASE WHEN measure = {m!r} THEN score END), 5) AS {m}' for m in MEASURES)} FROM done WHERE t = 1 GROUP BY policy, entity, inserted")
 def episode_scores(spark, folder):
     """The scores of each episode under one policy, a column for each measure."""
-    rows = trajectory_rows(spark, folder).where("policy = 'stochastic_half'")
-    scores = nested.nested_scores(rows, EPISODE).where("decision_period = 1")
-    return rounded(scores.groupBy("policy", *EPISODE).pivot("measure", ["outcome", "exposure_days"]).agg(F.first("score")), 5)
+    scores = nested_of(spark, folder, COIN).where("decision_period = 1")
+    return rounded(scores.groupBy("policy", *EPISODE).pivot("measure", MEASURES).agg(F.first("score")), 5)
+
+
+@query(
+    f"WITH RECURSIVE {nested_sql(POLICIES[1:2] + POLICIES[-1:], TWO)} SELECT policy, measure, entity, inserted, t AS decision_period, fold, round(risk * (b0 + bx * x), 5) AS q_keep, round(risk * (b0 + bx * x + ba), 5) AS q_remove, round(pi, 6) AS pi, round(g, 6) AS g, round(ratio, 6) AS ratio, round(coalesce(later.score, 0), 5) AS next_score, round(done.score, 5) AS score "
+    "FROM fr JOIN done USING (rep, policy, measure, entity, inserted, t, fold) LEFT JOIN (SELECT policy, measure, entity, inserted, t - 1 AS t, score FROM done) later USING (policy, measure, entity, inserted, t)"
+)
+def nested_decisions(spark, folder):
+    """Every decision under two policies with its held-out continuation under both actions, its ratio and its scores."""
+    scores = nested_of(spark, folder, POLICIES[1:2] + POLICIES[-1:], TWO)
+    return scores.select("policy", "measure", *EPISODE, "decision_period", "fold", *[F.round(c, 6 if c in ("pi", "g", "ratio") else 5).alias(c) for c in nested.DETAIL])
+
+
+REFIT_POLICIES, REFIT_DRAWS, REFIT_SEED = POLICIES[1:2] + POLICIES[-1:], 10, 41
+
+
+def _drawn_sql(n: int, seed: int) -> str:
+    return (
+        "wn AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS number, count(*) OVER () AS n_all FROM (SELECT DISTINCT entity FROM decf)), "
+        f"wt AS (SELECT rep, wn.entity, times::DOUBLE AS times FROM (SELECT rep, CAST(floor({oracle.uniform(seed, 'rep', 'draw')} * n_all) AS BIGINT) AS number, count(*) AS times FROM (SELECT unnest(range(0, {n})) AS rep), (SELECT number AS draw, n_all FROM wn) GROUP BY 1, 2) JOIN wn USING (number))"
+    )
+
+
+@query(f"WITH RECURSIVE {nested_sql(REFIT_POLICIES, TWO, _drawn_sql(REFIT_DRAWS, REFIT_SEED))} SELECT rep AS replicate, policy, measure, sum(times)::BIGINT AS n, round(sum(times * score) / sum(times), 6) AS value FROM done JOIN wt USING (rep, entity) WHERE t = 1 GROUP BY rep, policy, measure")
+def nested_bootstrap(spark, folder):
+    """Values by replicate with every behaviour and continuation model fitted anew on the entities drawn. A period that a replicate leaves without support has continuation 0."""
+    rows = trajectory_rows(spark, folder, TWO)
+    numbers = bootstrap.entity_numbers(decision_rows(spark, folder))
+    drawn = bootstrap.draws(max(1, numbers.count()), REFIT_DRAWS, REFIT_SEED, spark).join(numbers, "number")
+    return rounded(nested.nested_bootstrap(rows, EPISODE, TREND, REFIT_POLICIES, TWO, bootstrap.draw_arrays(drawn, REFIT_DRAWS), REFIT_DRAWS, strict=False))
 
 
 # Outcome models and the g-formula on them

@@ -7,82 +7,152 @@ from pyspark.sql import functions as F
 from chronopanel.operators import bootstrap, checks, folds, learners, metrics, nested, policy, rates
 from chronopanel.sources import sinks, tables
 
-SCHEMA = "policy string, measure string, entity long, inserted long, fold long, decision_period long, x double, action_removed int, pi double, ratio double, reward double, risk double"
+MEASURES = ["a", "b", "c", "d", "e"]
+FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+POLICIES = [("late", 3, None, 0.05), ("coin", None, 0.3, 0.1), ("as_seen", None, None, 0.2)]
+SCHEMA = "entity long, inserted long, fold long, decision_period long, day int, cell int, action_removed int, " + ", ".join(f"{c} double" for c in (*FEATURES, *(f"reward_{m}" for m in MEASURES), *(f"risk_{m}" for m in MEASURES)))
 
 
-def trajectories(seed=3, entities=40):
+def trajectories(seed=3, entities=40, most=5):
+    """One feature is constant, one repeats another but for scale, one is large; the first measure has a risk set."""
     draw, rows = np.random.default_rng(seed), []
     for entity in range(entities):
-        for stage in range(1, 2 + entity % 5):
-            for p in ("early", "late"):
-                rows.append((p, "m", entity, 7 * entity, entity // 5 % 4, stage, float(24 - entity % 5), int(draw.integers(2)), float(stage >= 3 or p == "early"), float(draw.uniform(0.5, 1.5)), float(draw.uniform() + stage), float(entity % 6 != 0 or stage < 2)))
+        for stage in range(1, 2 + entity % most):
+            x = [float(24 - entity % 5), 7.0, float(draw.normal()), 1e6 + float(draw.normal()), float(48 - 2 * (entity % 5))]
+            rows.append((entity, 7 * entity, entity // 5 % 4, stage, stage, stage % 3, int(draw.integers(2)), *x, *(float(draw.uniform() + stage * k) for k in range(5)), float(entity % 6 != 0 or stage < 2), 1.0, 1.0, 1.0, 1.0))
     return rows
 
 
-def ridge(rows, y):
-    x = np.array([[r[6], r[7]] for r in rows], float)
-    mean, sd = x.mean(0), x.std(0)
+def ridge(rows, y, times):
+    x = np.array([[*r[7:12], r[6]] for r in rows], float)
+    w = np.array([times[r[0]] for r in rows], float)
+    mean = w @ x / w.sum()
+    sd = np.sqrt(w @ (x - mean) ** 2 / w.sum())
     live = sd > 1e-6
     z = (x - mean) / np.where(live, sd, 1) * live
-    beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean())) / np.where(live, sd, 1) * live
-    return [y.mean() - beta @ mean, *beta]
+    beta = np.linalg.solve(z.T @ (z * w[:, None]) + np.eye(6), z.T @ (w * (y - w @ y / w.sum()))) / np.where(live, sd, 1) * live
+    return [w @ y / w.sum() - beta @ mean, *beta]
 
 
-def step(r, beta, after):
-    keep, remove = (r[11] * (beta[0] + beta[1] * r[6] + a * beta[2]) if beta is not None else 0.0 for a in (0, 1))
-    return (1 - r[8]) * keep + r[8] * remove + r[9] * (r[10] + after - (remove if r[7] else keep))
+def removal_rates(rows, times):
+    return lambda cell: (sum(times[r[0]] * r[6] for r in rows if r[5] == cell) + 1) / (sum(times[r[0]] for r in rows if r[5] == cell) + 2)
 
 
-def backward(train, predict):
-    """Scores of ``predict`` by models of ``train``, whose own fitted scores are its targets."""
-    own, out = {}, {}
-    for t in sorted({r[5] for r in train + predict}, reverse=True):
-        now = [r for r in train if r[5] == t]
-        used = [r for r in now if r[11] > 0]
-        beta = ridge(used, np.array([r[10] + own.get((r[2], t + 1), 0.0) for r in used])) if used else None
-        own |= {(r[2], t): step(r, beta, own.get((r[2], t + 1), 0.0)) for r in now}
-        out |= {(r[2], t): step(r, beta, out.get((r[2], t + 1), 0.0)) for r in predict if r[5] == t}
+def step(r, m, policy_, g, beta, after):
+    _, day, chance, bound = policy_
+    pi = float(r[4] >= day) if day is not None else chance if chance is not None else g
+    used = min(max(g, bound), 1 - bound)
+    ratio = pi / used if r[6] else (1 - pi) / (1 - used)
+    keep, remove = (r[17 + m] * (beta[0] + np.dot(beta[1:-1], r[7:12]) + a * beta[-1]) if beta is not None else 0.0 for a in (0, 1))
+    return (1 - pi) * keep + pi * remove + ratio * (r[12 + m] + after - (remove if r[6] else keep))
+
+
+def backward(train, predict, m, p, times):
+    """Scores of ``predict`` by models of ``train``, whose own fitted scores are its targets; the behaviour model is of ``train`` too."""
+    own, out, g = {}, {}, removal_rates(train, times)
+    for t in sorted({r[3] for r in train + predict}, reverse=True):
+        now = [r for r in train if r[3] == t]
+        used = [r for r in now if r[17 + m] > 0]
+        beta = ridge(used, np.array([r[12 + m] + own.get((r[0], t + 1), 0.0) for r in used]), times) if used else None
+        own |= {(r[0], t): step(r, m, p, g(r[5]), beta, own.get((r[0], t + 1), 0.0)) for r in now}
+        out |= {(r[0], t): step(r, m, p, g(r[5]), beta, out.get((r[0], t + 1), 0.0)) for r in predict if r[3] == t}
     return out
 
 
-def brute_force(rows, n_folds=4):
-    scores = {}
-    for p in ("early", "late"):
-        of = [r for r in rows if r[0] == p]
-        for k in range(n_folds):
-            rest, later = [r for r in of if r[4] != k], {}
-            for j in {r[4] for r in rest}:
-                later |= backward([r for r in rest if r[4] != j], [r for r in rest if r[4] == j])
-            done = {}
-            for t in sorted({r[5] for r in of}, reverse=True):
-                used = [r for r in rest if r[5] == t and r[11] > 0]
-                beta = ridge(used, np.array([r[10] + later.get((r[2], t + 1), 0.0) for r in used])) if used else None
-                done |= {(r[2], t): step(r, beta, done.get((r[2], t + 1), 0.0)) for r in of if r[4] == k and r[5] == t}
-            scores |= {(p, *x): v for x, v in done.items()}
+def brute_force(rows, times=None, n_folds=4):
+    times = times or {r[0]: 1 for r in rows}
+    of, scores = [r for r in rows if times.get(r[0])], {}
+    for p in POLICIES:
+        for m, name in enumerate(MEASURES):
+            for k in range(n_folds):
+                rest, later = [r for r in of if r[2] != k], {}
+                for j in {r[2] for r in rest}:
+                    later |= backward([r for r in rest if r[2] != j], [r for r in rest if r[2] == j], m, p, times)
+                done, g = {}, removal_rates(rest, times)
+                for t in sorted({r[3] for r in of}, reverse=True):
+                    used = [r for r in rest if r[3] == t and r[17 + m] > 0]
+                    beta = ridge(used, np.array([r[12 + m] + later.get((r[0], t + 1), 0.0) for r in used]), times) if used else None
+                    done |= {(r[0], t): step(r, m, p, g(r[5]), beta, done.get((r[0], t + 1), 0.0)) for r in of if r[2] == k and r[3] == t}
+                scores |= {(p[0], name, *x): v for x, v in done.items()}
     return scores
 
 
 def nested_of(spark, rows, **options):
-    found = nested.nested_scores(spark.createDataFrame(rows, SCHEMA), ["entity", "inserted"], 4, **options)
-    return {(r.policy, r.entity, r.decision_period): r.score for r in found.collect()}
+    found = nested.nested_scores(spark.createDataFrame(rows, SCHEMA), ["entity", "inserted"], FEATURES, POLICIES, MEASURES, 4, **options)
+    return {(r.policy, r.measure, r.entity, r.decision_period): r for r in found.collect()}
+
+
+@pytest.mark.parametrize("stretch", [16, 2, 1])
+def test_nested_scores_by_brute_force(spark, stretch):
+    """Five features and five measures; running scores that are written every few stages change nothing."""
+    rows = trajectories()
+    got, want = nested_of(spark, rows, stretch=stretch), brute_force(rows)
+    assert got.keys() == want.keys() and len({k[3] for k in got}) == 5
+    assert all(got[k].score == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
+
+
+def test_nested_models_never_see_the_fold(spark):
+    """Other rewards, features or actions in fold 0 leave its continuation models and its behaviour model as they are."""
+    rows = trajectories()
+    got = nested_of(spark, rows)
+    last = {(r[0], r[3]) for r in rows} - {(r[0], r[3] - 1) for r in rows}
+
+    def changed(change):
+        return nested_of(spark, [change(r) if r[2] == 0 else r for r in rows])
 
+    richer = changed(lambda r: (*r[:12], *(x + 1000.0 for x in r[12:17]), *r[17:]))
+    acted = changed(lambda r: (*r[:6], 1 - r[6], *r[7:]))
+    for k, r in got.items():
+        if r.fold == 0:
+            for other in (richer, acted):
+                for c in ("q_keep", "q_remove", "pi", "g"):
+                    assert other[k][c] == pytest.approx(r[c], rel=1e-7, abs=1e-7)
+            if k[2:] in last:
+                assert richer[k].score - r.score == pytest.approx(1000.0 * r.ratio, rel=1e-6)
+    assert any(abs(acted[k].g - r.g) > 1e-4 for k, r in got.items() if r.fold)
 
-def test_nested_scores_by_brute_force_and_without_leakage(spark):
+
+def test_periods_without_support_are_refused(spark):
     rows = trajectories()
-    got, want = nested_of(spark, rows), brute_force(rows)
-    assert got.keys() == want.keys() and len({k[2] for k in got}) == 5
-    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-    # Other rewards in fold 0 move its scores by their own terms alone: the models that score it stay.
-    moved = [(*r[:10], r[10] + 1000.0, r[11]) if r[4] == 0 else r for r in rows]
-    again = nested_of(spark, moved)
-    for r in rows:
-        if r[4] == 0 and (r[0], r[2], r[5] + 1) not in got:  # an episode's last decision
-            assert again[r[0], r[2], r[5]] - got[r[0], r[2], r[5]] == pytest.approx(1000.0 * r[9], rel=1e-6)
-    with pytest.raises(ValueError, match="training trajectories"):
-        nested_of(spark, [r for r in rows if r[5] < 5 or r[4] == 3], strict=True)
+    for lost in ({0, 1, 2}, {0, 1}):  # without an outer fold's support, or an inner one's
+        with pytest.raises(ValueError, match=r"no training trajectories at decision periods \[5\]"):
+            nested_of(spark, [r for r in rows if r[3] < 5 or r[2] not in lost])
+    at_risk = [(*r[:17], 0.0 if r[3] == 4 and r[2] else r[17], *r[18:]) for r in rows]
+    with pytest.raises(ValueError, match=r"\[4\]"):
+        nested_of(spark, at_risk)
+    frame = spark.createDataFrame(at_risk, SCHEMA)
+    assert nested.supported(frame, MEASURES) == 3 and nested.supported(frame, MEASURES[1:]) == 5 and nested.supported(frame.limit(0), MEASURES) == 0
+    assert nested_of(spark, at_risk, strict=False).keys() == brute_force(at_risk).keys()
     assert nested_of(spark, []) == {}
 
 
+def test_refitted_replicates_are_those_of_copied_entities(spark):
+    """Multiplicities as weights give what physical copies would; one replicate draws everything once."""
+    rows = trajectories()
+    draw = np.random.default_rng(9)
+    times = {e: [1, *(int(x) for x in draw.multinomial(1, [0.3, 0.3, 0.4]) @ [[0], [1], [3]]), 2] for e in range(40)}
+    table = spark.createDataFrame([(e, t) for e, t in times.items() if e != 3], "entity long, times array<int>")
+    rows_df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.replicate, r.policy, r.measure): r for r in nested.nested_bootstrap(rows_df, ["entity", "inserted"], FEATURES, POLICIES, MEASURES, table, 3, 4, strict=False).collect()}
+    for k in range(3):
+        of = {e: t[k] for e, t in times.items() if e != 3}
+        want = brute_force([r for r in rows if r[0] != 3], of)
+        for p, *_ in POLICIES:
+            for m in MEASURES:
+                firsts = [(of[e], v) for (p_, m_, e, t), v in want.items() if (p_, m_, t) == (p, m, 1)]
+                assert got[k, p, m].n == sum(w for w, _ in firsts)
+                assert got[k, p, m].value == pytest.approx(sum(w * v for w, v in firsts) / sum(w for w, _ in firsts), rel=1e-6)
+
+
+def test_fits_are_recorded(spark):
+    episodes, d = nested.prepared(spark.createDataFrame(trajectories(), SCHEMA), ["entity", "inserted"], FEATURES, POLICIES, MEASURES, 4, 1.0, None, 1)
+    records = nested.fit(episodes, d).records
+    assert len(records) == 1 + 5 * (6 + 4) and all(r[-1] >= 0 for r in records)
+    rows = trajectories()
+    for component, period, sets, _, n, _ in records[1:]:
+        assert n == sum(r[3] == period and r[17] > 0 and str(r[2]) not in sets.split("-") for r in rows), component
+
+
 def test_policy_probabilities_and_impossible_actions(spark):
     row = spark.createDataFrame([(3, 0.2)], "day int, g double")
     pi = lambda **k: row.select(policy.probability(F.col("day"), F.col("g"), **k)).first()[0]
