@@ -18,7 +18,8 @@ in any one order, here that of corpus frequency (counted by hash bucket), and no
 nothing, comes before the exact check. Here too each shingle has one lead first. The links found so far are contracted into
 components; a shingle whose texts are in one component is settled, and under any other, those outside the largest component
 there meet the rest (``across``). So no link between different components is lost, and a group of near copies is never
-expanded into pairs.
+expanded into pairs. Texts that share a passage but aren't alike are told apart inside that join by 768 bits of their fingerprints
+(four standard deviations of slack; texts of fewer than 16 shingles go without), so they make no rows.
 
 Null texts are empty; texts without words have fingerprint zero, and all of them are near-duplicates of one another. Very long texts
 are read whole. Null and repeated ids are kept: rows are told apart
@@ -259,21 +260,33 @@ def with_roots(rows: DataFrame, roots: DataFrame, uid: str, root: str) -> DataFr
     return rows.join(roots.select(F.col("node").alias(uid), F.col("root").alias(root)), uid, "left").withColumn(root, F.coalesce(root, uid))
 
 
-def across(many: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+ROUGH_WORDS, ROUGH_SLACK, ROUGH_LEAST = 12, 4, 16
+
+
+def may_be_close(similarity: float):
+    """Whether the first words of the fingerprints (sa, sb) leave room for the similarity; small sets, whose bits say less, always may."""
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, ROUGH_WORDS)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
+    return (F.least("na", "nb") < ROUGH_LEAST) | (apart <= bound(64 * ROUGH_WORDS, similarity, ROUGH_SLACK))
+
+
+def across(many: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of texts in different components that share a key and may have the similarity.
 
-    One of each such pair is outside the key's largest component, so only those outside meet the others: rows follow a group's size,
-    not its square. Texts meet by bands of size, as sizes can't differ by more than the similarity.
+    One of each such pair is outside the key's largest component, so only those outside meet the others. Texts meet by bands of size, as sizes
+    can't differ by more than the similarity. Positions, sizes and fingerprints are compared inside the join, so a passage that many unlike texts share gives no pairs.
     """
     ranked = with_roots(many.select("key", "uid", "n", "pos"), roots, "uid", "root")
     sizes = ranked.groupBy("key", "root").count()
     largest = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("roots > 1").select("key", "largest")
-    mixed = cut(ranked.join(largest, "key").withColumn("band", F.floor(F.log("n") / -log(similarity) + 1e-9)))
-    here = side(mixed, "a", F.col("root").alias("ra"), "largest", "band")
+    sketch = nodes.select("uid", F.slice("fp", 1, ROUGH_WORDS).alias("s"))
+    mixed = cut(ranked.join(largest, "key").join(sketch, "uid").withColumn("band", F.floor(F.log("n") / -log(similarity) + 1e-9)))
+    here = side(mixed, "a", F.col("root").alias("ra"), "largest", "band", F.col("s").alias("sa"))
     few = mixed.where("root <> largest").select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"))
-    outside = side(few, "b", F.col("root").alias("rb"), F.col("near").alias("band"))
+    outside = side(few, "b", F.col("root").alias("rb"), F.col("near").alias("band"), F.col("s").alias("sb"))
     once = (F.col("ra") == F.col("largest")) | (F.col("a") < F.col("b"))
-    return here.join(outside, ["key", "band"]).where((F.col("ra") != F.col("rb")) & once & may_reach(similarity)).select("a", "b").distinct()
+    same = ["key", "band"]
+    met = here.alias("x").join(outside.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in same] + [F.col("ra") != F.col("rb"), once, may_reach(similarity), may_be_close(similarity)])
+    return met.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -307,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     others = with_roots(with_roots(candidates.join(likeliest, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     links = links.union(alike(others, sets, similarity))
     roots = cut(components(links))
-    rest = cut(across(many, roots, similarity))
+    rest = cut(across(many, roots, nodes, similarity))
     links = links.union(alike(rest, written(shingle_sets(texts_of, nodes_in(rest), words), "shingles"), similarity))
     remove(docs.sparkSession, texts_path)
     final = components(links)
