@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.checkpoints import cut
 from chronopanel.functions.stats import uniform
+from chronopanel.operators import ranges
 
 
 def entity_numbers(entities: DataFrame) -> DataFrame:
-    """entity, number from 0 in order of the id. Ids are ranked inside ranges of equal size that a range partitioning gives, not in one task; the ranges are cut, as two branches read them."""
-    dealt = cut(entities.select("entity").distinct().repartitionByRange("entity").withColumn("part", F.spark_partition_id()))
-    sizes = dealt.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("entity")) - 1)
-    return inside.join(F.broadcast(sizes), "part").select("entity", (F.col("n") + F.col("before")).cast("bigint").alias("number"))  # a row for each partition
+    """entity, number from 0 in order of the id."""
+    return ranges.dense_numbers(entities, ["entity"], "number")
 
 
 def draws(n: int, replicates: int, seed: int, spark) -> DataFrame:

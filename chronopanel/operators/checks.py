@@ -83,11 +83,12 @@ def source_panel(rows: DataFrame, flags: list[str], states: tuple[str, ...] = ("
 
 
 def decision_faults(panel: DataFrame, episode: list[str], horizon: int | None = None) -> DataFrame:
-    """Counts that must be zero before decisions are linked: broken grids, decisions after an exit, several or no last decisions, rows beyond a horizon."""
+    """Counts that must be zero before decisions are linked: broken grids, decisions after an exit, rows beyond a horizon; and episodes with several or no last decisions."""
     w = Window.partitionBy(*episode).orderBy("episode_index")
-    seen = panel.select("*", F.lag("episode_index").over(w).alias("_before"), F.lag("is_decision").over(w).alias("_was"), F.lag("period_end").over(w).alias("_end"))
+    last = F.col("is_decision") & ~F.coalesce(F.lead("is_decision").over(w), F.lit(False))
+    seen = panel.select("*", F.lag("episode_index").over(w).alias("_before"), F.lag("is_decision").over(w).alias("_was"), F.lag("period_end").over(w).alias("_end"), last.alias("_last"))
     beyond = F.col("is_decision") & (F.col("episode_index") >= horizon) if horizon else F.lit(False)
-    return violations(
+    grid = violations(
         seen,
         {
             "broken_index": F.col("episode_index") != F.coalesce(F.col("_before") + 1, F.lit(0)),
@@ -97,6 +98,8 @@ def decision_faults(panel: DataFrame, episode: list[str], horizon: int | None =
             "beyond_horizon": beyond,
         },
     )
+    ends = violations(seen.groupBy(*episode).agg(F.count_if("_last").alias("n")), {"no_last_decision": F.col("n") == 0, "several_last_decisions": F.col("n") > 1})
+    return grid.crossJoin(F.broadcast(ends))  # one row each
 
 
 def parsed_boolean(x: Column) -> Column:
@@ -122,7 +125,15 @@ def blanked(df: DataFrame, *patterns: str) -> DataFrame:
 
 
 def content_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row, ``fingerprint``: the same for the same rows in any order and partitioning, other for other contents; ``n``: the rows."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    part = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string")), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """One row, ``fingerprint``: the same for the same rows in any order and partitioning, other for other contents; ``n``: the rows.
+
+    Fields are told apart by their lengths and nulls by a mark of their own, so different rows have different encodings. Hashes of rows are added in
+    four parts of 60 bits; names and types of the columns count too.
+    """
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.base64(c) if kinds[c] == "binary" else F.to_json(F.struct(c)) if kinds[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    row = F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("n")) for c in columns])
+    digest = F.sha2(row, 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    head = F.lit(",".join(f"{len(c)}:{c}:{kinds[c]}" for c in columns))
+    return rows.agg(F.sha2(F.concat_ws(";", head, F.count("*").cast("string"), *parts), 256).alias("fingerprint"), F.count("*").alias("n"))

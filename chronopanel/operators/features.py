@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.time import DAY, floor_div
+from chronopanel.operators import ranges
 
 STATS = ("count", "mean", "std", "last", "slope_per_hour")
 
@@ -21,12 +22,13 @@ def fit_rules(values: DataFrame, item: str = "item", value: str = "value", least
     first = values.where(v.isNotNull()).groupBy(item).agg(
         F.count("*").alias("n_values"),
         F.avg((v == 0).cast("double")).alias("zero_fraction"),
-        F.percentile(F.when(v != 0, v), 0.05).alias("p5_nonzero"),
     )
+    low = ranges.quantiles(values.where(v != 0), [item], value, [0.05])
+    first = first.join(low, item, "left").withColumn("p5_nonzero", F.col("q")[0]).drop("q")
     zero = F.coalesce((F.col("n_values") >= least) & (F.col("p5_nonzero") > 0) & (F.col("zero_fraction") > 0) & (F.col("zero_fraction") <= most_zeros), F.lit(False))
     marked = first.withColumn("zero_to_missing", zero)
     used = values.where(v.isNotNull()).join(marked.select(item, "zero_to_missing"), item).where(~(F.col("zero_to_missing") & (v == 0)))
-    cuts = used.groupBy(item).agg(F.count("*").alias("n_used"), F.percentile(value, F.array(*map(F.lit, (0.01, 0.25, 0.75, 0.99)))).alias("q"))
+    cuts = used.groupBy(item).agg(F.count("*").alias("n_used")).join(ranges.quantiles(used, [item], value, [0.01, 0.25, 0.75, 0.99]), item)
     joined = marked.join(cuts, item, "left")
     p1, q1, q3, p99 = (F.col("q")[k] for k in range(4))
     width = F.greatest(F.coalesce(F.greatest(q3 - q1, p99 - p1), F.lit(0.0)), F.lit(1e-8))

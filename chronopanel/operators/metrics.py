@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from chronopanel.functions.stats import upper_normal_tail
+from chronopanel.operators import ranges
 from chronopanel.shipping import ship
 
 
 def binary_metrics(scored: DataFrame, group: str = "group", y: str = "y", p: str = "p") -> DataFrame:
     """group, n, events, auc, average_precision, brier.
 
-    Scores are counted at each distinct value first; running sums over those values give both areas, so ties are exact and a group's
-    window holds its distinct scores, not its rows. Null where a group has one class.
+    Scores are counted at each distinct value first; running sums over ranges of those values give both areas, so ties are exact and no task
+    holds a group's scores. Null where a group has one class.
     """
-    at = scored.groupBy(group, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    down = Window.partitionBy(group).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = at.select(group, "n", "pos", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("taken"))
+    at = ranges.with_before(scored.groupBy(group, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos")), [group], [p], ["n", "pos"])
+    steps = at.select(group, "n", "pos", (F.col("all_pos") - F.col("before_pos")).alias("tp"), (F.col("all_n") - F.col("before_n")).alias("taken"))
     pairs = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2))
     areas = steps.groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("events"), pairs.alias("pairs"), F.sum(F.col("pos") * F.col("tp") / F.col("taken")).alias("precision"))
     brier = scored.groupBy(group).agg(F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
@@ -31,8 +31,7 @@ def binary_metrics(scored: DataFrame, group: str = "group", y: str = "y", p: str
 
 def quantile_bins(scored: DataFrame, bins: int, group: str = "group", p: str = "p") -> DataFrame:
     """``scored`` with ``bin`` from 0: bounds at quantiles, equal bounds dropped, values on a bound in the lower bin, the lowest bin closed below."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = scored.groupBy(group).agg(F.array_distinct(F.percentile(p, shares)).alias("edges"))
+    edges = ranges.quantiles(scored, [group], p, [k / bins for k in range(bins + 1)], "edges").withColumn("edges", F.array_distinct("edges"))
     below = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return scored.join(edges, group).withColumn("bin", F.greatest(below - 1, F.lit(0)).cast("bigint")).drop("edges")
 
@@ -45,9 +44,8 @@ def calibration(scored: DataFrame, bins: int = 10, group: str = "group", y: str
 def rank_tests(long: DataFrame, item: str = "item", value: str = "value", y: str = "y") -> DataFrame:
     """For each item: Mann-Whitney's U of y=1 against y=0, its two-sided p by the normal approximation with ties and continuity, Cliff's delta."""
     known = long.where(F.col(value).isNotNull())
-    at = known.groupBy(item, value).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    up = Window.partitionBy(item).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = at.withColumn("rank", F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") + 1) / 2)
+    at = ranges.with_before(ranges.counted(known, [item], value, F.sum(y).alias("pos")), [item], [value], ["n"])
+    ranks = at.withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     sums = ranks.groupBy(item).agg(F.sum("n").alias("n"), F.sum("pos").cast("double").alias("n1"), F.sum(F.col("pos") * F.col("rank")).alias("r1"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     n0 = F.col("n") - F.col("n1")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -84,19 +82,30 @@ def fisher_exact(n11: int, n10: int, n01: int, n00: int) -> float:
     return min(1.0, sum(exp(x) for x in log_p if x <= own + 1e-7))
 
 
-def fisher_p(two: DataFrame) -> DataFrame:
-    """The rows of ``two_by_two`` with ``fisher_p`` and ``chi_squared_p``. One row for each tested group, so in Arrow batches of counts."""
+#: Smallest expected count from which the chi-squared p is taken for the exact one.
+EXACT_BELOW = 1_000
+
+
+def fisher_p(two: DataFrame, exact_below: float = EXACT_BELOW) -> DataFrame:
+    """The rows of ``two_by_two`` with ``fisher_p`` and ``chi_squared_p``. One row for each tested group, so in Arrow batches of counts.
+
+    The exact p sums over a margin; where all expected counts reach ``exact_below`` it would be long and equal to the chi-squared p for any use, which stands in."""
     ship(two.sparkSession)
 
     @pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([fisher_exact(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
+    def exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, tail: pd.Series) -> pd.Series:
+        def one(n11: int, n10: int, n01: int, n00: int, p: float) -> float:
+            least = min(n11 + n10, n01 + n00) * min(n11 + n01, n10 + n00) / max(1, n11 + n10 + n01 + n00)
+            return fisher_exact(n11, n10, n01, n00) if least < exact_below else p
+
+        return pd.Series([one(*map(int, t[:4]), t[4]) for t in zip(a, b, c, d, tail, strict=True)])
 
     @pandas_udf("double")
     def tail(x: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(v) else chi_squared_p(v) for v in x], dtype="float64")
 
-    return two.withColumn("fisher_p", exact("n11", "n10", "n01", "n00")).withColumn("chi_squared_p", tail("chi_squared"))
+    known = two.withColumn("chi_squared_p", tail("chi_squared"))
+    return known.select(*two.columns, exact("n11", "n10", "n01", "n00", "chi_squared_p").alias("fisher_p"), "chi_squared_p")
 
 
 def chi_squared_p(x: float) -> float:
@@ -107,8 +116,9 @@ def chi_squared_p(x: float) -> float:
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, sd, least, q1, median, q3, most of known values."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*").where("x IS NOT NULL")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most")).select("column", "n", "mean", "sd", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most")
+    sums = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("most"))
+    q = ranges.quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
+    return sums.join(q, "column").select("column", "n", "mean", "sd", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "most")
 
 
 def constant_columns(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.checkpoints import cut
+from chronopanel.operators import checks, learners
 from chronopanel.shipping import ship
 
 #: name, day of removal, chance of removal (neither: as observed), clipping bound of the behaviour probability
@@ -329,6 +331,34 @@ def fit(episodes: DataFrame, d: Design, strict: bool = True, stretch: int = 16)
     return Fit(d, g, outer(episodes, d, g, aux, record), records)
 
 
+def stored(f: Fit, spark) -> DataFrame:
+    """A fit as a table: its numbers by place, and its records."""
+    rows = [(part, i, float(x), None, None, None, None) for part, of in (("g", f.g), ("models", f.models), ("center", f.design.center)) for i, x in enumerate(of.ravel())]
+    rows += [(f"record {component}", i, seconds, period, sets, replicate, n) for i, (component, period, sets, replicate, n, seconds) in enumerate(f.records)]
+    return spark.createDataFrame(rows, "part string, place bigint, x double, period int, sets string, replicate int, n double")
+
+
+def restored(table: DataFrame, d: Design) -> Fit:
+    g, models = np.zeros((d.replicates, len(d.sets), d.cells)), np.zeros((d.replicates, d.n_folds, d.stages, *d.shape))
+    center = np.zeros(len(d.center))
+    of, records = {"g": g.reshape(-1), "models": models.reshape(-1), "center": center}, []
+    for r in table.collect():  # models, not rows
+        if r["part"] in of:
+            of[r["part"]][r["place"]] = r["x"]
+        else:
+            records.append((r["part"].removeprefix("record "), r["period"], r["sets"], r["replicate"], r["n"], r["x"]))
+    return Fit(replace(d, center=center), g, models, sorted(records, key=repr))
+
+
+def cached_fit(rows: DataFrame, episodes: DataFrame, d: Design, features: list[str], folder: str, strict: bool = True) -> Fit:
+    """``fit``, read back from ``folder`` if the same rows were fitted there before under the same settings, else fitted and kept."""
+    used = ["entity", "fold", "decision_period", "day", "cell", "action_removed", *features, *[f"{x}_{m}" for m in d.measures for x in ("reward", "risk")]]
+    contents = checks.content_fingerprint(rows, used).first()["fingerprint"]
+    settings = repr((d.policies, d.measures, d.n_folds, d.replicates, d.penalty, features, strict))
+    key = sha256(f"{contents};{settings}".encode()).hexdigest()
+    return restored(learners.cached(rows.sparkSession, folder, key, lambda: stored(fit(episodes, d, strict), rows.sparkSession)), d)
+
+
 DETAIL = ("q_keep", "q_remove", "pi", "g", "ratio", "next_score", "score")
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronopanel.checkpoints import cut
+from chronopanel.checkpoints import cut, shared_dir
 from chronopanel.functions.stats import rounded
-from chronopanel.operators import bootstrap, checks, folds, metrics, nested, panel, policy, rates
+from chronopanel.operators import bootstrap, checks, features, folds, metrics, nested, panel, policy, rates, trees
 from chronopanel.plans import oracle
-from chronopanel.plans.longitudinal import DAYS, EPISODE, base, decision_rows, scored_decisions
+from chronopanel.plans.longitudinal import DAYS, EPISODE, WIDE, base, cleaned, decision_rows, scored_decisions
 from chronopanel.sources import tables
 
 QUERIES: dict = {}
@@ -173,6 +173,40 @@ def nested_decisions(spark, folder):
 REFIT_POLICIES, REFIT_DRAWS, REFIT_SEED = POLICIES[1:2] + POLICIES[-1:], 10, 41
 
 
+def cached_fit(spark: SparkSession, folder: str) -> tuple[DataFrame, nested.Fit]:
+    """Episodes and the models of two policies, kept by contents and settings in the shared folder: a second run over the same rows fits nothing."""
+    rows = cut(trajectory_rows(spark, folder, TWO))
+    episodes, d = nested.prepared(rows, EPISODE, TREND, REFIT_POLICIES, TWO, 5, 1.0, None, 1)
+    return episodes, nested.cached_fit(rows, episodes, d, TREND, f"{shared_dir(spark)}/nested-fits")
+
+
+@query(f"WITH RECURSIVE {nested_sql(REFIT_POLICIES, TWO)} SELECT policy, measure, count(*) AS n_episodes, round(avg(score), 6) AS value FROM done WHERE t = 1 GROUP BY policy, measure")
+def cached_policy_values(spark, folder):
+    """Values by models that were saved and read back."""
+    episodes, found = cached_fit(spark, folder)
+    scores = nested.scores(episodes, EPISODE, found).where("decision_period = 1")
+    return rounded(scores.groupBy("policy", "measure").agg(F.count("*").alias("n_episodes"), F.avg("score").alias("value")))
+
+
+@query(
+    f"WITH RECURSIVE {nested_sql(REFIT_POLICIES, TWO)}, seen AS (SELECT t, fold, count(*) AS n FROM nr WHERE policy = 'current_practice' AND measure = 'outcome' AND risk > 0 GROUP BY ALL), st AS (SELECT unnest(range(1, (SELECT max(t) FROM nr) + 1)) AS period) "
+    "SELECT CASE WHEN j = k THEN 'continuation' ELSE 'auxiliary_continuation' END AS component, CAST(period AS INT) AS period, CASE WHEN j = k THEN j::VARCHAR ELSE j || '-' || k END AS left_out, coalesce(sum(n) FILTER (WHERE fold <> j AND fold <> k), 0)::BIGINT AS n_at_risk, true AS timed FROM fsets CROSS JOIN st LEFT JOIN seen ON t = period GROUP BY j, k, period"
+)
+def fit_records(spark, folder):
+    """What was fitted: component, period, folds left out, training rows at risk of the outcome, and whether its time was taken."""
+    _, found = cached_fit(spark, folder)
+    rows = [(c, t, sets, int(n), seconds >= 0) for c, t, sets, _, n, seconds in found.records if c != "behaviour"]
+    return spark.createDataFrame(rows, "component string, period int, left_out string, n_at_risk bigint, timed boolean")
+
+
+@query()
+def fit_seconds(spark, folder):
+    """Fits and seconds by component, from the records of the fits."""
+    _, found = cached_fit(spark, folder)
+    rows = spark.createDataFrame([(r[0], r[-1]) for r in found.records], "component string, seconds double")
+    return rows.groupBy("component").agg(F.count("*").alias("n_fits"), F.sum("seconds").alias("seconds"))
+
+
 def _drawn_sql(n: int, seed: int) -> str:
     return (
         "wn AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS number, count(*) OVER () AS n_all FROM (SELECT DISTINCT entity FROM decf)), "
@@ -406,6 +440,32 @@ def nested_stacking(spark, folder):
     return found.select("fold", F.round("weight", 5).alias("weight"), "n", *[F.round(c, 6).alias(c) for c in found.columns if c.startswith("brier")])
 
 
+# Tree ensembles
+
+TREE_FEATURES = ["episode_day", "interval_hours", *[f"{i}__{st}" for i in ("click", "view") for st in ("count", "mean", "last")]]
+
+
+def tree_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Decision rows with folds and look-back features as they are: missing where nothing was measured."""
+    rows = decision_rows(spark, folder)
+    wide = features.wide(rows, features.lookback(cleaned(spark, folder), rows), WIDE)
+    return cut(wide.select(*EPISODE, "episode_index", "fold", "removed_in", "reward_exposure_days", *[F.col(c).cast("double").alias(c) for c in TREE_FEATURES]))
+
+
+@query()
+def boosted_propensity(spark, folder):
+    """Out-of-fold removal probabilities by boosted trees that send missing values where they gain most."""
+    rows = tree_rows(spark, folder)
+    return rounded(trees.boosted(rows, TREE_FEATURES, "removed_in", trees=12).score(rows, "p").select(*EPISODE, "episode_index", "fold", "removed_in", "p"))
+
+
+@query()
+def extra_trees_days(spark, folder):
+    """Out-of-fold exposure days of a decision by extremely randomised trees."""
+    rows = tree_rows(spark, folder)
+    return rounded(trees.extra(rows, TREE_FEATURES, "reward_exposure_days", trees=10).score(rows, "predicted").select(*EPISODE, "episode_index", "fold", "reward_exposure_days", "predicted"))
+
+
 # Tables about fits
 
 _DECF = SCORES[: SCORES.index("prop_own")].rstrip().rstrip(",")
@@ -443,15 +503,15 @@ def input_faults(spark, folder):
     return checks.violations(rows, {"bad_probability": checks.bad_probability("p"), "bad_flag": checks.bad_flag("f"), "unknown_state": ~F.col("state").isin("in", "out")})
 
 
-_FAULTY = "fp AS (SELECT entity, inserted, episode_index + CASE WHEN entity % 7 = 0 AND episode_index > 0 THEN 1 ELSE 0 END AS episode_index, period_start + CASE WHEN entity % 11 = 0 AND episode_index = 1 THEN 1 ELSE 0 END AS period_start, period_end, is_decision OR (entity % 5 = 0 AND final_row) AS is_decision FROM (SELECT *, period_end = episode_end AS final_row FROM panel)), fw AS (SELECT *, lag(episode_index) OVER w AS b, lag(is_decision) OVER w AS was, lag(period_end) OVER w AS e FROM fp WINDOW w AS (PARTITION BY entity, inserted ORDER BY episode_index))"
+_FAULTY = "fp AS (SELECT entity, inserted, episode_index + CASE WHEN entity % 7 = 0 AND episode_index > 0 THEN 1 ELSE 0 END AS episode_index, period_start + CASE WHEN entity % 11 = 0 AND episode_index = 1 THEN 1 ELSE 0 END AS period_start, period_end, (is_decision OR (entity % 5 = 0 AND final_row)) AND entity % 13 <> 0 AS is_decision FROM (SELECT *, period_end = episode_end AS final_row FROM panel)), fw AS (SELECT *, lag(episode_index) OVER w AS b, lag(is_decision) OVER w AS was, lag(period_end) OVER w AS e, is_decision AND NOT coalesce(lead(is_decision) OVER w, false) AS last FROM fp WINDOW w AS (PARTITION BY entity, inserted ORDER BY episode_index))"
 
 
-@query(f"WITH {oracle.PANEL}, {_FAULTY} SELECT count(*) FILTER (WHERE episode_index <> coalesce(b + 1, 0)) AS broken_index, count(*) FILTER (WHERE e <> period_start) AS gaps, count(*) FILTER (WHERE is_decision AND NOT was) AS decision_after_exit, count(*) FILTER (WHERE b IS NULL AND NOT is_decision) AS starts_outside, count(*) FILTER (WHERE is_decision AND episode_index >= 10) AS beyond_horizon FROM fw")
+@query(f"WITH {oracle.PANEL}, {_FAULTY} SELECT count(*) FILTER (WHERE episode_index <> coalesce(b + 1, 0)) AS broken_index, count(*) FILTER (WHERE e <> period_start) AS gaps, count(*) FILTER (WHERE is_decision AND NOT was) AS decision_after_exit, count(*) FILTER (WHERE b IS NULL AND NOT is_decision) AS starts_outside, count(*) FILTER (WHERE is_decision AND episode_index >= 10) AS beyond_horizon, (SELECT count(*) FROM (SELECT entity FROM fw GROUP BY entity, inserted HAVING count(*) FILTER (WHERE last) = 0)) AS no_last_decision, (SELECT count(*) FROM (SELECT entity FROM fw GROUP BY entity, inserted HAVING count(*) FILTER (WHERE last) > 1)) AS several_last_decisions FROM fw")
 def decision_faults(spark, folder):
-    """Planted: skipped periods, gaps, decisions after the exit."""
+    """Planted: skipped periods, gaps, decisions after the exit, episodes without a decision."""
     rows = base(spark, folder)
     first = F.col("episode_index")
-    broken = rows.select(*EPISODE, (first + F.when((F.col("entity") % 7 == 0) & (first > 0), 1).otherwise(0)).alias("episode_index"), (F.col("period_start") + F.when((F.col("entity") % 11 == 0) & (first == 1), 1).otherwise(0)).alias("period_start"), "period_end", (F.col("is_decision") | (F.col("entity") % 5 == 0) & (F.col("period_end") == F.col("episode_end"))).alias("is_decision"))
+    broken = rows.select(*EPISODE, (first + F.when((F.col("entity") % 7 == 0) & (first > 0), 1).otherwise(0)).alias("episode_index"), (F.col("period_start") + F.when((F.col("entity") % 11 == 0) & (first == 1), 1).otherwise(0)).alias("period_start"), "period_end", ((F.col("is_decision") | (F.col("entity") % 5 == 0) & (F.col("period_end") == F.col("episode_end"))) & (F.col("entity") % 13 != 0)).alias("is_decision"))
     return checks.decision_faults(broken, EPISODE, horizon=10)
 
 
@@ -459,17 +519,22 @@ _CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 _LOG_P = f"({_CHOOSE.format('rw', 'k')}) + ({_CHOOSE.format('(n - rw)', '(cl - k)')}) - ({_CHOOSE.format('n', 'cl')})"
 
 
+#: Twice the upper tail of a standard normal, by Simpson's rule on [0, z].
+_TAIL = "greatest(0, 1 - 2 * z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(z * i / 2000) * (z * i / 2000) / 2))))"
+
+
 @query(
-    "WITH c AS (SELECT l_returnflag, count(*) FILTER (WHERE a AND b) AS n11, count(*) FILTER (WHERE a AND NOT b) AS n10, count(*) FILTER (WHERE NOT a AND b) AS n01, count(*) FILTER (WHERE NOT a AND NOT b) AS n00 FROM (SELECT l_returnflag, l_quantity > 45 AS a, l_discount > 0.08 AS b FROM lineitem WHERE l_orderkey % 40 = 1) GROUP BY 1), "
+    "WITH c AS (SELECT l_suppkey, count(*) FILTER (WHERE a AND b) AS n11, count(*) FILTER (WHERE a AND NOT b) AS n10, count(*) FILTER (WHERE NOT a AND b) AS n01, count(*) FILTER (WHERE NOT a AND NOT b) AS n00 FROM (SELECT l_suppkey, l_quantity > 45 AS a, l_discount > 0.08 AS b FROM lineitem) GROUP BY 1), "
     "m AS (SELECT *, n11 + n10 AS rw, n11 + n01 AS cl, n11 + n10 + n01 + n00 AS n FROM c), "
-    f"lp AS (SELECT l_returnflag, n11, k, {_LOG_P} AS lp FROM (SELECT *, unnest(range(greatest(0, rw + cl - n), least(rw, cl) + 1)) AS k FROM m)), "
-    "fp AS (SELECT l_returnflag, least(1, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)) AS p FROM (SELECT *, max(CASE WHEN k = n11 THEN lp END) OVER (PARTITION BY l_returnflag) AS own FROM lp) GROUP BY 1) "
-    "SELECT m.l_returnflag, n11, n10, n01, n00, round(n11 * n00 / nullif(n10 * n01, 0)::DOUBLE, 6) AS odds_ratio, round(n * pow(n11 * n00 - n10 * n01, 2) / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00))::DOUBLE, 6) AS chi_squared, round(p, 6) AS fisher_p FROM m JOIN fp USING (l_returnflag)"
+    f"lp AS (SELECT l_suppkey, n11, k, {_LOG_P} AS lp FROM (SELECT *, unnest(range(greatest(0, rw + cl - n), least(rw, cl) + 1)) AS k FROM m)), "
+    "fp AS (SELECT l_suppkey, least(1, sum(exp(lp)) FILTER (WHERE lp <= own + 1e-7)) AS p FROM (SELECT *, max(CASE WHEN k = n11 THEN lp END) OVER (PARTITION BY l_suppkey) AS own FROM lp) GROUP BY 1), "
+    "x AS (SELECT m.*, p, n * pow(n11 * n00 - n10 * n01, 2) / nullif((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00), 0)::DOUBLE AS chi FROM m JOIN fp USING (l_suppkey)) "
+    f"SELECT l_suppkey, n11, n10, n01, n00, round(n11 * n00 / nullif(n10 * n01, 0)::DOUBLE, 6) AS odds_ratio, round(chi, 6) AS chi_squared, round(p, 6) AS fisher_p, round({_TAIL}, 6) AS chi_squared_p FROM (SELECT *, sqrt(chi) AS z FROM x)"
 )
 def fisher_tests(spark, folder):
-    """Two-by-two tables by group with the exact two-sided p; a sample of orders keeps expected counts small, where exact tests are meant for."""
-    rows = tables.table(spark, folder, "lineitem").where("l_orderkey % 40 = 1").select("l_returnflag", (F.col("l_quantity") > 45).cast("int").alias("a"), (F.col("l_discount") > 0.08).cast("int").alias("b"))
-    return rounded(metrics.fisher_p(metrics.two_by_two(rows, "l_returnflag", "a", "b")).drop("risk_difference", "chi_squared_p"))
+    """Two-by-two tables of all rows by supplier with the exact two-sided p and the chi-squared one."""
+    rows = tables.table(spark, folder, "lineitem").select("l_suppkey", (F.col("l_quantity") > 45).cast("int").alias("a"), (F.col("l_discount") > 0.08).cast("int").alias("b"))
+    return rounded(metrics.fisher_p(metrics.two_by_two(rows, "l_suppkey", "a", "b")).drop("risk_difference"))
 
 
 # Columns
@@ -492,7 +557,12 @@ def parsed_and_blanked(spark, folder):
     return rows.select(checks.parsed_boolean(text).alias("b"), "o_totalprice").groupBy("b").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").isNull().cast("int")).alias("n_blank"))
 
 
-@query("SELECT sha256(count(*)::VARCHAR || ':' || sum(CAST('0x' || substr(sha256(p_partkey::VARCHAR || '|' || p_brand || '|' || p_size::VARCHAR), 1, 12) AS BIGINT))::VARCHAR) AS fingerprint, count(*) AS n FROM part")
+def _sum60(i: int) -> str:
+    return f"sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS BIGINT))::VARCHAR"
+
+
+@query("SELECT sha256('9:p_partkey:bigint,7:p_brand:string,6:p_size:int;' || count(*) || ';' || " + " || ';' || ".join(map(_sum60, range(4))) + ") AS fingerprint, count(*) AS n FROM (SELECT sha256(length(p_partkey::VARCHAR) || ':' || p_partkey || length(p_brand) || ':' || p_brand || length(p_size::VARCHAR) || ':' || p_size) AS h FROM part)")
 def content_fingerprint(spark, folder):
     """The fingerprint of a table's contents, for cache keys."""
-    return checks.content_fingerprint(tables.table(spark, folder, "part"), ["p_partkey", "p_brand", "p_size"])
+    rows = tables.table(spark, folder, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_brand", F.col("p_size").cast("int").alias("p_size"))
+    return checks.content_fingerprint(rows, ["p_partkey", "p_brand", "p_size"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.functions.stats import average_rank, rounded
+from chronopanel.functions.stats import rounded
 from chronopanel.functions.text import described, grouped
 from chronopanel.functions.time import micros
-from chronopanel.operators import bootstrap, features, metrics
+from chronopanel.operators import bootstrap, features, metrics, ranges
 from chronopanel.sources import sinks, tables
 
 QUERIES: dict = {}
@@ -108,8 +108,10 @@ def pivot_counts(spark, folder):
 
 @query("SELECT c_nationkey, count(*) AS n, round(quantile_cont(c_acctbal, 0.01), 6) AS p01, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.99), 6) AS p99, round(stddev_samp(c_acctbal), 6) AS sd FROM customer GROUP BY c_nationkey")
 def exact_quantiles(spark, folder):
-    q = lambda p: F.round(F.percentile("c_acctbal", p), 6)
-    return t(spark, folder, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), q(0.01).alias("p01"), q(0.5).alias("p50"), q(0.99).alias("p99"), F.round(F.stddev_samp("c_acctbal"), 6).alias("sd"))
+    rows = t(spark, folder, "customer").select("c_nationkey", "c_acctbal")
+    sums = rows.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.stddev_samp("c_acctbal"), 6).alias("sd"))
+    found = sums.join(ranges.quantiles(rows, ["c_nationkey"], "c_acctbal", [0.01, 0.5, 0.99]), "c_nationkey", "left")
+    return found.select("c_nationkey", "n", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p01", "p50", "p99"))], "sd")
 
 
 @query("SELECT l_linenumber, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT (l_suppkey, l_partkey)) AS pairs FROM lineitem GROUP BY l_linenumber")
@@ -126,7 +128,21 @@ def ordered_windows(spark, folder):
 
 @query("SELECT c_nationkey, c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000)) + (count(*) OVER (PARTITION BY c_nationkey, floor(c_acctbal / 1000)) - 1) / 2.0 AS average_rank FROM customer")
 def average_ranks(spark, folder):
-    return t(spark, folder, "customer").withColumn("k", F.floor(F.col("c_acctbal") / 1000)).select("c_nationkey", "c_custkey", average_rank("k", "c_nationkey").alias("average_rank"))
+    rows = t(spark, folder, "customer").select("c_nationkey", "c_custkey", F.floor(F.col("c_acctbal") / 1000).alias("k"))
+    return ranges.average_ranks(rows, ["c_nationkey"], "k", "average_rank").drop("k")
+
+
+@query("SELECT o_custkey, o_orderstatus, o_orderpriority, dense_rank() OVER (ORDER BY o_custkey, o_orderstatus, o_orderpriority) - 1 AS number FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders)")
+def composite_numbers(spark, folder):
+    """A number for each distinct key of three columns, in their order."""
+    return ranges.dense_numbers(t(spark, folder, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"], "number")
+
+
+@query("SELECT l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber) - 1 AS row_id FROM lineitem")
+def row_ids(spark, folder):
+    """A row's number in the order of part, supplier and ship date over the whole table; ties by the rest of the row."""
+    rows = t(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber")
+    return ranges.row_numbers(rows, ["l_partkey", "l_suppkey", "l_shipdate"], "row_id")
 
 
 @query("SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS n, round(avg(epoch_us(o_orderdate) % 86400000000 / 3600000000.0), 6) AS mean_hour FROM orders GROUP BY 1, 2")
