@@ -3,11 +3,13 @@
 The base patterns report a keyword assignment, an access key id or a run of hex digits as they stand. On top of
 them, candidates that could hold a key are decoded (PEM bodies, base64, base64url, hex) and parsed before they are reported:
 
-* ``jwt``: three dot-separated parts whose header is a JSON object with a string ``alg`` and whose payload is a JSON object;
+* ``jwt``: three dot-separated parts whose header is a JSON object with a string ``alg`` and whose payload is a JSON object; the header may be any
+  part of a dotted name, or the end of one from ``eyJ`` on;
 * ``pem``: a private key block whose body decodes to one of the key encodings below;
 * ``key``: base64 or hex that decodes to a DER SEQUENCE whose nested lengths add up exactly and that starts with a
   version INTEGER followed by what a PKCS#1, PKCS#8 or SEC1 private key has there, or to an OpenSSH private key whose
-  length-prefixed fields fit. A ``key`` inside a ``pem`` isn't reported again.
+  length-prefixed fields fit. A key may start anywhere in a run of such characters: wherever they spell the beginning of an encoding, as much is
+  decoded as its length says, over line ends and escaped line ends if the lines are alike. A ``key`` inside a ``pem`` isn't reported again.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are scanned one by one, whole however long, with
 no shuffle; repeated rows give repeated results. Spans that start at one place are listed by kind. Only doc_id and text are read, so
@@ -32,11 +34,15 @@ WORDS = ("passwd", "password", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{12,}+)\.([A-Za-z0-9_-]{3,}+)\.[A-Za-z0-9_-]*+")
+HEADER = re.compile(r"[A-Za-z0-9_-]{12,}+\.(?=[A-Za-z0-9_-]{3})")
+AFTER_HEADER = re.compile(r"([A-Za-z0-9_-]{3,}+)\.[A-Za-z0-9_-]*+")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}+={0,2}")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
-HEXES = re.compile(r"[0-9A-Fa-f]{64,}")
+#: How a SEQUENCE of any length form with a version INTEGER, or an OpenSSH key, begins in base64 and in hex.
+BASE64_START = re.compile(r"M(?=[A-H][AEIMQUYcgkosw048]CAQ|I[E-H][\w+/-]AgE[ABC]|I[I-L][\w+/-]{2}[AQgw]IB)|b(?=3BlbnNzaC1rZXktdjEA)", re.ASCII)
+HEX_START = re.compile(r"3(?=0(?:[0-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4})02010[0-2])|6(?=f70656e7373682d6b65792d763100)", re.ASCII | re.IGNORECASE)
+#: What may stand inside an encoding that is wrapped.
+WRAP = r"(?:[ \t]*(?:\r?\n|\\r|\\n)[ \t]*)"
+BASE64_PART, HEX_PART = (re.compile(rf"[{x}]+|{WRAP}+(?=[{x}])") for x in (r"A-Za-z0-9+/_-", "0-9A-Fa-f"))
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
@@ -130,28 +136,106 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def unwrapped(text: str, at: int, part: re.Pattern, most: int) -> tuple[str, list[int]]:
+    """Up to ``most`` characters of an encoding from ``at`` on, without what wraps it, and the place of each."""
+    kept, places = [], []
+    while len(places) < most and (m := part.match(text, at)):
+        at = m.end()
+        if not m[0][0].isspace() and m[0][0] != "\\":
+            here = m[0][: most - len(places)]
+            kept.append(here)
+            places.extend(range(m.start(), m.start() + len(here)))
+    return "".join(kept), places
+
+
+MOST_LINE = 128
+
+
+def in_lines(text: str, places: list[int], part: re.Pattern) -> bool:
+    """Whether an encoding that goes over line ends looks wrapped: lines of one length, none long, the last one ended by something else."""
+    breaks = [i for i, (a, b) in enumerate(zip(places, places[1:], strict=False), 1) if b != a + 1]
+    if not breaks:
+        return True
+    sizes = [b - a for a, b in zip([0, *breaks], [*breaks, len(places)], strict=True)]
+    after = text[places[-1] + 1 : places[-1] + 2]
+    return max(sizes) <= MOST_LINE and len(set(sizes[1:-1])) < 2 and max(sizes[0], *sizes[1:-1], 0) >= sizes[-1] and not (after and after != "\\" and part.match(after))
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH key at the start of ``data`` so far as its fields say; one more than there are if they go on."""
+    at = len(OPENSSH)
+    for step in range(3 + 2):
+        if step == 3:
+            at += 4
+            count = int.from_bytes(data[at - 4 : at])
+        for _ in range(1 if step != 3 else min(count, 64)):
+            if at + 4 > len(data):
+                return len(data) + 1
+            at += 4 + int.from_bytes(data[at : at + 4])
+    return at
+
+
+MOST_KEY = 1 << 16
+
+
+def key_at(text: str, at: int, part: re.Pattern, hexes: bool) -> int | None:
+    """The end of the key that starts at ``at``, or None if what stands there isn't one."""
+
+    def bytes_of(n: int) -> tuple[bytes, list[int]]:
+        found, places = unwrapped(text, at, part, 2 * n if hexes else -(-n * 4 // 3))
+        if hexes:
+            return bytes.fromhex(found[: len(found) // 2 * 2]), places
+        return decoded(found[: len(found) if len(found) % 4 != 1 else -1].replace("-", "+").replace("_", "/")) or b"", places
+
+    head, _ = bytes_of(24)
+    if head.startswith(OPENSSH):
+        size = openssh_size(bytes_of(MOST_KEY)[0])
+    elif len(head) > 4 and head[0] == SEQUENCE:
+        size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)])
+    else:
+        return None
+    if size > MOST_KEY:
+        return None
+    data, places = bytes_of(size)
+    if len(data) < size or not is_key(data[:size]) or not in_lines(text, places, part):
+        return None
+    end = places[-1] + 1
+    while not hexes and -size % 3 and end < len(text) and text[end] == "=" and end - places[-1] <= -size % 3:
+        end += 1
+    return end
+
+
+def token_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    done = 0
+    for m in HEADER.finditer(text):
+        rest = AFTER_HEADER.match(text, m.end())
+        if m.start() < done or not rest:
+            continue
+        name = m[0][:-1]
+        for at in [0, *(k.start() for k in re.finditer("eyJ", name) if k.start())]:
+            if len(name) - at >= 12 and holds_object(name[at:], "alg") and holds_object(rest[1]):
+                done = rest.end()
+                yield m.start() + at, done, "jwt"
+                break
+
+
+def key_spans(text: str, blocks: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    for start, part, hexes in ((BASE64_START, BASE64_PART, False), (HEX_START, HEX_PART, True)):
+        done = 0
+        for m in start.finditer(text):
+            if m.start() >= done and not any(a <= m.start() < b for a, b, _ in blocks) and (end := key_at(text, m.start(), part, hexes)):
+                done = end
+                yield m.start(), end, "key"
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    found, blocks = [], []
+    blocks = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             data = decoded(re.sub(r"\\[nr]|\s", "", m[2]))
             if data and is_key(data):
                 blocks.append((m.start(), m.end(), "pem"))
-    for m in JWT.finditer(text):
-        if holds_object(m[1], "alg") and holds_object(m[2]):
-            found.append((m.start(), m.end(), "jwt"))
-    inside = lambda m: any(a <= m.start() and m.end() <= b for a, b, _ in blocks)
-    for m in ENCODED.finditer(text):
-        if "-" not in m[0] and "_" not in m[0]:
-            parts = [(m.start(), m.end(), False)]
-        else:  # base64url, or base64 next to dashes
-            parts = [(m.start(), m.end(), True), *((m.start() + p.start(), m.start() + p.end(), False) for p in BASE64.finditer(m[0]))]
-        if not inside(m):
-            found += [(a, b, "key") for a, b, url in parts if (data := decoded(text[a:b], url)) and is_key(data)][:1]
-    for m in HEXES.finditer(text):
-        if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "key"))
-    return found + blocks
+    return [*token_spans(text), *key_spans(text, blocks), *blocks]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
