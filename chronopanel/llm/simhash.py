@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import batches, cut, kept, remove, rows_of, small, texts, written
+from chronopanel.llm.common import batches, cut, kept, remove, rows_of, shuffles_go, small, texts, written
 from chronopanel.llm.components import components
 
 SEED = 42
@@ -290,6 +290,12 @@ def across(many: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: floa
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``near_duplicate_rows``, found step by step: each step is kept in the shared folder, so its shuffles go at once."""
+    with shuffles_go(docs.sparkSession):
+        return near_duplicate_rows(docs, words, similarity)
+
+
+def near_duplicate_rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, text_key (SHA-256 of the text), component (any number), keep.
 
     ``keep`` marks one row of each component: that with the smallest doc_id, null ids last.
@@ -323,7 +329,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rest = cut(across(many, roots, nodes, similarity))
     links = links.union(alike(rest, written(shingle_sets(texts_of, nodes_in(rest), words), "shingles"), similarity))
     remove(docs.sparkSession, texts_path)
-    final = components(links)
+    final = cut(components(links))
 
     ids = found.where("part IS NULL").groupBy("text_key", "doc_id", "set_key").count().drop("count")
     rows = with_roots(ids.join(nodes.select("set_key", "uid"), "set_key"), final, "uid", "component")
