@@ -31,6 +31,12 @@ def effective_size(w: Column) -> Column:
     return F.coalesce(F.try_divide(F.pow(F.sum(w), F.lit(2)), F.sum(w * w)), F.lit(0.0))
 
 
+def positive_effective_size(w: Column) -> Column:
+    """Aggregate: the effective sample size of the weights that are positive and finite; null where there are none."""
+    good = F.when((w > 0) & (w < float("inf")), w)
+    return F.pow(F.sum(good), F.lit(2)) / F.sum(good * good)
+
+
 def smoothed(events: Column, n: Column) -> Column:
     """A rate with one event and one non-event added."""
     return (events + 1) / (n + 2)

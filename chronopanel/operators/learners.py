@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.stats import expit, logit
@@ -162,13 +162,22 @@ def predicted(beta: np.ndarray, features: list[str]):
     return F.lit(float(beta[0])) + sum((float(b) * F.col(c) for b, c in zip(beta[1:], features, strict=True)), F.lit(0.0))
 
 
-def importances(rows: DataFrame, features: list[str], label: str, fold: str = "fold") -> DataFrame:
-    """feature, mean_abs: the mean over folds of the absolute standardised coefficients of the logistic learner."""
+def importances(rows: DataFrame, features: list[str], label: str, fold: str = "fold", name: str = "logistic", top: int | None = None) -> DataFrame:
+    """learner, feature, importance, n_folds, place: the mean over folds, the largest ``top`` of them if given, ties by name.
+
+    Absolute standardised coefficients of the logistic learner, the share of impurity removed for trees. A feature that is constant in a fold's training part is not in that fold's
+    model, and the mean is over the others; a fold without a model adds nothing. The table has a row for each feature and fold.
+    """
     folds, out = [r[0] for r in rows.select(fold).distinct().collect()], []
     for k in sorted(folds):
-        model = learner("logistic", features, label).fit(rows.where(F.col(fold) != k)).stages[-1]
-        out += [(f, abs(float(c))) for f, c in zip(features, model.coefficients, strict=True)]
-    return rows.sparkSession.createDataFrame(out, "feature string, x double").groupBy("feature").agg(F.avg("x").alias("mean_abs"))
+        fitted = fit_fold_model(rows.where(F.col(fold) != k), features, label, name)
+        if fitted.model is not None:
+            last = fitted.model.stages[-1]
+            found = last.coefficients if name == "logistic" else last.featureImportances
+            out += [(f, abs(float(c))) for f, c in zip(fitted.features, found.toArray(), strict=True)]
+    means = rows.sparkSession.createDataFrame(out, "feature string, x double").groupBy("feature").agg(F.avg("x").alias("importance"), F.count("*").alias("n_folds"))
+    placed = means.select(F.lit(name).alias("learner"), "*", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).cast("bigint").alias("place"))  # a row for each feature
+    return placed.where(F.col("place") <= top) if top else placed
 
 
 def calibration_line(scored: DataFrame, y: str = "y", p: str = "p", steps: int = 25) -> tuple[float, float] | None:

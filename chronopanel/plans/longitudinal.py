@@ -502,7 +502,7 @@ def fold_leakage(spark, folder):
 @query()
 def feature_importance(spark, folder):
     """Mean absolute standardised coefficients of the cross-fitted propensity."""
-    return rounded(learners.importances(model_rows(spark, folder), MODEL_FEATURES, "removed_in"))
+    return rounded(learners.importances(model_rows(spark, folder), MODEL_FEATURES, "removed_in").select("feature", F.col("importance").alias("mean_abs")))
 
 
 @query()

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from chronopanel.plans import longitudinal, nuisance, relational
+from chronopanel.plans import longitudinal, nuisance, relational, reports
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES, SQL = longitudinal.QUERIES | nuisance.QUERIES | relational.QUERIES, longitudinal.SQL | nuisance.SQL | relational.SQL
+QUERIES, SQL = longitudinal.QUERIES | nuisance.QUERIES | relational.QUERIES | reports.QUERIES, longitudinal.SQL | nuisance.SQL | relational.SQL | reports.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
 
 
@@ -41,6 +41,6 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["sim_calibrated_intercept", "crossfit_propensity"])
+@pytest.mark.parametrize("name", ["sim_calibrated_intercept", "crossfit_propensity", "saved_importances", "outcome_metrics"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
