@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Texts become templates: a number turns into a number slot, a unit of measure after a number into a unit slot, a run of
+Texts become templates: a number, in digits or in English words ("five", "twenty-five", "two hundred": in slots equal to the digits), turns into a number slot, a unit of measure after a number into a unit slot, a run of
 capitalised words (wherever they stand, so a name at the start of a sentence is one too) into one name slot; other words
 stay, in lower case, and punctuation goes. Windows of consecutive template tokens are hashed and the corpus's windows
 are joined to the benchmark's. The windows of a document and an item that match at the same shift, or within a band of
@@ -43,12 +43,15 @@ UNITS = frozenset(
     "weeks month months year years percent dollar dollars euro euros cent cents usd eur gbp hz khz mhz ghz w kw mw v kv "
     "degree degrees celsius fahrenheit mph kmh kb mb gb tb byte bytes".split()
 )
+SPELLED_VALUES = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+SPELLED_VALUES |= {w: 10 * k for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 TOKEN = re.compile(r"[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n]")
-WORD, CAPITAL, NUMBER, END, UNIT = range(5)
-SLOTS = {NUMBER: "\0number", CAPITAL: "\0name", UNIT: "\0unit"}
+WORD, CAPITAL, NUMBER, END, UNIT, ONES, TEENS, TENS, SCALE = range(9)  # from ONES on: number words
+SLOTS = {CAPITAL: "\0name", UNIT: "\0unit"} | dict.fromkeys((NUMBER, ONES, TEENS, TENS, SCALE), "\0number")
 MOST_CACHED = 300_000
-MAP_BITS, MOST_VALUE = 24, 200
-SPLIT = "\x1f"
+MAP_BITS, MOST_VALUE, MOST_WORDS = 24, 200, 15
+SPLIT, SAYS = "\x1f", "\x1e"
 TEXT_SEED = 42  # that of Spark's xxhash64
 
 
@@ -57,11 +60,34 @@ def kind_of(token: str) -> int:
         return END
     if token[0].isdigit():
         return NUMBER
-    if token.lower() in UNITS:
+    low = token.lower()
+    if low in UNITS:
         return UNIT
+    if low in SCALES:
+        return SCALE
+    if low in SPELLED_VALUES:
+        return ONES if SPELLED_VALUES[low] < 10 else TEENS if SPELLED_VALUES[low] < 20 else TENS
     return CAPITAL if token[0].isupper() and not token[1:].isupper() else WORD
 
 
+def spelled(words: list[str]) -> str:
+    """The number that a run of number words says, in digits; the words themselves where they say none."""
+    total, part, last = 0, None, 0
+    for w in map(str.lower, words):
+        if w in SCALES:
+            part = (1 if part is None else part) * SCALES[w]
+            if SCALES[w] > 100:
+                total, part = total + part, None
+            last = 100
+        elif part is None:
+            part = last = SPELLED_VALUES[w]
+        elif last >= 20 and last % 10 == 0 and SPELLED_VALUES[w] < (100 if last == 100 else 10):
+            part, last = part + SPELLED_VALUES[w], SPELLED_VALUES[w]
+        else:
+            return " ".join(words).lower()
+    return str(total + (part or 0))
+
+
 def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
@@ -83,17 +109,18 @@ class Known(dict):
 class Template:
     """The slots and words of a text: hashes of the template and of the values, which positions are slots, and their tokens."""
 
-    __slots__ = ("hashes", "values", "slot", "first", "last", "tokens")
+    __slots__ = ("hashes", "values", "slot", "first", "last", "tokens", "kinds")
 
     def __init__(self, text: str, known: Known, slot_hash: np.ndarray):
         self.tokens = TOKEN.findall(text)
         at = np.fromiter(map(known.__getitem__, self.tokens), np.int64, len(self.tokens))
         kinds, values = known.kinds[at], known.hashes[at]
         before = np.concatenate([np.array([END], np.int8), kinds[:-1]])
-        kinds = np.where((kinds == UNIT) & (before != NUMBER), WORD, kinds)
+        kinds = np.where((kinds == UNIT) & (before != NUMBER) & (before < ONES), WORD, kinds)
         kept = np.flatnonzero(kinds != END)
         values = values[kept]
-        inside = ((kinds == CAPITAL) & (before == CAPITAL))[kept]  # of a run of capitalised words all but the first
+        goes_on = (kinds >= ONES) & (before >= ONES) & ((kinds == SCALE) | (before == SCALE) | (kinds == ONES) & (before == TENS))  # "one two" are two numbers
+        inside = (goes_on | (kinds == CAPITAL) & (before == CAPITAL))[kept]  # of a name or of one number all words but the first
         if inside.any():
             starts = np.flatnonzero(~inside)
             within = np.arange(len(kept)) - np.repeat(starts, np.diff(np.append(starts, len(kept))))
@@ -102,16 +129,19 @@ class Template:
                 self.values = np.add.reduceat(values * np.power(np.uint64(31), within.astype(np.uint64)), starts)
         else:
             self.first, self.last, self.values = kept, kept, values
-        kinds = kinds[self.first]
+        self.kinds = kinds = kinds[self.first]
         self.slot = kinds != WORD
         self.hashes = np.where(self.slot, slot_hash[kinds], self.values)
 
     def value(self, k: int) -> str:
-        found = " ".join(self.tokens[self.first[k] : self.last[k] + 1]).lower()
-        return found if len(found) <= MOST_VALUE else f"#{digest(found)}"
+        """What a slot holds; a number in words in digits after its words, as "seven" and "7" are the same but may become different numbers."""
+        words = self.tokens[self.first[k] : self.last[k] + 1]
+        found = " ".join(words).lower()
+        found = found if len(found) <= MOST_VALUE else f"#{digest(found)}"
+        return f"{found}{SAYS}{spelled(words) if len(words) <= MOST_WORDS else found}" if self.kinds[k] >= ONES else found
 
     def slots(self, at: int, size: int, literals: int) -> str:
-        """The slot values of a window, in order; none where it counts by its values."""
+        """The slots of a window as they are written, in order; none where it counts by its values."""
         slot = self.slot[at : at + size]
         return SPLIT.join(self.value(at + k) for k in np.flatnonzero(slot).tolist()) if size - np.count_nonzero(slot) >= literals else ""
 
@@ -122,7 +152,7 @@ class Windows:
     def __init__(self, window: int, literals: int):
         self.window, self.literals = window, literals
         self.power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(window)], np.uint64)
-        self.slot_hash = np.array([digest(SLOTS.get(k, "")) for k in range(5)], np.uint64)
+        self.slot_hash = np.array([digest(SLOTS.get(k, "")) for k in range(9)], np.uint64)
         self.known = Known()
 
     def template(self, text: str) -> Template:
@@ -243,8 +273,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: in
     band = lambda name, x: F.struct(F.lit(name).alias("by"), F.floor(x).cast("bigint").alias("place"))
     half = slack // 2
     met = met.withColumn("at", F.explode(F.array(band("shift", F.col("shift")), band("low", F.col("shift") / slack), band("high", (F.col("shift") + half) / slack))))
-    same = F.col("slots") == F.col("item_slots")
-    pair = F.arrays_zip(F.split("item_slots", SPLIT).alias("was"), F.split("slots", SPLIT).alias("now"))
+    values = lambda c: F.when(F.col(c).contains(SAYS), F.regexp_replace(c, f"[^{SPLIT}{SAYS}]*{SAYS}", "")).otherwise(F.col(c))
+    met = met.withColumn("values", values("slots")).withColumn("item_values", values("item_slots"))
+    same = F.col("values") == F.col("item_values")
+    pair = F.arrays_zip(F.split("item_slots", SPLIT).alias("was"), F.split("item_values", SPLIT).alias("value"), F.split("values", SPLIT).alias("now"))
     counted = met.groupBy("doc_id", "key", "item_id", "at").agg(
         F.max("n_windows").alias("n_windows"),
         F.count_distinct("item_pos").alias("n_matched"),
@@ -252,7 +284,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 6, literals: in
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("item_slots") != "", pair)))).alias("mapped"),
         F.min("pos").alias("first_token"),
     )
-    changed = F.size(F.filter("mapped", lambda p: p["was"] != p["now"]))
+    changed = F.size(F.filter("mapped", lambda p: p["value"] != p["now"]))
     judged = counted.select("*", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.size("mapped").cast("bigint").alias("n_slots"), changed.cast("bigint").alias("n_changed"), (F.size(F.array_distinct(F.transform("mapped", lambda p: p["was"]))) == F.size("mapped")).alias("consistent"))
     enough = lambda n: (F.col(n) >= coverage * F.col("n_windows")) & (F.col(n) >= F.least(F.lit(least), "n_windows"))
     hits = judged.where(enough("n_verbatim") | enough("n_matched") & F.col("consistent"))

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import functools
 import hashlib
 import json
 import math
@@ -242,6 +243,26 @@ def test_names_at_sentence_starts_and_of_more_words(spark):
     assert set(got) == {(1, 0), (2, 0), (3, 1), (4, 2), (6, 3)} and got[1, 0].match == "reparameterised" and got[3, 1].match == "verbatim"
 
 
+def test_number_words_are_numbers(spark):
+    item = "Tom has five apples. Tom gives two apples to Mary. Mary then eats twenty-five grapes at home. How many apples does Tom have?"
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    swap = lambda *pairs: functools.reduce(lambda t, p: t.replace(*p), pairs, item)
+    names = (("Tom", "Ben"), ("Mary", "Sue"))
+    docs = [(1, swap(*names, ("five apples", "seven apples"), ("two", "three"))), (2, swap(*names, ("five apples", "7 apples"), ("two", "3"), ("twenty-five", "two hundred six"))), (3, swap(("five apples", "5 apples"), ("two", "2"), ("twenty-five", "25"))), (4, "One or two people told Tom that five is more than four.")]
+    got = {r.doc_id: r for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {k: r.match for k, r in got.items()} == {1: "reparameterised", 2: "reparameterised", 3: "verbatim"} and got[1].coverage == got[2].coverage == 1
+    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    below = lambda n: ones[n] if n < 20 else tens[n // 10 - 2] + (f" {ones[n % 10]}" if n % 10 else "")
+    made = decontamination.Windows(6, 3)
+    for n in range(2000):
+        said = " ".join(x for x in (f"{below(n // 1000)} thousand" if n >= 1000 else "", f"{below(n // 100 % 10)} hundred" if n // 100 % 10 else "", below(n % 100) if n % 100 or not n else "") if x)
+        t = made.template(f"so {said} then")
+        assert len(t.first) == 3 and t.value(1) == f"{said}{decontamination.SAYS}{n}"
+    assert [made.template("one two twenty eleven").value(k).split(decontamination.SAYS)[1] for k in range(4)] == ["1", "2", "20", "11"]
+    assert len(made.template("hundred " * 50_000).value(0)) < 100
+
+
 def plain_template(text):
     """[(kind, value)] by the rules, one token after the other."""
     out, run = [], False
@@ -579,6 +600,59 @@ def test_toxicity_learns_held_out(spark):
     assert toxicity.features(spared, "he is not moron ok")[2] == 0 and toxicity.features(spared, "a moron")[2] == 1
 
 
+def plain_hits(lexicon, text):
+    """(place, entry) of a folded text by looking at each place for each entry and exception."""
+    spared = [(k, k + len(e) - 1) for e in lexicon.exceptions for k in range(len(text)) if text.startswith(e, k)]
+    out = []
+    for k in range(len(text)):
+        found = [(w, e) for e, w in lexicon.weights.items() if text.startswith(e, k)]
+        if found:
+            top = max(w for w, _ in found)
+            e = next(e for w, e in sorted(found, key=lambda x: len(x[1])) if w == top)
+            if not any(a <= k and k + len(e.strip()) <= b for a, b in spared):
+                out.append((k, e, top))
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    draw = random.Random(11)
+    plain = ["moron", "scum", "scummy", "stupid", "stupidity", "not", "a", "really", "oak", "moronic", "stup"]
+    alike = {"o": "0о", "s": "$ѕ5", "i": "1lі!", "c": "с", "m": "м", "a": "@а4"}
+    disguised = lambda w: "".join(draw.choice(alike.get(c, c)) if draw.random() < 0.2 and c != "i" else c for c in w)
+    lexicon = toxicity.Lexicon({" moron ": 1.0, " stup": 0.4, " stupid ": 0.9, " scum": 0.7, " scummy ": 0.2}, [" not moron ", " scum oak ", " really stupid "], (-2.0, 1.5, 0.7))
+    rows = [(k, " ".join(disguised(draw.choice(plain)) + draw.choice(["", "", ",", "\u200b", "!"]) for _ in range(draw.choice([0, 1, 5, 40])))) for k in range(300)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()}
+    machine, met = lexicon.automaton(), 0
+    for k, text in rows:
+        folded = toxicity.folded(text)
+        want = plain_hits(lexicon, folded)
+        assert toxicity.hits(machine, folded) == want
+        total, n = sum(x[2] for x in want), max(1, len(folded.split()))
+        z = -2.0 + 1.5 * np.log1p(total) + 0.7 * np.log1p(100 * total / n)
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-z))) and got[k].n_hits == len(want) and got[k].predicted == int(got[k].score >= 0.3)
+        met += len(want)
+    assert met > 500
+
+
+def test_entries_by_brute_force(spark):
+    """The lexicon learnt from rows is what counting every word and beginning gives."""
+    draw = random.Random(12)
+    pool = ["moron", "moronic", "scum", "stone", "stones", "oak", "river", "scumbag"]
+    rows = [(int(k % 3 == 0), " ".join(draw.choice(pool[:3] + pool[7:] if k % 3 == 0 and draw.random() < 0.5 else pool[3:7]) for _ in range(6)) + f" x{k}") for k in range(240)]
+    df = spark.createDataFrame(rows, "toxic int, text string")
+    n = {c: sum(t == c for t, _ in rows) for c in (0, 1)}
+    counts = toxicity.tally(df, toxicity.grams)
+    seen = defaultdict(lambda: [0, 0])
+    for toxic, text in rows:
+        own = {f" {w} " for w in toxicity.folded(text).split()} | {f" {w[:m]}" for w in toxicity.folded(text).split() for m in range(4, min(8, len(w) - 1) + 1)}
+        for g in own:
+            seen[g][toxic] += 1
+    assert {r.gram: [r.clean, r.toxic] for r in counts.collect()} == dict(seen)
+    good = {g for g, (clean, toxic) in seen.items() if toxic >= 4 and toxic >= 0.97 * (toxic + clean)}
+    shortest = {g for g in good if not any(g != h and not h.endswith(" ") and g.startswith(h) for h in good)}
+    assert set(toxicity.entries(counts.where("toxic >= 4"), n, 0.97)) == shortest and shortest
+
+
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
     lexicon = toxicity.fit(awkward, labels)
