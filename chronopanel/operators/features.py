@@ -58,6 +58,16 @@ def to_celsius(item: Column, unit: Column, value: Column, units: tuple[str, ...]
     return F.when(hot, (value - 32) * 5 / 9).otherwise(value)
 
 
+def normalised_units(rows: DataFrame, units: tuple[str, ...], hot_items: tuple, as_item, as_unit: str, kept: tuple, item: str = "item", unit: str = "unit", value: str = "value") -> DataFrame:
+    """``rows`` with Fahrenheit ones (by unit or by item) rewritten: their value converted, their item and unit those of Celsius. Then only the ``kept`` items stay.
+
+    So a Fahrenheit item need not be kept itself, and an item that became the Celsius one stays only if that is kept. ``was_converted`` marks rewritten rows; a missing value stays missing.
+    """
+    hot = F.upper(F.trim(F.coalesce(F.col(unit), F.lit("")))).isin(*units) | F.coalesce(F.col(item).isin(*hot_items), F.lit(False))
+    put = {value: F.when(hot, (F.col(value) - 32) * (5.0 / 9.0)).otherwise(F.col(value)), item: F.when(hot, F.lit(as_item)).otherwise(F.col(item)), unit: F.when(hot, F.lit(as_unit)).otherwise(F.col(unit))}
+    return rows.select(*[put[c].alias(c) if c in put else F.col(c) for c in rows.columns], hot.alias("was_converted")).where(F.col(item).isin(*kept))
+
+
 def lookback(events: DataFrame, panel: DataFrame, period: int = DAY) -> DataFrame:
     """Statistics of each item in each panel row's look-back [max(unit_in, period_start - period), period_start).
 

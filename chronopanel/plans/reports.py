@@ -168,6 +168,30 @@ def episode_level(spark, folder):
     return rounded(reports.episode_level(wide, EPISODE, "stay_days", "view__mean", "click__mean__missing", "click__mean", "view__last", LATE, split=True))
 
 
+# Reading
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_type AS item, CASE event_id % 5 WHEN 0 THEN ' f ' WHEN 1 THEN 'Deg F' WHEN 2 THEN 'C' END AS unit, value FROM events), "
+    "h AS (SELECT *, upper(trim(coalesce(unit, ''))) IN ('F', 'DEG F') OR item = 'click' AS hot FROM e) "
+    "SELECT CASE WHEN hot THEN 'view' ELSE item END AS item, CASE WHEN hot THEN 'c' ELSE unit END AS unit, hot AS was_converted, count(*) AS n, round(sum(CASE WHEN hot THEN (value - 32) * (5.0 / 9.0) ELSE value END), 3) AS total "
+    "FROM h WHERE hot OR item IN ('view', 'error') GROUP BY ALL"
+)
+def normalised_units(spark, folder):
+    """Fahrenheit rows, by unit or item, become rows of the Celsius item and unit; then the kept items stay."""
+    k = F.col("event_id") % 5
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_type").alias("item"), F.when(k == 0, " f ").when(k == 1, "Deg F").when(k == 2, "C").alias("unit"), "value")
+    found = features.normalised_units(rows, ("F", "DEG F"), ("click",), "view", "c", ("view", "error"))
+    return found.groupBy("item", "unit", "was_converted").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("SELECT user_id % 7 AS item, CAST(arg_min(user_id, event_id) AS VARCHAR) AS label FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def first_read_labels(spark, folder):
+    """The label of each item's first row in the order of reading (event_id)."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").select((F.col("user_id") % 7).alias("item"), F.col("user_id").cast("string").alias("label"), "event_id")
+    return tables.first_labels(rows, order="event_id")
+
+
 # Fits
 
 _CELL = "greatest(len([e for e in list_distinct(edges) if e < g]) - 1, 0)"

@@ -38,9 +38,10 @@ def policy_collection(spark: SparkSession, path: str, schema: T.StructType | str
     return found
 
 
-def first_labels(labels: DataFrame, item: str = "item", label: str = "label") -> DataFrame:
-    """One label for each item: the first in order."""
-    return labels.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(label).alias(label))
+def first_labels(labels: DataFrame, item: str = "item", label: str = "label", order: str | None = None) -> DataFrame:
+    """One label for each item: that of the first row by ``order`` (of equal rows the smallest label), whether it is missing or not; the smallest label without an order."""
+    first = F.min_by(label, F.struct(order, label)) if order else F.min(label)
+    return labels.where(F.col(item).isNotNull()).groupBy(item).agg(first.alias(label))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

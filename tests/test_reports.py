@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from chronopanel.functions.stats import effective_size, positive_effective_size
-from chronopanel.operators import learners, reports
+from chronopanel.operators import features, learners, reports
+from chronopanel.sources import tables
 
 DAY = 86_400_000_000
 ROWS = "policy string, policy_day bigint, entity long, inserted long, episode_day long, policy_state string, policy_action string, extra_row_out int, start long, end long, p_a double, p_b double"
@@ -88,3 +89,17 @@ def test_importances_skip_constant_features_and_keep_the_largest(spark):
         assert [r.feature for r in learners.importances(df, ["weak", "strong"], "y", name=name, top=1).collect()] == ["strong"]
     one_class = df.withColumn("y", F.lit(1))
     assert learners.importances(one_class, ["strong"], "y").count() == 0
+
+
+def test_units_rewrite_item_and_unit_and_then_the_kept_items_stay(spark):
+    rows = [(1, 10, " f", 212.0), (2, 11, None, 32.0), (3, 12, "C", 37.0), (4, 13, "F", None), (5, 13, "C", 5.0), (6, None, None, 1.0), (7, 12, None, 36.0)]
+    df = spark.createDataFrame(rows, "id int, item int, unit string, value double")
+    got = {r.id: tuple(r)[1:] for r in features.normalised_units(df, ("F",), (11,), 12, "C", (12,)).collect()}
+    assert got == {1: (12, "C", 100.0, True), 2: (12, "C", 0.0, True), 3: (12, "C", 37.0, False), 4: (12, "C", None, True), 7: (12, None, 36.0, False)}
+    assert features.normalised_units(df, ("F",), (11,), 12, "C", (13,)).count() == 1  # what became 12 isn't kept
+
+
+def test_first_labels_follow_the_order_of_reading(spark):
+    df = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (2, None, 3), (2, "c", 4), (None, "d", 5), (3, "f", 6), (3, "e", 6)], "item int, label string, at int")
+    assert {r.item: r.label for r in tables.first_labels(df, order="at").collect()} == {1: "b", 2: None, 3: "e"}
+    assert {r.item: r.label for r in tables.first_labels(df).collect()} == {1: "a", 2: "c", 3: "e"}
