@@ -761,3 +761,35 @@ def test_registered_queries(spark):
         got = queries.QUERIES[name](spark, folder).select(*want.columns).toPandas()
         tidy = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
         assert [x.replace(".0", "") for x in tidy(got)] == [x.replace(".0", "") for x in tidy(want)]
+
+
+def test_suffix_array_by_brute_force():
+    own = random.Random(8)
+    for depth in (1, 2, 3, 5, 6, 8):
+        streams = [(own.choice([5, 9]), np.array([own.choice([1, 2, 3]) for _ in range(own.choice([1, 4, 30]))], np.uint64)) for _ in range(12)]
+        whole = [extraction.padded(s, depth) for _, s in streams]
+        flat, before = np.concatenate(whole), np.cumsum([0, *map(len, whole)])
+        at = np.concatenate([extraction.starts_of(len(s), depth) + b for (_, s), b in zip(streams, before)])
+        of = np.repeat(np.arange(12), [len(s) + depth - 1 for _, s in streams])
+        host = np.array([h for h, _ in streams], np.uint64)[of]
+        by, shared = extraction.suffix_array(flat, at, host, depth)
+        keys = [(int(host[i]), *map(int, flat[at[i] : at[i] + depth])) for i in by]
+        assert keys == sorted(keys) and sorted(by.tolist()) == list(range(len(at)))
+        for k in range(1, len(keys)):
+            common = next((j for j in range(depth) if keys[k][j + 1] != keys[k - 1][j + 1]), depth)
+            assert shared[k] == (common if keys[k][0] == keys[k - 1][0] else 0)
+        want = defaultdict(set)
+        for key, i in zip(keys, by):
+            want[key].add(int(of[i]))
+        heads, n = extraction.intervals_of(streams, depth)
+        assert len(set(heads.tolist())) == len(want) == len(heads) and sorted(n.tolist()) == sorted(map(len, want.values()))
+
+
+def test_every_page_meets_the_array(spark):
+    notice = "Please read our terms of use before you go on today"
+    rows = [(k, f"http://a/{k}", f'<nav>{notice}</nav><article><p>{words(9)}</p><div class="alert">{notice}</div><div class="info">{words(3)}</div></article>' if k % 2 else f"<nav>{notice}</nav><article><p>{words(9)}</p></article>") for k in range(8)]
+    found = extraction.written(extraction.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"), 8), "pages")
+    assert found.where("size(tokens) > 0").count() == len(rows)  # marked pages too
+    heads = extraction.repeated(found, 3)
+    by = [{r.page_id: r.text for r in extraction.unique_runs(found, heads, 8, most).collect()} for most in (0, 1_000_000)]
+    assert by[0] == by[1] and len(by[0]) == len(rows) and not any("terms" in t for t in by[0].values()) and all(("\n" in by[0][k]) == (k % 2 == 1) for k in by[0])
