@@ -142,6 +142,16 @@ class Batch:
         return np.concatenate([gram.ravel(), right.ravel()])
 
 
+#: Numbers of one working array, policies by measures of some episodes: what a task holds of an Arrow batch at a time, whatever the batch's size.
+PIECE = 40_000
+
+
+def pieces(batch: pa.RecordBatch, d: Design) -> Iterator[pa.RecordBatch]:
+    rows = max(64, PIECE // max(1, len(d.policies) * len(d.measures)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def length(d: Design) -> int:
     return d.width * d.width * len(d.measures) + int(np.prod(d.shape))
 
@@ -172,8 +182,8 @@ def summed(episodes: DataFrame, d: Design, part: Callable[[Batch], Iterator[tupl
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in it:
-            if batch.num_rows:
-                for at, x in part(Batch(batch, d)):
+            for piece in pieces(batch, d):
+                for at, x in part(Batch(piece, d)):
                     total[at : at + len(x)] += x
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["position", "x"])
@@ -257,7 +267,7 @@ def with_state(episodes: DataFrame, d: Design, g: np.ndarray, models: np.ndarray
     kind = ", ".join(f"{c} {k}" for c, k in episodes.select(*kept).dtypes) + ", state binary"
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (piece for whole in it for piece in pieces(whole, d)):
             b, n = Batch(batch, d), batch.num_rows
             out = np.zeros((n, d.replicates, len(d.pairs), *d.shape[1:]))
             rows = np.flatnonzero(b.size > t + 1)
@@ -369,9 +379,7 @@ def scores(episodes: DataFrame, keys: list[str], f: Fit) -> DataFrame:
     named = [(p[0], m) for p in d.policies for m in d.measures]
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in it for piece in pieces(whole, d)):
             b = Batch(batch, d)
             for k in range(d.n_folds):
                 rows = np.flatnonzero(b.fold == k)

@@ -1,6 +1,7 @@
 """Nested recursion, nested stacking, checks: brute force, leakage and refusals."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,11 @@ def test_reports_and_collections_refuse(spark, tmp_path):
     assert tables.policy_collection(spark, f"{tmp_path}/panels", "entity long, x double, policy_day int", [0, 1, 2]).count() == 6
     with pytest.raises(ValueError, match="policy days"):
         tables.policy_collection(spark, f"{tmp_path}/panels", days=[0, 1])
+
+
+def test_pieces_bound_what_a_task_holds(spark):
+    d = nested.Design([("a", 1, None, 0.05), ("b", None, None, 0.05)], ["m"], 5, 3, 2, np.zeros(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100_000))], names=["x"])
+    parts = list(nested.pieces(batch, d))
+    assert max(p.num_rows for p in parts) * len(d.policies) * len(d.measures) <= nested.PIECE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(100_000))
+    assert list(nested.pieces(batch.slice(0, 0), d)) == []
