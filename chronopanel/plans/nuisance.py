@@ -38,9 +38,9 @@ MEASURES = ["outcome", "reinsertion", "death", "exit_alive", "exposure_days"]
 TREND = ["interval_hours"]
 
 
-def trajectory_rows(spark: SparkSession, folder: str, measures: list[str] = MEASURES) -> DataFrame:
-    """Decision rows up to the last period that every pair of folds leaves support for, with what ``nested`` reads; only the outcome has a risk set."""
-    rows = decision_rows(spark, folder).withColumn("day", F.col("episode_day")).withColumn("cell", F.col("g_day"))
+def trajectory_rows(spark: SparkSession, folder: str, measures: list[str] = MEASURES, decided: DataFrame | None = None) -> DataFrame:
+    """Decision rows (``decided``, if they are there already) up to the last period that every pair of folds leaves support for, with what ``nested`` reads; only the outcome has a risk set."""
+    rows = (decision_rows(spark, folder) if decided is None else decided).withColumn("day", F.col("episode_day")).withColumn("cell", F.col("g_day"))
     rows = rows.withColumns({f"risk_{m}": F.col("at_risk_outcome").cast("double") if m == "outcome" else F.lit(1.0) for m in measures})
     return rows.where(F.col("decision_period") <= nested.supported(rows, measures))
 
@@ -217,8 +217,9 @@ def _drawn_sql(n: int, seed: int) -> str:
 @query(f"WITH RECURSIVE {nested_sql(REFIT_POLICIES, TWO, _drawn_sql(REFIT_DRAWS, REFIT_SEED))} SELECT rep AS replicate, policy, measure, sum(times)::BIGINT AS n, round(sum(times * score) / sum(times), 6) AS value FROM done JOIN wt USING (rep, entity) WHERE t = 1 GROUP BY rep, policy, measure")
 def nested_bootstrap(spark, folder):
     """Values by replicate with every behaviour and continuation model fitted anew on the entities drawn. A period that a replicate leaves without support has continuation 0."""
-    rows = trajectory_rows(spark, folder, TWO)
-    numbers = bootstrap.entity_numbers(decision_rows(spark, folder))
+    decided = decision_rows(spark, folder)
+    rows = trajectory_rows(spark, folder, TWO, decided)
+    numbers = cut(bootstrap.entity_numbers(decided))  # counted and joined
     drawn = bootstrap.draws(max(1, numbers.count()), REFIT_DRAWS, REFIT_SEED, spark).join(numbers, "number")
     return rounded(nested.nested_bootstrap(rows, EPISODE, TREND, REFIT_POLICIES, TWO, bootstrap.draw_arrays(drawn, REFIT_DRAWS), REFIT_DRAWS, strict=False))
 
