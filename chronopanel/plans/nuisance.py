@@ -238,14 +238,28 @@ def targets(rows: DataFrame) -> DataFrame:
     return rows.drop("outcome").join(fold, "entity").withColumn("no_event_in", none).withColumn("in_clock", F.least("episode_day", F.lit(6))).withColumn("out_clock", F.least(F.greatest("periods_in_state", F.lit(1)), F.lit(5))).withColumn("r_clock", F.least("reinsertion_periods", F.lit(5)))
 
 
-def outcome_models(rows: DataFrame, weight: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """state, outcome, clock, action, fold (and ``more``), p: every model as a rate table, fitted on its risk set of the other folds."""
+CELL = ["m_state", "outcome", "clock", "act"]
+
+
+def training_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """fold, ``more``, and the model, clock, action and label y of every model whose risk set a row is in."""
     one = F.struct
     at = lambda state, names: [one(F.lit(state).alias("m_state"), F.lit(n).alias("outcome"), F.col(f"{n}_in").alias("y"), F.col("in_clock" if state == "in" else "out_clock").alias("clock"), (F.col("removed_in") if state == "in" else F.lit(-1)).alias("act"), ((F.col("state") == state) & ((F.col("at_risk_outcome") == 1) | F.lit(n != "outcome"))).alias("used")) for n in names]
     back = one(F.lit("back").alias("m_state"), F.lit("reinsertion").alias("outcome"), F.col("reinsertion_in").alias("y"), F.col("r_clock").alias("clock"), F.lit(-1).alias("act"), (F.col("at_risk_reinsertion") == 1).alias("used"))
     models = [*at("in", IN_OUTCOMES), *at("out", [n for n in OUT_OUTCOMES if n != "reinsertion"]), back]
-    long = rows.select("fold", *more, *([weight] if weight else []), F.explode(F.array(*models)).alias("m")).select("fold", *more, *([weight] if weight else []), "m.*").where("used")
-    return rates.crossfit_rates(long, ["m_state", "outcome", "clock", "act", *more], "y", weight=weight)
+    return rows.select("fold", *more, F.explode(F.array(*models)).alias("m")).select("fold", *more, "m.*").where("used")
+
+
+def outcome_models(rows: DataFrame) -> DataFrame:
+    """state, outcome, clock, action, fold, p: every model as a rate table, fitted on its risk set of the other folds."""
+    return rates.crossfit_rates(training_rows(rows), CELL, "y")
+
+
+def refitted_models(rows: DataFrame, replicates: int) -> DataFrame:
+    """``outcome_models`` with ``replicate``, from the entities drawn. ``rows`` have ``times``, an array by replicate: counts of cells are weighted, rows aren't copied."""
+    counts = training_rows(rows, "times").groupBy("fold", *CELL, "y").agg(F.array(*[F.sum(F.col("times")[r]) for r in range(replicates)]).alias("times"))
+    drawn = counts.select("fold", *CELL, "y", F.posexplode("times").alias("replicate", "times")).where("times > 0").withColumn("replicate", F.col("replicate").cast("bigint"))
+    return rates.crossfit_rates(drawn, [*CELL, "replicate"], "y", weight="times")
 
 
 def _models_sql(rows: str, weight: str = "1.0", more: str = "") -> str:
@@ -295,25 +309,33 @@ def outcome_scores(spark, folder):
 HAZARD_OUTCOMES = ("outcome", "death", "reinsertion")
 
 
-def policy_asks(rows: DataFrame) -> DataFrame:
-    """Panel rows under each fixed-day policy and as observed, with the model, clock and action that each hazard asks for.
+STATE = ["policy_state", "c", "act0", "rc", "in_window"]
 
-    No factual risk flag enters: a hazard is that of the policy's own state. Keeping has no reinsertion hazard; removing asks the reinsertion model
-    at clock 0. The outcome's hazard is 0 from the third day out on, and for current practice beyond the window after removal.
-    """
+
+def policy_states(rows: DataFrame) -> DataFrame:
+    """Panel rows under each fixed-day policy and as observed, with their state and clocks."""
     under = policy.with_policies(rows, DAYS)
     clock = F.when(F.col("policy_state") == "in", F.least("policy_periods_in", F.lit(6))).otherwise(F.least(F.greatest("policy_periods_out", F.lit(1)), F.lit(5)))
     act = F.when(F.col("policy_state") == "out", -1).when(F.col("policy_action") == "remove", 1).otherwise(0)
     fixed = under.select("policy", *EPISODE, "episode_index", "fold", "interval_hours", "policy_state", clock.alias("c"), act.alias("act0"), F.least("policy_reinsertion_periods", F.lit(5)).alias("rc"), (F.coalesce("policy_periods_out", F.lit(0)) <= 2).alias("in_window"))
     seen = rows.select(F.lit(policy.CURRENT).alias("policy"), *EPISODE, "episode_index", "fold", "interval_hours", F.col("state").alias("policy_state"), F.when(F.col("state") == "in", F.col("in_clock")).otherwise(F.col("out_clock")).alias("c"), F.when(F.col("state") == "in", F.col("removed_in")).otherwise(-1).alias("act0"), F.col("r_clock").alias("rc"), (F.col("period_start") < F.col("removed") + panel.OUTCOME_WINDOW).alias("in_window"))
-    both = fixed.unionByName(seen).withColumn("outcome", F.explode(F.array(*map(F.lit, HAZARD_OUTCOMES))))
+    return fixed.unionByName(seen)
+
+
+def asked(states: DataFrame) -> DataFrame:
+    """``states`` with the model, clock and action that each hazard asks for.
+
+    No factual risk flag enters: a hazard is that of the policy's own state. Keeping has no reinsertion hazard; removing asks the reinsertion model
+    at clock 0. The outcome's hazard is 0 from the third day out on, and for current practice beyond the window after removal.
+    """
+    both = states.withColumn("outcome", F.explode(F.array(*map(F.lit, HAZARD_OUTCOMES))))
     back = F.col("outcome") == "reinsertion"
     zero = F.when(back, F.col("act0") == 0).when(F.col("outcome") == "outcome", ~F.col("in_window")).otherwise(False)
     return both.select("*", F.when(back, "back").otherwise(F.col("policy_state")).alias("m_state"), F.when(back, F.col("rc")).otherwise(F.col("c")).alias("clock"), F.when(back, -1).otherwise(F.col("act0")).alias("act"), zero.alias("zero"))
 
 
-def policy_hazards_of(rows: DataFrame, models: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return looked_up(policy_asks(rows), models, keys) if not keys else looked_up(policy_asks(rows).crossJoin(F.broadcast(models.select(*keys).distinct())), models, keys)  # a row for each replicate
+def policy_hazards_of(rows: DataFrame, models: DataFrame) -> DataFrame:
+    return looked_up(asked(policy_states(rows)), models)
 
 
 ASKS = (
@@ -339,10 +361,10 @@ def policy_hazards(spark, folder):
     return rounded(hazard(policy_hazards_of(rows, outcome_models(rows))).select("policy", *EPISODE, "episode_index", "outcome", "hazard"))
 
 
-def crossfit_risks(hazards: DataFrame, *more: str) -> DataFrame:
+def crossfit_risks(hazards: DataFrame) -> DataFrame:
     """policy, episode: 1 - prod(1 - hazard) for each outcome."""
     risk = lambda o: (1 - F.product(F.when(F.col("outcome") == o, 1 - F.col("hazard")))).alias(f"risk_{o}")
-    return hazards.groupBy("policy", *more, *EPISODE).agg(*[risk(o) for o in HAZARD_OUTCOMES])
+    return hazards.groupBy("policy", *EPISODE).agg(*[risk(o) for o in HAZARD_OUTCOMES])
 
 
 _RISKS = ", ".join(f"1 - product(CASE WHEN outcome = '{o}' THEN 1 - hazard END) AS risk_{o}" for o in HAZARD_OUTCOMES)
@@ -364,8 +386,8 @@ REFITS, SEED = 5, 77
 
 def drawn_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(rows, drawn): panel rows with folds, and replicate, entity, times."""
-    rows = targets(base(spark, folder))
-    numbers = bootstrap.entity_numbers(rows)
+    rows = cut(targets(base(spark, folder)))  # read by the draws, the models and each policy
+    numbers = cut(bootstrap.entity_numbers(rows))
     drawn = bootstrap.draws(max(1, numbers.count()), REFITS, SEED, spark)
     return rows, drawn.join(numbers, "number").select("replicate", "entity", "times")
 
@@ -386,10 +408,24 @@ DRAWN = (
 def bootstrap_refit(spark, folder):
     """Risks by replicate with every model fitted anew on the entities drawn, each as often as drawn. Copies keep their entity's fold."""
     rows, drawn = drawn_rows(spark, folder)
-    models = outcome_models(rows.join(drawn, "entity"), weight="times", more=("replicate",))
-    asks = policy_asks(rows).join(drawn, "entity")
-    risks = crossfit_risks(hazard(looked_up(asks, models, ("replicate",))), "replicate", "times")
-    return rounded(risks.groupBy("replicate", "policy").agg(*[(F.sum(F.col("times") * F.col(f"risk_{o}")) / F.sum("times")).alias(f"risk_{o}") for o in HAZARD_OUTCOMES], F.sum("times").alias("n_copies")))
+    drawn = bootstrap.draw_arrays(drawn, REFITS)
+    return rounded(refitted_risks(policy_states(rows).join(drawn, "entity"), refitted_models(rows.join(drawn, "entity"), REFITS), REFITS))
+
+
+def refitted_risks(states: DataFrame, models: DataFrame, replicates: int) -> DataFrame:
+    """replicate, policy, mean risks, n_copies: every episode as often as drawn (``times``, an array by replicate).
+
+    An episode's risks follow from its fold and its states and clocks alone, whatever their order. Episodes alike in these are counted by replicate first; risks are worked out once for each kind
+    and replicate, so what is joined to the models and multiplied grows with the kinds of episodes, not with episodes or draws."""
+    episodes = states.groupBy("policy", *EPISODE, "fold", "times").agg(F.array_sort(F.collect_list(F.struct(*STATE))).alias("steps"))
+    kinds = episodes.groupBy("policy", "fold", "steps").agg(F.array(*[F.sum(F.col("times")[r]) for r in range(replicates)]).alias("times"))
+    kinds = cut(kinds.withColumn("kind", F.monotonically_increasing_id()))  # numbered once
+    steps = asked(kinds.select("kind", "fold", F.explode("steps").alias("s")).groupBy("kind", "fold", "s").agg(F.count("*").alias("n")).select("kind", "fold", "n", "s.*"))
+    weights = kinds.select("kind", "policy", F.posexplode("times").alias("replicate", "times")).where("times > 0").withColumn("replicate", F.col("replicate").cast("bigint"))
+    known = hazard(looked_up(steps.join(weights, "kind"), models, ("replicate",)))
+    risk = lambda o: (1 - F.product(F.when(F.col("outcome") == o, F.pow(1 - F.col("hazard"), F.col("n"))))).alias(f"risk_{o}")
+    risks = known.groupBy("kind", "policy", "replicate", "times").agg(*[risk(o) for o in HAZARD_OUTCOMES])
+    return risks.groupBy("replicate", "policy").agg(*[(F.sum(F.col("times") * F.col(f"risk_{o}")) / F.sum("times")).alias(f"risk_{o}") for o in HAZARD_OUTCOMES], F.sum("times").alias("n_copies"))
 
 
 @query(f"WITH {TARGETS}, {DRAWN} SELECT replicate, count(*) AS n_rows, count(DISTINCT (entity, copy)) AS n_trajectory_groups, max(copy) AS most_copies FROM (SELECT replicate, entity, unnest(range(0, times)) AS copy FROM dr) GROUP BY replicate")

@@ -260,3 +260,31 @@ def test_pieces_bound_what_a_task_holds(spark):
     parts = list(nested.pieces(batch, d))
     assert max(p.num_rows for p in parts) * len(d.policies) * len(d.measures) <= nested.PIECE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(100_000))
     assert list(nested.pieces(batch.slice(0, 0), d)) == []
+
+
+def test_refitted_risks_by_brute_force(spark):
+    """Episodes alike in fold and steps are one kind, whatever their number and draws."""
+    from chronopanel.plans import nuisance
+
+    draw, steps = np.random.default_rng(9), [("in", 1, 0, 0, True), ("in", 2, 1, 0, True), ("out", 1, -1, 1, False), ("out", 1, -1, 1, True)]
+    episodes = [(p, e, 10 * e, e % 5, tuple(sorted(draw.integers(0, 4, 1 + e % 3).tolist())), draw.integers(0, 3, 2).tolist()) for p in ("x", "y") for e in range(60)]
+    rows = [(p, e, i, f, t, *steps[s]) for p, e, i, f, of, t in episodes for s in draw.permutation(of).tolist()]
+    states = spark.createDataFrame(rows, "policy string, entity long, inserted long, fold long, times array<int>, policy_state string, c long, act0 int, rc long, in_window boolean")
+    cells = sorted({("in", o, c, a) for o in ("outcome", "death") for c, a in ((1, 0), (2, 1))} | {("out", o, 1, -1) for o in ("outcome", "death")} | {("back", "reinsertion", 0, -1)})  # back at clock 1: no rows, so a half
+    p = {(m, f, r): float(draw.uniform(0.1, 0.9)) for m in cells for f in range(5) for r in range(2)}
+    models = spark.createDataFrame([(*m, f, r, x) for (m, f, r), x in p.items()], "m_state string, outcome string, clock long, act int, fold long, replicate long, p double")
+
+    def kept(o, step, f, r):
+        state, c, act, rc, window = step
+        if (o == "reinsertion" and act == 0) or (o == "outcome" and not window):
+            return 1.0
+        return 1 - p.get((("back", o, rc, -1) if o == "reinsertion" else (state, o, c, act), f, r), 0.5)
+
+    got = {(x.replicate, x.policy): x for x in nuisance.refitted_risks(states, models, 2).collect()}
+    assert len(got) == 4
+    for (r, policy_), x in got.items():
+        mine = [(t[r], f, of) for q, _, _, f, of, t in episodes if q == policy_]
+        assert x.n_copies == sum(n for n, _, _ in mine)
+        for o in nuisance.HAZARD_OUTCOMES:
+            want = sum(n * (1 - np.prod([kept(o, steps[s], f, r) for s in of])) for n, f, of in mine) / x.n_copies
+            assert x[f"risk_{o}"] == pytest.approx(want, abs=1e-12)
