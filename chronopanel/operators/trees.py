@@ -3,7 +3,7 @@
 Features become bin numbers once, by cut points at approximate quantiles (of the features alone; labels play no part); a missing value has a bin
 of its own and is never imputed. The model of fold k is grown on the other folds, and all folds' models (and all trees of a forest) grow together: a level
 is one pass. In it tasks add up their rows' histograms by model, node, feature and bin, Spark sums these, and each node's split is chosen from its
-features' bins in a group of bounded size. Splits reach the driver, rows don't.
+features' bins in a group of bounded size. A split knows the sums of both sides, so leaves need no pass of their own. Splits reach the driver, rows don't.
 
 A split sends missing values to the side that gains more, so missingness itself can be split on. Nodes without a split that gains stay leaves: constant
 features give the training mean. Labels are any finite numbers for ``squared`` loss, 0 or 1 for ``logistic``. A null label, or a null fold, is not trained on.
@@ -26,7 +26,7 @@ from chronopanel.shipping import ship
 
 BINS = 32
 MISSING = BINS  # the bin of missing values
-SPLIT = "node bigint, feature int, bin int, left boolean, n double, g double, h double"
+SPLIT = "node bigint, feature int, bin int, left boolean, g double, h double, left_g double, left_h double, right_g double, right_h double"
 
 
 @dataclass
@@ -70,12 +70,14 @@ class Ensemble:
 
 
 def leaf_of(tree: dict[str, np.ndarray], bins: np.ndarray, levels: int | None = None) -> np.ndarray:
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    for _ in range(levels if levels is not None else len(tree["feature"]).bit_length()):
-        f = tree["feature"][node]
-        b = bins[rows, np.maximum(f, 0)]
-        left = np.where(b == MISSING, tree["left"][node], b <= tree["bin"][node])
-        node = np.where(f < 0, node, 2 * node + 2 - left)
+    feature, at = tree["feature"], np.arange(BINS + 1)
+    nodes = np.arange(len(feature))[:, None]
+    left = np.where(at == MISSING, tree["left"][:, None], at <= tree["bin"][:, None])
+    after = np.where(feature[:, None] < 0, nodes, 2 * nodes + 2 - left).ravel()  # the next node by node and bin
+    flat, row, asked = bins.ravel(), np.arange(len(bins)) * bins.shape[1], np.maximum(feature, 0)
+    node = np.zeros(len(bins), np.int64)
+    for _ in range(levels if levels is not None else len(feature).bit_length() - 1):
+        node = after[node * (BINS + 1) + flat[row + asked[node]]]
     return node
 
 
@@ -134,35 +136,42 @@ def level(data: DataFrame, e: Ensemble, slots: list[tuple[int, int]], growing: d
 
     def histograms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        size, first = 2**depth * (BINS + 1), 2**depth - 1
         for batch in it:
             bins, folds, y = matrix(batch, width), batch.column(batch.schema.get_field_index("_fold")).to_numpy(), batch.column(batch.schema.get_field_index("_y")).to_numpy()
             margin = batch.column(batch.schema.get_field_index("_margin")).flatten().to_numpy().reshape(batch.num_rows, -1)
-            done: dict[int, np.ndarray] = {}
+            done: dict[int, tuple] = {}
             for s, (k, _) in enumerate(slots):
-                rows = np.flatnonzero(folds != k)
-                if k not in done:
-                    done[k] = e.base[k] + margin[:, e.folds.index(k)] + (e.margins(bins, k, e.kept) if seed is None else 0.0)
-                m = done[k][rows]
-                p = 1 / (1 + np.exp(-np.clip(m, -35, 35))) if logistic else m
-                g, h = p - y[rows], p * (1 - p) if logistic else np.ones(len(rows))
-                node = leaf_of(growing[s], bins[rows], depth) if depth else np.zeros(len(rows), np.int64)
-                live = np.flatnonzero(node >= 2**depth - 1)
-                for x in np.unique(node[live]):
-                    here = live[node[live] == x]
-                    hist = total.setdefault((s << 32) + int(x), np.zeros((width, BINS + 1, 3)))
-                    for f in range(width):
-                        b = bins[rows[here], f]
-                        hist[f] += np.stack([np.bincount(b, w, BINS + 1) for w in (None, g[here], h[here])], 1)
-        for x, hist in total.items():
-            f, b = np.nonzero(hist[:, :, 0])
-            part = hist[f, b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), x)), pa.array(f.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(part[:, i]) for i in range(3)]], names=["node", "feature", "bin", "n", "g", "h"])
+                if k not in done:  # the slots of a fold share rows and gradients
+                    rows = np.flatnonzero(folds != k)
+                    mine = bins[rows]
+                    m = e.base[k] + margin[rows, e.folds.index(k)] + (e.margins(mine, k, e.kept) if seed is None else 0.0)
+                    p = 1 / (1 + np.exp(-np.clip(m, -35, 35))) if logistic else m
+                    done[k] = mine, mine.T.astype(np.int64), p - y[rows], p * (1 - p) if logistic else np.ones(len(rows))
+                mine, columns, g, h = done[k]
+                if depth:
+                    node = leaf_of(growing[s], mine, depth) - first
+                    live = np.flatnonzero(node >= 0)
+                    node, columns, g, h = node[live] * (BINS + 1), columns[:, live], g[live], h[live]
+                else:
+                    node = 0
+                hist = total.setdefault(s, np.zeros((width, size, 3)))
+                for f in range(width):
+                    b = columns[f] + node
+                    for i, w in enumerate((None, g, h)):
+                        hist[f, :, i] += np.bincount(b, w, size)
+        for s, hist in total.items():
+            f, at = np.nonzero(hist[:, :, 0])
+            part = hist[f, at]
+            yield pa.RecordBatch.from_arrays([pa.array((s << 32) + first + at // (BINS + 1)), pa.array(f.astype(np.int32)), pa.array((at % (BINS + 1)).astype(np.int32)), *[pa.array(part[:, i]) for i in range(3)]], names=["node", "feature", "bin", "n", "g", "h"])
+
+    names_of_split = [c.split(" ")[0] for c in SPLIT.split(", ")]
 
     def choose(of: pd.DataFrame) -> pd.DataFrame:
         node = int(of["node"].iloc[0])
         hist = np.zeros((width, BINS + 1, 3))
         hist[of["feature"], of["bin"]] = of[["n", "g", "h"]]
-        n, g, h = hist[0].sum(0)
+        _, g, h = hist[0].sum(0)
         names = range(width)
         if seed is not None:  # about the root of their number, at random
             names = sorted(names, key=lambda f: hashed(seed, node, f))[: max(1, round(width**0.5))] if e.loss == "logistic" else names
@@ -175,8 +184,11 @@ def level(data: DataFrame, e: Ensemble, slots: list[tuple[int, int]], growing: d
             found = best_split(*hist[f].T, penalty, least, pick)
             if found[0] > best[0]:
                 best = (*found, f)
-        gains = best[0] > 1e-9
-        return pd.DataFrame([(node, best[3] if gains else -1, best[1], best[2], n, g, h)], columns=["node", "feature", "bin", "left", "n", "g", "h"])
+        if best[0] <= 1e-9:
+            return pd.DataFrame([(node, -1, 0, False, g, h, 0.0, 0.0, 0.0, 0.0)], columns=names_of_split)
+        to_left = np.append(np.arange(BINS) <= best[1], best[2])
+        sides = [hist[best[3]][side].sum(0)[1:] for side in (to_left, ~to_left)]
+        return pd.DataFrame([(node, best[3], best[1], best[2], g, h, *sides[0], *sides[1])], columns=names_of_split)
 
     sums = data.mapInArrow(histograms, "node bigint, feature int, bin int, n double, g double, h double").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ngh"])
     return sums.groupBy("node").applyInPandas(choose, SPLIT).collect()  # a row for each node
@@ -184,12 +196,14 @@ def level(data: DataFrame, e: Ensemble, slots: list[tuple[int, int]], growing: d
 
 def grow(data: DataFrame, e: Ensemble, slots: list[tuple[int, int]], depth: int, penalty: float, least: float, seed: int | None) -> list[dict[str, np.ndarray]]:
     trees = [sapling(depth) for _ in slots]
-    for d in range(depth + 1):
+    for d in range(max(1, depth)):
         for r in level(data, e, slots, trees, d, penalty, least, seed):
             tree, node = trees[r["node"] >> 32], r["node"] & (2**32 - 1)
             tree["value"][node] = -r["g"] / (r["h"] + penalty)
-            if d < depth:
+            if depth and r["feature"] >= 0:
                 tree["feature"][node], tree["bin"][node], tree["left"][node] = r["feature"], r["bin"], r["left"]
+                for child, side in ((2 * node + 1, "left"), (2 * node + 2, "right")):
+                    tree["value"][child] = -r[f"{side}_g"] / (r[f"{side}_h"] + penalty)
     return trees
 
 

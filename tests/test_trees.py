@@ -78,3 +78,22 @@ def test_missingness_is_split_on_and_folds_are_held_out(spark):
     assert np.mean([some[k] for k in range(150) if y[k]]) > np.mean([some[k] for k in range(150) if not y[k]]) + 0.3 and 0 <= min(some.values()) <= max(some.values()) <= 1
     with pytest.raises(ValueError, match="empty"):
         trees.boosted(df.where("fold = 0"), ["x0"], "y")
+
+
+def test_leaves_need_no_pass(spark, monkeypatch):
+    draw, depths, level = np.random.default_rng(4), [], trees.level
+    rows = spark.createDataFrame([(i % 3, int(draw.integers(2)), float(draw.normal()), float(i % 7) if i % 5 else None) for i in range(200)], "fold int, y int, a double, b double")
+    monkeypatch.setattr(trees, "level", lambda *x: depths.append(x[4]) or level(*x))
+    e = trees.boosted(rows, ["a", "b"], "y", trees=2, depth=2)
+    assert depths == [0, 1, 0, 1]
+    data = [(r.fold, r.y, r.a, r.b) for r in rows.collect()]
+    for k in range(3):  # values of leaves by brute force
+        mine = [r for r in data if r[0] != k]
+        bins = np.array([[trees.MISSING if v is None else sum(c < v for c in cuts) for v, cuts in zip(r[2:], e.cuts)] for r in mine], np.uint8)
+        margin, y = np.full(len(mine), e.base[k]), np.array([r[1] for r in mine])
+        for tree in e.trees[k]:
+            p, at = 1 / (1 + np.exp(-margin)), trees.leaf_of(tree, bins)
+            for x in np.unique(at):
+                here = at == x
+                assert tree["value"][x] == pytest.approx(-(p - y)[here].sum() / ((p * (1 - p))[here].sum() + 1))
+            margin += e.rate * tree["value"][at]
