@@ -94,8 +94,16 @@ def super_learner(rows: DataFrame, features: list[str], label: str, names: list[
 
     The outer training part's own folds are the inner ones: learners fitted without two folds predict one of them, and the convex
     combination of least squared error on these predictions is chosen. All learners are then fitted anew on the whole training part. With fewer
-    than two inner folds the first learner stands alone, with one class the smoothed rate.
+    than two inner folds the first learner stands alone, with one class the smoothed rate. A pair of folds left out is unordered, so its fit serves both.
     """
+    pairs: dict[tuple, FoldModel] = {}
+
+    def without(k: int, j: int, n: str) -> FoldModel:
+        key = (min(k, j), max(k, j), n)
+        if key not in pairs:
+            pairs[key] = fit_fold_model(rows.where((F.col(fold) != k) & (F.col(fold) != j)), features, label, n)
+        return pairs[key]
+
     known, parts, chosen = sorted(r[0] for r in rows.select(fold).distinct().collect()), [], {}  # a row for each fold
     for k in known:
         train, weights, why = rows.where(F.col(fold) != k), {n: float(n == names[0]) for n in names}, None
@@ -107,7 +115,7 @@ def super_learner(rows: DataFrame, features: list[str], label: str, names: list[
         else:
             inner = train
             for n in names:
-                inner = crossfit(train, features, label, n, fold, f"p_{n}", inner)
+                inner = reduce(DataFrame.unionByName, [without(k, j, n).score(inner.where(F.col(fold) == j), f"p_{n}") for j in known if j != k])
             a, b, _ = gram(inner, [f"p_{n}" for n in names], label)
             weights = dict(zip(names, simplex_weights(a, b).tolist(), strict=True))
         held = rows.where(F.col(fold) == k)

@@ -288,3 +288,12 @@ def test_refitted_risks_by_brute_force(spark):
         for o in nuisance.HAZARD_OUTCOMES:
             want = sum(n * (1 - np.prod([kept(o, steps[s], f, r) for s in of])) for n, f, of in mine) / x.n_copies
             assert x[f"risk_{o}"] == pytest.approx(want, abs=1e-12)
+
+
+def test_super_learner_fits_a_pair_once(spark, monkeypatch):
+    fits, fit = [], learners.fit_fold_model
+    monkeypatch.setattr(learners, "fit_fold_model", lambda rows, *x: fits.append(tuple(sorted(r[0] for r in rows.select("fold").distinct().collect()))) or fit(rows, *x))
+    draw = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i % 3, float(x := draw.normal()), int(draw.uniform() < 1 / (1 + np.exp(-x)))) for i in range(90)], "fold int, x double, y int")
+    scored, weights = learners.super_learner(rows, ["x"], "y", ["logistic"])
+    assert sorted(fits) == [(0,), (0, 1), (0, 2), (1,), (1, 2), (2,)] and sorted(weights) == [0, 1, 2] and scored.count() == 90
