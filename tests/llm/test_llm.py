@@ -793,3 +793,13 @@ def test_every_page_meets_the_array(spark):
     heads = extraction.repeated(found, 3)
     by = [{r.page_id: r.text for r in extraction.unique_runs(found, heads, 8, most).collect()} for most in (0, 1_000_000)]
     assert by[0] == by[1] and len(by[0]) == len(rows) and not any("terms" in t for t in by[0].values()) and all(("\n" in by[0][k]) == (k % 2 == 1) for k in by[0])
+
+
+def test_the_last_page_of_a_task_is_a_copy(spark):
+    notice = "<div>You are reading the weekly paper of this small town now</div>"
+    rows = [(k, "http://a/x", f"{notice}<div>one two three</div>") for k in range(6)]  # one stream, so every task that has it ends with a copy
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.text for r in got} == {"You are reading the weekly paper of this small town now\none two three"}
+    rows += [(10 + k, f"http://a/{k}", f"{notice}<div>{words(12)}</div>") for k in range(3)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in range(6)} == {"one two three"} and not any("weekly" in t for t in got.values())
