@@ -10,23 +10,29 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions.stats import expit, logit
 
 
+def logistic(label: str) -> LogisticRegression:
+    return LogisticRegression(featuresCol="_vector", labelCol=label, regParam=0.01, maxIter=50)
+
+
 def learner(name: str, features: list[str], label: str, seed: int = 42, trees: int = 20) -> Pipeline:
     """Median imputation, standardisation and a classifier: logistic, forest or boosted."""
     filled = [f"_filled_{c}" for c in features]
     model = {
-        "logistic": LogisticRegression(featuresCol="_vector", labelCol=label, regParam=0.01, maxIter=50),
+        "logistic": logistic(label),
         "forest": RandomForestClassifier(featuresCol="_vector", labelCol=label, numTrees=trees, maxDepth=6, seed=seed),
         "boosted": GBTClassifier(featuresCol="_vector", labelCol=label, maxIter=trees, maxDepth=3, seed=seed),
     }[name]
@@ -48,23 +54,64 @@ class FoldModel:
         return self.model.transform(rows).withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)
 
 
+def seen(features: list[str], label: str) -> list[Column]:
+    """Aggregates that a fit needs of its rows: how many, the events, each feature's ends and missing values."""
+    missing = lambda c: F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(True))
+    return [F.count("*").alias("n"), F.sum(label).alias("e"), *chain.from_iterable((F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.count_if(missing(c)).alias(f"no_{c}")) for c in features)]
+
+
+def usable(parts: list[Row], features: list[str]) -> tuple[list[str], float, str | None]:
+    """The features that vary over ``parts`` (a row of ``seen`` each), the smoothed rate, and why nothing can be fitted, if so. No rows fail."""
+    order = lambda x: (x != x, x)  # noqa: E731  NaN is the largest, as in Spark
+    n, e = sum(r["n"] for r in parts), sum(r["e"] for r in parts if r["n"])
+    if not n:
+        raise ValueError("the training risk set is empty")
+    ends = {c: [[r[f"{end}_{c}"] for r in parts if r[f"{end}_{c}"] is not None] for end in ("lo", "hi")] for c in features}
+    kept = [c for c, (lo, hi) in ends.items() if lo and min(lo, key=order) != max(hi, key=order)]
+    return kept, (e + 1) / (n + 2), "one class" if not 0 < e < n else None if kept else "no features"
+
+
 def fit_fold_model(rows: DataFrame, features: list[str], label: str, name: str = "logistic") -> FoldModel:
     """A learner without the features that are constant or empty in ``rows``. One class or no feature left gives the smoothed rate; no rows fail."""
-    ends = list(chain.from_iterable((F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")) for c in features))
-    r = rows.agg(F.count("*").alias("n"), F.sum(label).alias("e"), *ends).first()
-    if not r["n"]:
-        raise ValueError("the training risk set is empty")
-    rate = (r["e"] + 1) / (r["n"] + 2)
-    kept = [c for c in features if r[f"lo_{c}"] is not None and r[f"lo_{c}"] != r[f"hi_{c}"]]
-    why = "one class" if not 0 < r["e"] < r["n"] else None if kept else "no features"
+    kept, rate, why = usable([rows.agg(*seen(features, label)).first()], features)
     return FoldModel(kept, None if why else learner(name, kept, label).fit(rows), rate, why)
 
 
+#: Fits of a call of ``crossfit`` that run at a time; each keeps its training rows' features in executor memory (8 bytes a value), or on disk.
+AT_ONCE = 5
+
+
 def crossfit(rows: DataFrame, features: list[str], label: str, name: str = "logistic", fold: str = "fold", out: str = "p", score_rows: DataFrame | None = None) -> DataFrame:
-    """Out-of-fold probabilities: each fold's rows (of ``score_rows`` if given) are scored by a model of the other folds."""
+    """Out-of-fold probabilities: each fold's rows (of ``score_rows`` if given) are scored by a model of the other folds.
+
+    What the fits must know of their rows is one aggregate by fold. Where no fitted or scored row lacks a feature, nothing is to be imputed, and the logistic learner, which
+    standardises by itself, is fitted on vectors assembled once for all folds."""
     target, parts = score_rows if score_rows is not None else rows, []
-    for k in sorted(r[0] for r in rows.select(fold).distinct().collect()):  # a row for each fold
-        parts.append(fit_fold_model(rows.where(F.col(fold) != k), features, label, name).score(target.where(F.col(fold) == k), out))
+    by = {r[fold]: r for r in rows.groupBy(fold).agg(*seen(features, label)).collect()}  # a row for each fold
+    without = {k: usable([r for j, r in by.items() if j != k], features) for k in sorted(by)}
+    complete = name == "logistic" and not any(r[f"no_{c}"] for r in by.values() for c in features)
+    if complete and score_rows is not None:
+        complete = not sum(v for k, v in target.agg(*seen(features, label)).first().asDict().items() if k.startswith("no_"))
+    vectors = VectorAssembler(inputCols=features, outputCol="_vector").transform(rows).select(fold, label, "_vector").persist() if complete else rows
+
+    def fitted(k) -> FoldModel:
+        kept, rate, why = without[k]
+        train = vectors.where(F.col(fold) != k)
+        if why:
+            return FoldModel(kept, None, rate, why)
+        if not complete:
+            return FoldModel(kept, learner(name, kept, label).fit(train), rate)
+        # a feature that is constant in this training part gets the coefficient 0
+        return FoldModel(features, PipelineModel([VectorAssembler(inputCols=features, outputCol="_vector"), logistic(label).fit(train)]), rate)
+
+    try:
+        with ThreadPool(AT_ONCE) as pool:
+            models = dict(zip(without, pool.starmap(lambda f, k: f(k), [(inheritable_thread_target(rows.sparkSession)(fitted), k) for k in without]), strict=True))
+    finally:
+        if complete:
+            vectors.unpersist()
+    for k, model in models.items():
+        parts.append(model.score(target.where(F.col(fold) == k), out))
     return reduce(DataFrame.unionByName, parts) if parts else target.withColumn(out, F.lit(None).cast("double")).where("false")
 
 

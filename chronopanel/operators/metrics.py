@@ -17,16 +17,17 @@ from chronopanel.shipping import ship
 def binary_metrics(scored: DataFrame, group: str = "group", y: str = "y", p: str = "p") -> DataFrame:
     """group, n, events, auc, average_precision, brier.
 
-    Scores are counted at each distinct value first; running sums over ranges of those values give both areas, so ties are exact and no task
+    Scores are counted, and their squared errors added up, at each distinct value first; running sums over ranges of those values give both areas, so ties are exact and no task
     holds a group's scores. Null where a group has one class.
     """
-    at = ranges.with_before(scored.groupBy(group, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos")), [group], [p], ["n", "pos"])
-    steps = at.select(group, "n", "pos", (F.col("all_pos") - F.col("before_pos")).alias("tp"), (F.col("all_n") - F.col("before_n")).alias("taken"))
+    error = (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
+    counts = scored.groupBy(group, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"), F.sum(error).alias("error"), F.count(error).alias("known"))
+    at = ranges.with_before(counts, [group], [p], ["n", "pos"])
+    steps = at.select(group, "n", "pos", "error", "known", (F.col("all_pos") - F.col("before_pos")).alias("tp"), (F.col("all_n") - F.col("before_n")).alias("taken"))
     pairs = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2))
-    areas = steps.groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("events"), pairs.alias("pairs"), F.sum(F.col("pos") * F.col("tp") / F.col("taken")).alias("precision"))
-    brier = scored.groupBy(group).agg(F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
+    areas = steps.groupBy(group).agg(F.sum("n").alias("n"), F.sum("pos").alias("events"), pairs.alias("pairs"), F.sum(F.col("pos") * F.col("tp") / F.col("taken")).alias("precision"), F.try_divide(F.sum("error"), F.sum("known")).alias("brier"))
     both = (F.col("events") > 0) & (F.col("events") < F.col("n"))
-    return areas.join(brier, group).select(group, "n", "events", F.when(both, F.col("pairs") / (F.col("events") * (F.col("n") - F.col("events")))).alias("auc"), F.when(F.col("events") > 0, F.col("precision") / F.col("events")).alias("average_precision"), "brier")
+    return areas.select(group, "n", "events", F.when(both, F.col("pairs") / (F.col("events") * (F.col("n") - F.col("events")))).alias("auc"), F.when(F.col("events") > 0, F.col("precision") / F.col("events")).alias("average_precision"), "brier")
 
 
 def quantile_bins(scored: DataFrame, bins: int, group: str = "group", p: str = "p") -> DataFrame:

@@ -368,10 +368,12 @@ SIM = (
 _OUTCOME = _EXPIT.format("0.4 * z1 + 0.55 * z2 + 0.75 * z3 - 2.4 + CASE WHEN {a} IN ('remove', 'out') THEN -0.9 ELSE 0 END")
 
 
+def with_stay(spark, folder) -> DataFrame:
+    return base(spark, folder).withColumn("stay_days", (F.col("unit_out") - F.col("unit_in")) / 8.64e10).withColumn("start_hour", F.floor(F.col("inserted") / 3_600_000_000) % 24)
+
+
 def confounded(spark, folder) -> DataFrame:
-    rows = base(spark, folder)
-    rows = rows.withColumn("stay_days", (F.col("unit_out") - F.col("unit_in")) / 8.64e10).withColumn("start_hour", F.floor(F.col("inserted") / 3_600_000_000) % 24)
-    return simulate.standardised(rows, CONFOUNDERS)
+    return simulate.standardised(with_stay(spark, folder), CONFOUNDERS)
 
 
 @query(f"WITH {SIM} SELECT entity, inserted, episode_index, sim_remove_index, sim_state, sim_action, round(p_remove, 6) AS p_remove, round(u_remove, 6) AS u_remove FROM sim")
@@ -409,7 +411,7 @@ MODEL_FEATURES = ["episode_day", "interval_hours", "stay_days", "start_hour"]
 
 
 def model_rows(spark, folder) -> DataFrame:
-    rows = confounded(spark, folder).where("is_decision")
+    rows = with_stay(spark, folder).where("is_decision")
     chosen = rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity").select("entity", "inserted", "episode_index", "fold", "removed_in", "outcome_in", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES])
     return cut(chosen)  # each fold's fit reads it several times
 
@@ -441,7 +443,7 @@ def crossfit_metrics(spark, folder):
 @query()
 def super_learner_weights(spark, folder):
     """Convex weights of the learners by inner out-of-fold squared error, for each of three outer folds; all learners are refitted on the outer training part."""
-    rows = confounded(spark, folder).where("is_decision")
+    rows = with_stay(spark, folder).where("is_decision")
     fold = folds.grouped_folds(rows, 3).select("entity", "fold")
     chosen = cut(rows.join(fold, "entity").select("entity", "inserted", "episode_index", "fold", "removed_in", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]))
     _, weights = learners.super_learner(chosen, MODEL_FEATURES, "removed_in", ["logistic", "forest"])

@@ -12,7 +12,7 @@ from chronopanel.checkpoints import cut, shared_dir
 from chronopanel.functions.stats import effective_size, positive_effective_size, rounded, smoothed
 from chronopanel.operators import attach, features, folds, intervals, learners, metrics, policy, reports
 from chronopanel.plans import oracle
-from chronopanel.plans.longitudinal import DAYS, EPISODE, MODEL_FEATURES, WIDE, base, cleaned, confounded, hazards, model_rows, policy_scores, scored_decisions
+from chronopanel.plans.longitudinal import DAYS, EPISODE, MODEL_FEATURES, WIDE, base, cleaned, hazards, model_rows, policy_scores, scored_decisions, with_stay
 from chronopanel.sources import sinks, tables
 
 QUERIES: dict = {}
@@ -242,9 +242,10 @@ def saved_importances(spark, folder):
 def outcome_metrics(spark, folder):
     """Discrimination and squared error of cross-fitted models of the action and of four events, each over its own risk set, overall and by fold."""
     names = {"removed_in": "is_decision", "outcome_in": "at_risk_outcome = 1", "reinsertion_in": "at_risk_reinsertion = 1", "death_in": "true", "exit_alive_in": "true"}
-    rows = confounded(spark, folder)
-    rows = cut(rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity").select(*EPISODE, "episode_index", "fold", "is_decision", "at_risk_outcome", "at_risk_reinsertion", *names, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES]))
-    parts = []
+    rows, path = with_stay(spark, folder), f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    rows = rows.join(folds.grouped_folds(rows).select("entity", "fold"), "entity").select("fold", "is_decision", "at_risk_outcome", "at_risk_reinsertion", *names, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES])
+    rows.write.partitionBy("fold").parquet(path)  # a fold's fit and scores read its own files
+    rows, parts = spark.read.schema(rows.schema).parquet(path), []
     for label, at_risk in names.items():
         scored = learners.crossfit(rows.where(at_risk), MODEL_FEATURES, label).select(F.col(label).alias("y"), "p", F.explode(F.array(F.lit("all"), F.concat(F.lit("fold_"), F.col("fold").cast("string")))).alias("part"))
         parts.append(scored.select(F.concat(F.lit(f"{label}/"), "part").alias("group"), "y", "p"))

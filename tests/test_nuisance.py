@@ -1,8 +1,11 @@
 """Nested recursion, nested stacking, checks: brute force, leakage and refusals."""
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators import bootstrap, checks, folds, learners, metrics, nested, policy, rates
@@ -297,3 +300,34 @@ def test_super_learner_fits_a_pair_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i % 3, float(x := draw.normal()), int(draw.uniform() < 1 / (1 + np.exp(-x)))) for i in range(90)], "fold int, x double, y int")
     scored, weights = learners.super_learner(rows, ["x"], "y", ["logistic"])
     assert sorted(fits) == [(0,), (0, 1), (0, 2), (1,), (1, 2), (2,)] and sorted(weights) == [0, 1, 2] and scored.count() == 90
+
+
+def test_crossfit_reads_its_rows_seldom(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(k % 3, float(x := draw.normal()), 50 + 9 * float(draw.normal()), 3.5, float(k % 3 == 0 or k % 2), int(draw.uniform() < 1 / (1 + np.exp(-x)))) for k in range(300)]
+    features = ["x", "large", "same", "only_fold_0_is_constant"]
+    df = spark.createDataFrame(rows, "fold long, x double, large double, same double, only_fold_0_is_constant double, y int").cache()
+    holes = df.withColumn("large", F.when(F.col("x") > 1, None).when(F.col("x") < -1, float("nan")).otherwise(F.col("large")))
+    p = lambda scored: [r.p for r in scored.orderBy("fold", "x").collect()]
+
+    def one_by_one(train, target):
+        return p(reduce(DataFrame.unionByName, [learners.fit_fold_model(train.where(f"fold != {k}"), features, "y").score(target.where(f"fold = {k}"), "p") for k in range(3)]))
+
+    want = one_by_one(df, df)
+    assert p(learners.crossfit(holes, features, "y")) == pytest.approx(one_by_one(holes, holes), abs=1e-6)
+    assert p(learners.crossfit(df, features, "y", score_rows=holes)) == pytest.approx(one_by_one(df, holes), abs=1e-6)
+    monkeypatch.setattr(learners, "learner", None)  # nothing is missing: no medians, no scaler
+    assert p(learners.crossfit(df, features, "y")) == pytest.approx(want, abs=1e-6)
+    assert p(learners.crossfit(df, features, "y", score_rows=df)) == pytest.approx(want, abs=1e-6)
+
+
+def test_metrics_score_each_row_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            scored.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("g", k % 2, k / 40) for k in range(40)], "group string, y int, p double").mapInArrow(each, "group string, y int, p double")
+    assert metrics.binary_metrics(rows).first().brier == pytest.approx(np.mean([(k / 40 - k % 2) ** 2 for k in range(40)])) and scored.value == 40
